@@ -130,3 +130,15 @@ BASE = (LETTERS, SENTS, SCORED, DOC_SCORES, DATED)
 def rounded(df: DataFrame, *columns: str, dp: int = 9) -> DataFrame:
     """Rounding at the output only, so that both engines print the same digits."""
     return df.withColumns({c: F.round(F.col(c).cast("double"), dp) for c in columns})
+
+
+def mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Entity mentions: a supplier (id) named in an order (doc) on its date."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("id"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_orderdate").cast("date").alias("date"))
+    return li.join(o, "doc")
+
+
+MENTIONS = """
+mentions AS (SELECT l_orderkey AS doc, l_suppkey AS id, CAST(o_orderdate AS DATE) AS date
+             FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""

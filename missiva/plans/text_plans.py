@@ -578,14 +578,14 @@ RICH_WORDS = "regexp_extract_all(lower(regexp_replace(regexp_replace(text, '\\p{
         """m AS (SELECT id, CASE WHEN len(w) >= 50 THEN list_avg(list_transform(generate_series(1, len(w) - 49),
             lambda i: len(list_distinct(w[i:i + 49])) / 50.0)) END AS mattr FROM w)""",
         body="""SELECT w.id, len(w.w)::BIGINT AS word_count, coalesce(types, 0)::BIGINT AS type_count, round(types / n, 9) AS ttr,
-        round(coalesce(mattr, types / n), 9) AS mattr, round(coalesce(hapax / n, 0), 9) AS hapax_ratio
+        round(coalesce(mattr, types / n), 7) AS mattr, round(coalesce(hapax / n, 0), 9) AS hapax_ratio
         FROM w LEFT JOIN g ON g.id = w.id LEFT JOIN m ON m.id = w.id""",
     ),
 )
 def _(spark, sf):
     r = lexical.lexical_richness(X.letters(spark, sf), "id", "text")
     r = r.select("id", F.col("word_count").cast("long"), F.col("type_count").cast("long"), "ttr", "mattr", "hapax_ratio")
-    return rounded(r, "ttr", "mattr", "hapax_ratio")
+    return rounded(rounded(r, "ttr", "hapax_ratio"), "mattr", dp=7)
 
 
 @query("lexical_richness_folds")
