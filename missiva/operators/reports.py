@@ -193,3 +193,56 @@ def silence_report(marked: DataFrame, entity: str = "id", cluster: int = 2, long
         .unionByName(row(year.filter(F.col("n") >= cluster), "cluster", "disappearance_year", "n"))
         .unionByName(row(top, "longest", entity, "silence_days"))
     )
+
+
+def _between(df: DataFrame, date: str, start: str, end: str) -> DataFrame:
+    return df.filter(F.col(date).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def range_summary(
+    scores: DataFrame, start: str, end: str, measures: Sequence[str], doc_id: str = "id", date: str = "date"
+) -> DataFrame:
+    """Monthly trend, average, extreme documents and the dominant measure of a date range."""
+    from missiva.operators.scores import dominant_measure
+
+    rows = _between(scores, date, start, end)
+    none = F.lit(None).cast("double")
+    trend = rows.groupBy(D.month_key(F.col(date)).alias("m")).agg(F.avg("mean").alias("v"))
+    one = rows.agg(
+        F.avg("mean").alias("_avg"), F.min(F.struct("mean", doc_id)).alias("lo"),
+        F.min(F.struct((-F.col("mean")).alias("m"), doc_id)).alias("hi"), *[F.avg(m).alias(m) for m in measures],
+    ).withColumn("_dom", dominant_measure(measures))
+    tail = F.array(
+        *[
+            F.struct(F.lit(s).alias("section"), i.cast("string").alias("item"), v.alias("value"))
+            for s, i, v in (
+                ("average", F.lit("mean"), F.col("_avg")), ("lowest", F.col(f"lo.{doc_id}"), none),
+                ("highest", F.col(f"hi.{doc_id}"), none), ("dominant", F.col("_dom"), none),
+            )
+        ]
+    )
+    return _rows(trend, "trend", F.col("m"), F.col("v")).unionByName(one.select(F.explode(tail).alias("r")).select("r.*"))
+
+
+def arc_range_summary(arcs: DataFrame, start: str, end: str, doc_id: str = "id", date: str = "date") -> DataFrame:
+    """Share of each arc type, mean range and asymmetry, and the commonest type of each half of the range."""
+    from missiva.operators.scale import number_rows
+
+    rows = number_rows(_between(arcs, date, start, end).select(doc_id, date, "arc_type", "sentiment_range", "arc_asymmetry"), [], [date, doc_id])
+    total = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("sentiment_range").alias("_r"), F.avg("arc_asymmetry").alias("_a"))
+    half = F.when(F.col("rn") <= F.floor(F.col("_n") / 2), "first_half").otherwise("second_half")
+    typed = rows.crossJoin(F.broadcast(total)).groupBy(half.alias("half"), "arc_type").agg(
+        F.count(F.lit(1)).alias("n"), F.first("_n").alias("_n")
+    )
+    share = typed.groupBy("arc_type").agg((F.sum("n") * 100.0 / F.first("_n")).alias("v"))
+    top = typed.groupBy("half").agg(F.min(F.struct((-F.col("n")).alias("k"), "arc_type")).alias("m"))
+    means = total.select(
+        F.explode(
+            F.array(
+                F.struct(F.lit("mean").alias("section"), F.lit("sentiment_range").alias("item"), F.col("_r").alias("value")),
+                F.struct(F.lit("mean").alias("section"), F.lit("arc_asymmetry").alias("item"), F.col("_a").alias("value")),
+            )
+        ).alias("r")
+    ).select("r.*")
+    halves = top.select(F.col("half").alias("section"), F.col("m.arc_type").alias("item"), F.lit(None).cast("double").alias("value"))
+    return _rows(share, "share", F.col("arc_type"), F.col("v")).unionByName(means).unionByName(halves)

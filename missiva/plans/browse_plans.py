@@ -501,7 +501,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select(
         F.nullif(F.col("quality").cast("string"), F.lit("0")).alias("quality"), "source",
-        F.slice(F.split("text", "\n"), 2, 1000000).alias("tail"),
+        F.slice(F.split("text", "\n"), F.lit(2), F.length("text") + 1).alias("tail"),
     )
     return R.completeness_report(d, ["quality", "source"], ["tail"])
 
