@@ -448,7 +448,7 @@ def _(spark, sf):
         LETTERS,
         "lex(token, expansion) AS (VALUES ('tion', 'noun'), ('eaux', 'plural'), ('The ', 'article'))",
         "parts AS (SELECT id, token, expansion, string_split(text, token) AS p FROM letters JOIN lex ON contains(text, token))",
-        "occ AS (SELECT id, token, expansion, i, length(array_to_string(p[1:i], token)) AS pos FROM (SELECT *, unnest(generate_series(1, len(p) - 1)) AS i FROM parts))",
+        "occ AS (SELECT id, token, expansion, i, length(array_to_string(p[1:i], '')) + (i - 1) * length(token) AS pos FROM (SELECT *, unnest(generate_series(1, len(p) - 1)) AS i FROM parts))",
         body="SELECT id, token, expansion, array_to_string(list(pos ORDER BY pos), ',') AS positions FROM occ GROUP BY 1, 2, 3",
     ),
 )
