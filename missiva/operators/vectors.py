@@ -130,6 +130,28 @@ def related(vectors: DataFrame, key: str, vector: str, k: int = 5, block: int =
     is missed; a task holds two blocks at most.
     """
     rows = vectors.select(F.col(key).alias("id"), unit(F.col(vector)).alias("v"))
+    if vectors.limit(MATRIX_ROWS + 1).count() <= MATRIX_ROWS:
+        return _related_small(rows, key, k, dp)
+    return _related_blocked(rows, key, k, block, dp)
+
+
+def _related_small(rows: DataFrame, key: str, k: int, dp: int) -> DataFrame:
+    """All vectors fit one checked matrix: every Arrow batch ranks against it, nothing is shuffled."""
+    names, m = matrix_of(rows, "id", "v")
+    ids, kt = np.array(names), dict(rows.dtypes)["id"]
+
+    def work(batches):
+        for pdf in batches:
+            if len(pdf):
+                best = pd.DataFrame(_best(_stack(pdf["v"]), pdf["id"].to_numpy(), m, ids, k), columns=["id", "other", "sim"])
+                best["rank"] = best.groupby("id", sort=False).cumcount() + 1
+                yield best[["id", "rank", "other", "sim"]]
+
+    out = rows.mapInPandas(work, f"id {kt}, rank int, other {kt}, sim double")
+    return out.select(F.col("id").alias(key), "rank", "other", F.round("sim", dp).alias("score"))
+
+
+def _related_blocked(rows: DataFrame, key: str, k: int, block: int, dp: int) -> DataFrame:
     rows = pin(rows.withColumn("g", F.sha2(F.to_json("v"), 256)))
     groups = rows.groupBy("g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = rows.join(groups, (rows["id"] == groups["rep"]) & (rows["g"] == groups["g"]), "left_semi").select("id", "v")
@@ -139,7 +161,7 @@ def related(vectors: DataFrame, key: str, vector: str, k: int = 5, block: int =
     # Pivots only steer the search, any choice gives the same result: take the smallest hashes.
     pivots = reps.select("v", F.xxhash64("id").alias("h")).orderBy("h", "v").limit(p).collect()
     piv = np.array([r[0] for r in pivots], dtype=np.float64)
-    kt = dict(vectors.dtypes)[key]
+    kt = dict(rows.dtypes)["id"]
 
     def assign(batches):
         for pdf in batches:
