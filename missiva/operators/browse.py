@@ -99,7 +99,7 @@ def get_person(
     registry: DataFrame, who: str, mentions: DataFrame | None = None, edges: DataFrame | None = None
 ) -> DataFrame:
     """Registry fields, then one row per document and per connection (no nested unbounded lists)."""
-    one = registry.filter((F.col("id") == who) | (F.lower("canonical") == who.lower()))
+    one = registry.filter((F.col("id").cast("string") == who) | (F.lower("canonical") == who.lower()))
     out = one.select(
         "id", F.lit("person").alias("section"), F.col("canonical").alias("item"),
         F.col("letter_count").cast("double").alias("value"),
@@ -116,7 +116,7 @@ def get_person(
         )
         near = both.join(F.broadcast(one.select("id")), "id")
         out = out.unionByName(
-            near.select("id", F.lit("connection").alias("section"), F.col("other").alias("item"),
+            near.select("id", F.lit("connection").alias("section"), F.col("other").cast("string").alias("item"),
                         F.col("weight").cast("double").alias("value"))
         )
     return out

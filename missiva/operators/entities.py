@@ -154,7 +154,8 @@ TEXTS = {
 def _fill(template: str, **fields: Column) -> Column:
     out = F.lit(template)
     for k, c in fields.items():
-        out = F.replace(out, F.lit("{" + k + "}"), c)
+        if "{" + k + "}" in template:
+            out = F.replace(out, F.lit("{" + k + "}"), c)
     return out
 
 

@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-MODULES = ("text_plans", "browse_plans", "join_plans", "series_plans", "vector_plans", "graph_plans", "quality_plans")
+MODULES = (
+    "text_plans", "browse_plans", "join_plans", "series_plans", "vector_plans", "graph_plans", "quality_plans",
+    "entity_plans",
+)
 
 
 def load_all() -> None:

@@ -70,7 +70,7 @@ def _(spark, sf):
         "ch AS (SELECT DISTINCT id, unnest(string_split(o, '')) AS x FROM c)",
         body="""SELECT id, 'alphabet' AS \"check\", x AS message FROM ch WHERE x <> '' AND NOT regexp_matches(x, '[\\x20-\\x7E\\n\\tæøåÆØÅüäöÜÄÖß]')
         UNION ALL SELECT id, 'known_error', 'sion the' FROM c WHERE contains(o, 'sion the')
-        UNION ALL SELECT id, 'length_ratio', 'x' FROM c WHERE NOT (length(o) / length(s) BETWEEN 0.95 AND 1.05)""",
+        UNION ALL SELECT id, 'length_ratio', round(length(o) / length(s), 4)::VARCHAR FROM c WHERE NOT (length(o) / length(s) BETWEEN 0.95 AND 1.05)""",
     ),
 )
 def _(spark, sf):
@@ -254,8 +254,7 @@ def _(spark, sf):
 
 @query(
     "validate_schema",
-    """WITH e AS (SELECT event_id, event_type, nullif(value::VARCHAR, '1.63') AS value, props FROM events),
-    l AS (SELECT d.doc_id, q.quality::VARCHAR AS quality, d.source, d.lang FROM documents d LEFT JOIN labels q USING (doc_id))
+    """WITH l AS (SELECT d.doc_id, q.quality::VARCHAR AS quality, d.source, d.lang FROM documents d LEFT JOIN labels q USING (doc_id))
     SELECT doc_id, 'quality' AS field, 'missing' AS problem FROM l WHERE quality IS NULL
     UNION ALL SELECT doc_id, 'source', 'type' FROM l WHERE TRY_CAST(source AS INTEGER) IS NULL
     UNION ALL SELECT doc_id, 'source', 'prefix' FROM l WHERE NOT starts_with(source, 'src1')
