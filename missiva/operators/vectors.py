@@ -229,7 +229,9 @@ def _related_blocked(rows: DataFrame, key: str, k: int, block: int, dp: int) ->
         of = groups.select("g", F.col("rep"))
         offers = best.withColumnRenamed("id", "rep").join(of.select(F.col("rep").alias("other"), F.col("g").alias("og")), "other")
         far = offers.join(members.select(F.col("g").alias("og"), F.col("id").alias("m")), "og").select("rep", F.col("m").alias("other"), "sim")
-        own = of.join(members, "g").select("rep", F.col("id").alias("other"), F.lit(1.0).alias("sim"))
+        # A copy has similarity one, unless the vector is zero.
+        self_sim = reps.select(F.col("id").alias("rep"), F.round(dot(F.col("v"), F.col("v"))).alias("sim"))
+        own = of.join(self_sim, "rep").join(members, "g").select("rep", F.col("id").alias("other"), "sim")
         short = top_rows(far.unionByName(own), ["rep"], [F.col("sim").desc(), "other"], k + 1, "_r").drop("_r")
         ids = rows.select("id", "g").join(of, "g").select("id", "rep")
         found = ids.join(short, "rep").filter(F.col("id") != F.col("other")).select("id", "other", "sim")
