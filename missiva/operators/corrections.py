@@ -31,25 +31,6 @@ class ScanRule:
     keep_case: bool = False
 
 
-def match_positions(text: Column, pattern: str) -> Column:
-    """Array of {position, original} of all matches, positions 0-based in characters."""
-    parts = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    kind = "array<struct<position:int,original:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc, x):
-        pos = acc["at"] + x["gap"]
-        return F.struct(
-            (pos + F.length(x["m"])).alias("at"),
-            F.array_append(acc["out"], F.struct(pos.alias("position"), x["m"].alias("original"))).alias("out"),
-        )
-
-    hits = F.aggregate(both, start, step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), hits).otherwise(F.array().cast(kind))
-
-
 def _corrected(rule: ScanRule, original: Column) -> Column:
     if rule.corrected is None:
         return F.lit(None).cast("string")
@@ -66,7 +47,7 @@ def findings_array(text: Column, rules: Sequence[ScanRule]) -> Column:
     groups = []
     for seq, r in enumerate(rules):
         build = _finding(seq, r)
-        groups.append(F.transform(match_positions(text, r.pattern), build))
+        groups.append(F.transform(T.match_positions(text, r.pattern), build))
     return F.concat(*groups)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from missiva.operators.scale import GROUP_LIMIT, bounded_broadcast, running_sums, top_rows, with_neighbours
 from missiva.operators.sentences import tokens
+from missiva.session import pin
 
 
 def word_divergence(
@@ -49,6 +50,7 @@ def wasserstein_1d(
     pts = rows.groupBy(period, F.col(value).alias("x")).agg(
         F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb")
     )
+    pts = pin(pts)
     size = pts.groupBy(period).agg(F.sum("na").alias("_ta"), F.sum("nb").alias("_tb"))
     cum = running_sums(pts, [period], ["x"], {"_ca": F.col("na"), "_cb": F.col("nb")}, limit)
     nxt = with_neighbours(cum, [period], ["x"], 1, {"_nx": lambda w: F.lead("x").over(w)}, limit)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missiva.operators.corrections import match_positions
+from missiva.functions.text import match_positions
 from missiva.operators.scale import top_rows
 
 # Phrase patterns.

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missiva.operators.scale import BROADCAST_ROWS, top_rows
+from missiva.operators.scale import BROADCAST_ROWS, bounded_broadcast, top_rows
 from missiva.session import pin
 
 HEAVY_DOCUMENT = 256
@@ -25,9 +25,11 @@ def pair_years(
     entities that share several of them; those are matched block against block.
     """
     rows = mentions.groupBy(F.col(doc).alias("doc"), F.col(entity).alias("id")).agg(F.min(F.year(date)).alias("year"))
+    # The distinct mentions serve both sides of the pair join and the counts: read them once.
+    rows = pin(rows)
     if min_weight > 1:
         enough = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_weight).select("id")
-        rows = rows.join(enough, "id", "left_semi")
+        rows = rows.join(bounded_broadcast(enough), "id", "left_semi")
     sizes = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("_size"))
     big = sizes.filter(F.col("_size") > heavy)
     has_big = big.limit(1).count() > 0
@@ -40,11 +42,11 @@ def pair_years(
     for x, y in exclude:
         lo, hi = sorted((x, y))
         counted = counted.filter(~((F.col("a") == lo) & (F.col("b") == hi)))
-    if min_weight > 1:
-        counted = pin(counted)
-        strong = counted.groupBy("a", "b").agg(F.sum("weight").alias("_w")).filter(F.col("_w") >= min_weight)
-        counted = counted.join(strong.select("a", "b"), ["a", "b"], "left_semi")
-    return counted
+    # A list holds one entry per year, and grouping by pair again needs no further shuffle.
+    whole = counted.groupBy("a", "b").agg(
+        F.sum("weight").alias("_w"), F.collect_list(F.struct("year", "weight")).alias("_y")
+    ).filter(F.col("_w") >= min_weight)
+    return whole.select("a", "b", F.explode("_y").alias("_e")).select("a", "b", "_e.year", "_e.weight")
 
 
 def _with_heavy(light: DataFrame, big: DataFrame, min_weight: int, heavy: int) -> DataFrame:

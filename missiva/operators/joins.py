@@ -98,9 +98,8 @@ def cascade_match(
 ) -> DataFrame:
     """Five ordered passes: folded name, base name, any component, shared base prefix, alias.
 
-    Each pass is an equi-join. The prefix pass compares names that share their first
-    `prefix` letters, since two bases longer than that can only be prefixes of each
-    other if those letters agree. The first pass wins, then the first candidate.
+    Each pass is an equi-join; in the prefix pass the heads of one name, from `prefix`
+    letters up, meet the other name whole. The first pass wins, then the first candidate.
     """
     fl, fr = T.fold_name(F.col(left_name)), T.fold_name(F.col(right_name))
     lt = left.select(
@@ -129,17 +128,14 @@ def cascade_match(
             rt.select("matched", "_o", F.explode(F.array_distinct("c")).alias("k")), 3,
         ),
     ]
-    pl = lt.filter(F.length("b") >= prefix).select("_l", F.col("b").alias("lb"), F.substring("b", 1, prefix).alias("k"))
-    # Bases of the same text are one row, so a hot prefix stays as small as the number of names.
-    pr = rt.filter(F.length("b") >= prefix).groupBy(F.col("b").alias("rb")).agg(
+    pl = lt.filter(F.length("b") >= prefix).select("_l", F.col("b").alias("k"))
+    pr = rt.filter(F.length("b") >= prefix).groupBy(F.col("b").alias("k")).agg(
         F.min(F.struct("_o", "matched")).alias("m")
-    ).select("rb", F.col("m._o").alias("_o"), F.col("m.matched").alias("matched"), F.substring("rb", 1, prefix).alias("k"))
-    near = F.col("lb").startswith(F.col("rb")) | F.col("rb").startswith(F.col("lb"))
-    passes.append(
-        pl.join(pr, "k").filter(near).groupBy("_l").agg(
-            F.min(F.struct(F.lit(4).alias("p"), F.col("_o"), F.col("matched"))).alias("m")
-        )
+    ).select("k", F.col("m._o").alias("_o"), F.col("m.matched").alias("matched"))
+    heads = lambda df, *keep: df.select(
+        *keep, F.explode(F.transform(F.sequence(F.lit(prefix), F.length("k")), lambda n: F.substring(F.col("k"), F.lit(1), n))).alias("k")
     )
+    passes.append(hits(heads(pl, "_l"), pr, 4).unionByName(hits(pl, heads(pr, "_o", "matched"), 4)))
     if aliases:
         al = lt.select("_l", F.posexplode("a").alias("i", "x")).select("_l", "i", T.fold_name(F.col("x")).alias("k"))
         rk = rt.select("matched", "_o", F.col("f").alias("k"))
@@ -175,24 +171,26 @@ def event_window_stats(
 ) -> DataFrame:
     """Mean score of documents before an event's start and after its end, with the difference.
 
-    Documents shrink to one row per day first; an event then touches before+after+1 days.
+    Documents shrink to one row per day and events to one row per (start, end); such a
+    span then touches before+after+1 days.
     """
     daily = docs.filter(F.col(date).isNotNull()).groupBy(F.col(date).alias("_day")).agg(
         F.sum(score).alias("_s"), F.count(score).alias("_n")
     )
+    spans = events.select("start", "end").distinct()
     pre = F.transform(F.sequence(F.lit(1), F.lit(before)), lambda i: F.struct(F.lit("pre").alias("side"), F.date_sub("start", i.cast("int")).alias("day")))
     post = F.transform(F.sequence(F.lit(0), F.lit(after)), lambda i: F.struct(F.lit("post").alias("side"), F.date_add("end", i.cast("int")).alias("day")))
-    days = events.select("event_id", F.explode(F.concat(pre, post)).alias("_d")).select(
-        "event_id", F.col("_d.side").alias("_side"), F.col("_d.day").alias("_day")
+    days = spans.select("start", "end", F.explode(F.concat(pre, post)).alias("_d")).select(
+        "start", "end", F.col("_d.side").alias("_side"), F.col("_d.day").alias("_day")
     )
     hit = days.join(bounded_broadcast(daily), "_day")
     side = lambda s, c: F.coalesce(F.sum(F.when(F.col("_side") == s, F.col(c))), F.lit(0))
-    stats = hit.groupBy("event_id").agg(
+    stats = hit.groupBy("start", "end").agg(
         side("pre", "_s").alias("sb"), side("pre", "_n").alias("before_count"),
         side("post", "_s").alias("sa"), side("post", "_n").alias("after_count"),
     )
     mean = lambda s, n: F.when(F.col(n) > 0, F.col(s) / F.col(n))
-    out = events.select("event_id").join(stats, "event_id", "left").select(
+    out = events.select("event_id", "start", "end").join(stats, ["start", "end"], "left").select(
         "event_id",
         mean("sb", "before_count").alias("before_mean"), mean("sa", "after_count").alias("after_mean"),
         F.coalesce("before_count", F.lit(0)).alias("before_count"), F.coalesce("after_count", F.lit(0)).alias("after_count"),
@@ -299,7 +297,7 @@ def lexicon_annotate(
 
 def _annotate(df: DataFrame, doc_id: str, text: str, lexicon: DataFrame) -> DataFrame:
     entries = lexicon.agg(F.collect_list(F.struct(*lexicon.columns)).alias("_lex"))
-    both = df.select(doc_id, text).crossJoin(F.broadcast(entries))
+    both = df.select(*dict.fromkeys((doc_id, text))).crossJoin(F.broadcast(entries))
     hit = both.withColumn("_e", F.explode(F.filter("_lex", lambda e: F.col(text).contains(e["token"]))))
     # Lengths of the parts between occurrences give the offsets.
     parts = F.split(F.col(text), F.concat(F.lit(r"\Q"), F.col("_e.token"), F.lit(r"\E")))
@@ -330,9 +328,8 @@ def attribute_bare_names(
         F.countDistinct("variant").alias("_tn"), F.min("variant").alias("_tv"), F.min(F.struct("ord", "variant")).alias("_first")
     )
     senders = bare.select("sender").distinct()
-    by_sender = senders.join(v, F.col("sender").contains(F.col("alias"))).groupBy("sender").agg(
-        F.min(F.struct("ord", "variant")).alias("_s")
-    )
+    inside = lexicon_annotate(senders, "sender", "sender", variants.select(F.col("alias").alias("token"), "variant", "ord"))
+    by_sender = inside.groupBy("sender").agg(F.min(F.struct("ord", "variant")).alias("_s"))
     # Nearest mention: one row per day on both sides, filled from either direction by day.
     days = bare.select("date").union(per_day.select("date")).filter(F.col("date").isNotNull()).distinct()
     marks = days.join(per_day.select("date", F.struct("date", "_first").alias("_m")), "date", "left")

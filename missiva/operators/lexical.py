@@ -200,9 +200,13 @@ def tfidf(
     idf = tf.groupBy("token").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(total)).select(
         "token", (F.log((1 + F.col("_docs")) / (1 + F.col("_df"))) + 1).alias("idf")
     )
-    raw = tf.join(idf, "token").select(doc_id, "token", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return raw.join(norm, doc_id).select(doc_id, "token", (F.col("w") / F.col("_norm")).alias("weight"))
+    raw = tf.join(idf, "token").select(doc_id, F.struct("token", (F.col("tf") * F.col("idf")).alias("w")).alias("_e"))
+    # The distinct words of one document are a bounded list: one shuffle gives norm and rows.
+    docs = raw.groupBy(doc_id).agg(F.collect_list("_e").alias("_l"))
+    size = F.sqrt(F.aggregate("_l", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
+    # The norm is a column of its own step: next to explode it would be worked out per word.
+    flat = docs.withColumn("_norm", size).select(doc_id, "_norm", F.explode("_l").alias("_e"))
+    return flat.select(doc_id, "_e.token", (F.col("_e.w") / F.col("_norm")).alias("weight"))
 
 
 def hapax_near_common(
@@ -226,7 +230,8 @@ def hapax_near_common(
     runs = df.select(doc_id, F.explode(T.words(low)).alias("w")).filter(
         F.col("w").rlike(f"^[{letters}]{{3,}}$")
     )
-    freq = runs.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(doc_id).alias("_at"))
+    # The vocabulary is used from both sides: pin it, so the texts are read once.
+    freq = pin(runs.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(doc_id).alias("_at")))
     rare = freq.filter((F.col("n") == 1) & ~F.col("w").isin(*stop)).select("w", "_at")
     common = freq.filter(F.col("n") >= min_common).select(F.col("w").alias("c"), F.col("n").alias("c_n"))
     # A vocabulary is small in bytes but each word yields many forms: keep all cores busy.

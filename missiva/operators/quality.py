@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from missiva.functions.text import match_positions
 from missiva.rules import danish
 
 
@@ -23,13 +24,8 @@ def scan_characters(
     """One finding per listed character; `remove_eol` ones only at the end of a line."""
     listed = "[" + "".join(re.escape(c) for c, _ in chars) + "]"
     acts = F.create_map(*[F.lit(x) for pair in chars for x in pair])
-    # Text up to each listed character: the running length of the pieces is its offset.
-    hits = df.filter(F.col(text).rlike(listed)).select(
-        doc_id, text, F.posexplode(F.split(F.col(text), "")).alias("position", "original")
-    )
-    found = hits.filter(F.col("original").isin(*[c for c, _ in chars])).withColumn(
-        "action", F.element_at(acts, F.col("original"))
-    )
+    hits = df.select(doc_id, text, F.explode(match_positions(F.col(text), listed)).alias("_h")).select(doc_id, text, "_h.*")
+    found = hits.withColumn("action", F.element_at(acts, F.col("original")))
     after = F.substring(F.col(text), F.col("position") + 2, F.lit(1))
     found = found.filter((F.col("action") != "remove_eol") | after.isin("", "\n"))
     return found.select(

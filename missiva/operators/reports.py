@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from missiva.functions import dates as D
 from missiva.functions import text as T
 from missiva.operators.scale import top_rows
+from missiva.session import pin
 
 
 def _rows(df: DataFrame, section: str, item: Column, value: Column) -> DataFrame:
@@ -22,7 +23,7 @@ def corpus_statistics(
 ) -> DataFrame:
     """Long table of sections: top values, counts per year and month, lengths.
 
-    Texts are measured once; one grouping-sets aggregate serves all counted sections.
+    One aggregate over (section, item) cells serves all counted sections.
     """
     base = letters.select(
         doc_id, *[c for c, _ in tops], D.year_key(F.col(date)).alias("year"), D.month_key(F.col(date)).alias("month"),
@@ -32,6 +33,7 @@ def corpus_statistics(
     cells = base.select(
         F.explode(F.array(*[F.struct(F.lit(d).alias("section"), F.col(d).alias("item")) for d in dims])).alias("_c"), "_w"
     ).groupBy("_c.section", "_c.item").agg(F.count(F.lit(1)).alias("n"), F.avg("_w").alias("w"))
+    cells = pin(cells)
     out = _rows(cells.filter("section = 'year'"), "year", F.col("item"), F.col("n"))
     out = out.unionByName(_rows(cells.filter("section = 'month'"), "month", F.col("item"), F.col("n")))
     for dim, k in tops:
@@ -103,13 +105,15 @@ def corpus_end(df: DataFrame, date: str) -> DataFrame:
 
 def usage_stats(pairs: DataFrame, items: DataFrame, item: str) -> DataFrame:
     """Relevance classes, score brackets, ten most used and unused items."""
-    n = F.count(F.lit(1)).alias("n")
     bracket = F.when(F.col("score") >= 0.8, "high").when(F.col("score") >= 0.4, "medium").otherwise("low")
-    used = pairs.groupBy(item).agg(n)
+    # One pass over the pairs; the parts of the report are sums of these cells.
+    cells = pin(pairs.groupBy(item, "relevance", bracket.alias("b")).agg(F.count(F.lit(1)).alias("_k")))
+    n = F.sum("_k").alias("n")
+    used = cells.groupBy(item).agg(n)
     row = lambda s, i, v: (F.lit(s).alias("section"), i.cast("string").alias("item"), v.cast("long").alias("n"))
     return (
-        pairs.groupBy("relevance").agg(n).select(*row("relevance", F.col("relevance"), F.col("n")))
-        .unionByName(pairs.groupBy(bracket.alias("b")).agg(n).select(*row("bracket", F.col("b"), F.col("n"))))
+        cells.groupBy("relevance").agg(n).select(*row("relevance", F.col("relevance"), F.col("n")))
+        .unionByName(cells.groupBy("b").agg(n).select(*row("bracket", F.col("b"), F.col("n"))))
         .unionByName(top_rows(used, [], [F.col("n").desc(), item], 10).select(*row("top", F.col(item), F.col("n"))))
         .unionByName(items.join(used, item, "left_anti").select(*row("unused", F.col(item), F.lit(0))))
     )
@@ -117,10 +121,13 @@ def usage_stats(pairs: DataFrame, items: DataFrame, item: str) -> DataFrame:
 
 def findings_summary(findings: DataFrame, doc_id: str) -> DataFrame:
     """Findings and documents touched, by category, by confidence and in all."""
-    aggs = (F.count(F.lit(1)).alias("findings"), F.countDistinct(doc_id).alias("documents"))
-    part = lambda s: findings.groupBy(F.col(s).alias("item")).agg(*aggs).select(F.lit(s).alias("section"), "item", "findings", "documents")
-    total = findings.agg(*aggs).select(F.lit("total").alias("section"), F.lit(None).cast("string").alias("item"), "findings", "documents")
-    return part("category").unionByName(part("confidence")).unionByName(total)
+    # Findings of one document and class become one counted row before anything is distinct.
+    per_doc = findings.groupBy("category", "confidence", F.col(doc_id).alias("_d")).agg(F.count(F.lit(1)).alias("_k"))
+    sets = per_doc.groupingSets([["category"], ["confidence"], []], "category", "confidence").agg(
+        F.sum("_k").alias("findings"), F.countDistinct("_d").alias("documents"), F.grouping_id().alias("_g")
+    )
+    name = F.when(F.col("_g") == 1, "category").when(F.col("_g") == 2, "confidence").otherwise("total")
+    return sets.select(name.alias("section"), F.coalesce("category", "confidence").alias("item"), "findings", "documents")
 
 
 def completeness_report(df: DataFrame, fields: Sequence[str], arrays: Sequence[str] = ()) -> DataFrame:

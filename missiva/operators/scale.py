@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from missiva.session import pin
 
 GROUP_LIMIT = 1_000_000
+# The built-in percentile keeps every distinct value of a group in one hash map.
+PERCENTILE_LIMIT = 100_000
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -124,7 +126,7 @@ def percentiles(
     keys: Sequence[str],
     columns: Sequence[str],
     probs: Mapping[str, float],
-    limit: int = GROUP_LIMIT,
+    limit: int = PERCENTILE_LIMIT,
 ) -> DataFrame:
     """Exact linear-interpolation percentiles, one row per (keys, metric)."""
     long = df.select(
@@ -144,7 +146,7 @@ def percentiles(
             *[F.percentile("value", F.lit(p)).alias(o) for o, p in probs.items()]
         )
     counts = long.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_sums(counts, by, ["value"], {"_hi": F.col("_n")}, limit)
+    cum = running_sums(counts, by, ["value"], {"_hi": F.col("_n")}, max(limit, GROUP_LIMIT) if limit >= PERCENTILE_LIMIT else limit)
     size = long.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
     cum = cum.join(size, by)
     aggs = []

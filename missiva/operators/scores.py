@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from missiva.functions import dates as D
 from missiva.operators.scale import number_rows, percentiles, running_sums, top_rows
+from missiva.session import pin
 
 
 def substantive(sentences: DataFrame, doc_id: str, flag: str = "is_formulaic") -> DataFrame:
@@ -251,8 +252,9 @@ def notable(doc_scores: DataFrame, sentences: DataFrame, doc_id: str, k: int = 1
         ("most_negative", F.col("negative_ratio").desc(), "min"),
     )
     picked = None
+    doc_scores = pin(doc_scores.select(doc_id, "mean", "range", "negative_ratio"))
     for name, order, side in specs:
-        part = top_rows(doc_scores.select(doc_id, "mean", "range", "negative_ratio"), [], [order, F.col(doc_id)], k)
+        part = top_rows(doc_scores, [], [order, F.col(doc_id)], k)
         part = part.withColumn("list", F.lit(name)).withColumn("side", F.lit(side))
         picked = part if picked is None else picked.unionByName(part)
     plain = sentences.filter(~F.col("is_formulaic"))

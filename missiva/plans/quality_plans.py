@@ -81,7 +81,7 @@ def _(spark, sf):
 
 @query("context_sentence")
 def _(spark, sf):
-    f = X.letters(spark, sf).select("id", "text", F.explode(C.match_positions(F.col("text"), "tion")).alias("f"))
+    f = X.letters(spark, sf).select("id", "text", F.explode(T.match_positions(F.col("text"), "tion")).alias("f"))
     return f.select("id", F.col("f.position").alias("position"), C.context_sentence(F.col("text"), F.col("f.position"), F.col("f.original")).alias("sentence"))
 
 

@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from missiva.functions import text as T
 from missiva.operators import corrections as C
 from missiva.operators import epithets as E
 from missiva.operators import profile as P
@@ -53,7 +54,7 @@ def test_each_check_can_fail(rows):
 
 def test_positions_and_sentence(rows):
     df = rows([("Han kom. Saa gik hun hjem. Slut.",)], "t string")
-    m = df.select(C.match_positions(F.col("t"), "gik").alias("m"), "t")
+    m = df.select(T.match_positions(F.col("t"), "gik").alias("m"), "t")
     p = m.first()["m"][0]
     assert (p["position"], p["original"]) == (13, "gik")
     got = m.select(C.context_sentence(F.col("t"), F.lit(13), F.lit("gik")).alias("s")).first()["s"]
