@@ -12,6 +12,10 @@ from missiva.rules import danish
 
 WORD = r"[\p{L}\p{N}_]+"
 NON_WORD = r"[^\p{L}\p{N}_]+"
+# The white-space characters of Unicode.
+BLANKS = "".join(
+    map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
 
 
 def strip(col: Column) -> Column:

@@ -249,17 +249,18 @@ def hapax_near_common(
     )
     # Findings are far fewer than documents: pin them, then bring them to the texts.
     near = bounded_broadcast(pin(near))
-    docs = df.select(F.col(doc_id), F.col(text).alias("_t"))
-    # The word occurs once in all texts, so one search finds its place.
+    docs = df.select(F.col(doc_id), F.col(text).alias("_t"), low.alias("_low"))
+    # The word occurs once in all texts, so one search finds its place. The letters come
+    # first in the pattern and the edges are looked at only where they match.
     edge = r"[\p{L}\p{N}_]"
-    whole = F.concat(F.lit(f"(?<!{edge})"), F.col("w"), F.lit(f"(?!{edge})"))
+    whole = F.concat(F.col("w"), F.lit(f"(?<!{edge}"), F.col("w"), F.lit(f")(?!{edge})"))
     placed = docs.join(near, docs[doc_id] == F.col("_doc")).withColumn(
-        "position", F.regexp_instr(F.lower(F.col("_t")), whole) - 1
+        "position", F.regexp_instr(F.col("_low"), whole) - 1
     )
     start = F.greatest(F.lit(0), F.col("position") - context)
     ctx = F.substring(F.col("_t"), start + 1, F.col("position") + context - start)
-    before = F.regexp_replace(F.substring(F.col("_t"), F.lit(1), F.col("position")), r"(?U)\s+\z", "")
-    sentence_start = (before == "") | before.rlike(r"[.!?]\z")
+    before = F.rtrim(F.substring(F.col("_t"), F.lit(1), F.col("position")), F.lit(T.BLANKS))
+    sentence_start = (before == "") | F.substring(before, F.lit(-1), F.lit(1)).isin(".", "!", "?")
     first = F.substring(F.col("_t"), F.col("position") + 1, F.lit(1))
     proper = (first != F.lower(first)) & ~sentence_start
     foreign = F.size(F.array_intersect(F.array_distinct(T.words(F.lower(ctx))), F.array(*[F.lit(s) for s in stop])))

@@ -45,9 +45,10 @@ def mean_metrics(per_query: DataFrame, topics: DataFrame) -> DataFrame:
     """Means per tier, per dimension and over all; topics(query_id, tier, dimension)."""
     j = per_query.join(topics, "query_id")
     aggs = [F.count(F.lit(1)).alias("queries"), *[F.avg(m).alias(m) for m in METRICS]]
-    part = lambda c: j.groupBy(F.col(c).alias("name")).agg(*aggs).withColumn("level", F.lit(c))
-    whole = j.agg(*aggs).withColumn("name", F.lit("all")).withColumn("level", F.lit("overall"))
-    return part("tier").unionByName(part("dimension")).unionByName(whole)
+    # Each query counts once per level, so one pass over the metrics is enough.
+    levels = (("tier", F.col("tier")), ("dimension", F.col("dimension")), ("overall", F.lit("all")))
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), c.alias("name")) for n, c in levels]))
+    return j.withColumn("_c", cells).groupBy("_c.level", "_c.name").agg(*aggs)
 
 
 def compare_runs(a: DataFrame, b: DataFrame, band: float = 0.001) -> DataFrame:

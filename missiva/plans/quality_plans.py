@@ -79,10 +79,17 @@ def _(spark, sf):
     )
 
 
-@query("context_sentence")
+@query(
+    "context_sentence",
+    with_(
+        LETTERS, FIND,
+        "c AS (SELECT id, position, text, substring(text, greatest(0, position - 150) + 1, position - greatest(0, position - 150)) AS b, substring(text, position + 5, 150) AS a FROM found WHERE seq = 0)",
+        body=f"""SELECT id, position::BIGINT AS position, trim(regexp_replace(replace(regexp_replace(b, '(?s)^.*[.!?]{X.WS}+', '') || 'tion' || regexp_replace(a, '(?s)([.!?]){X.WS}.*$', '\\1'), '<PARA>', ' '), '{X.WS}+', ' ', 'g')) AS sentence FROM c""",
+    ),
+)
 def _(spark, sf):
     f = X.letters(spark, sf).select("id", "text", F.explode(T.match_positions(F.col("text"), "tion")).alias("f"))
-    return f.select("id", F.col("f.position").alias("position"), C.context_sentence(F.col("text"), F.col("f.position"), F.col("f.original")).alias("sentence"))
+    return f.select("id", F.col("f.position").cast("long").alias("position"), C.context_sentence(F.col("text"), F.col("f.position"), F.col("f.original")).alias("sentence"))
 
 
 PATTERNS = (("of the", "of the"), ("de la", "de la"), ("und der", "und der"))

@@ -139,7 +139,28 @@ def _(spark, sf):
     return rounded(R.mean_metrics(R.ir_metrics(run, q), topics(q)), *R.METRICS)
 
 
-@query("compare_runs")
+def _metrics_sql(order: str, tag: str) -> str:
+    return f"""
+run{tag} AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {order}, doc_id) AS rank FROM sims),
+j{tag} AS (SELECT q.query_id, q.grade, r.rank, row_number() OVER (PARTITION BY q.query_id ORDER BY q.grade DESC, q.doc_id) AS ideal FROM qrels q JOIN run{tag} r USING (query_id, doc_id)),
+m{tag} AS (SELECT query_id, count(*) FILTER (grade > 0 AND rank <= 5) / 5.0 AS p5, count(*) FILTER (grade > 0 AND rank <= 10) / 10.0 AS pk,
+ count(*) FILTER (grade > 0 AND rank <= 10) / count(*) FILTER (grade > 0) AS rk, 1.0 / min(rank) FILTER (grade > 0) AS mrr,
+ coalesce(sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (rank <= 10), 0) / sum((pow(2, grade) - 1) / log2(ideal + 1)) FILTER (ideal <= 10) AS ndcg FROM j{tag} GROUP BY 1),
+t{tag} AS (SELECT unnest([['tier', CASE query_id % 3 WHEN 0 THEN 'factual' WHEN 1 THEN 'topical' ELSE 'semantic' END], ['dimension', CASE query_id % 2 WHEN 0 THEN 'people' ELSE 'places' END], ['overall', 'all']]) AS g, m{tag}.* FROM m{tag}),
+u{tag} AS (SELECT g[1] AS level, g[2] AS name, unnest(['p5', 'pk', 'rk', 'mrr', 'ndcg']) AS metric, unnest([avg(p5), avg(pk), avg(rk), avg(mrr), avg(ndcg)]) AS v FROM t{tag} GROUP BY g)"""
+
+
+@query(
+    "compare_runs",
+    with_(
+        DIMS, CENTROIDS, DV,
+        "sims AS (SELECT cent.label AS query_id, dv.vec_id AS doc_id, list_cosine_similarity(cent.v, dv.v) AS c FROM cent, dv)",
+        "qrels AS (SELECT cent.label AS query_id, vec_id AS doc_id, CASE WHEN dv.label = cent.label THEN 2 WHEN abs(dv.label - cent.label) = 1 THEN 1 ELSE 0 END AS grade FROM cent, dv WHERE abs(dv.label - cent.label) <= 2)",
+        _metrics_sql("c DESC", "a"), _metrics_sql("c", "b"),
+        body="""SELECT a.level, a.name, a.metric, round(b.v - a.v, 9) AS delta, CASE WHEN b.v - a.v > 0.001 THEN 'better' WHEN b.v - a.v < -0.001 THEN 'worse' ELSE 'same' END AS verdict
+        FROM ua a JOIN ub b USING (level, name, metric)""",
+    ),
+)
 def _(spark, sf):
     run, q = run_and_qrels(spark, sf)
     worse, _ = run_and_qrels(spark, sf, flip=True)
