@@ -9,7 +9,6 @@ on (keys, order), so a hot key spreads over many blocks, and per-block totals
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -173,10 +172,6 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, out: s
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
-def blocks_for(rows: int, per_block: int) -> int:
-    return max(1, math.ceil(rows / per_block))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for row work on an input with fewer splits than cores; large inputs stay as read."""
     want = df.sparkSession.sparkContext.defaultParallelism

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from missiva.functions import dates as D
-from missiva.operators.scale import number_rows, percentiles, running_sums, top_rows
+from missiva.operators.scale import percentiles, running_sums, top_rows
 from missiva.session import pin
 
 
@@ -264,7 +264,3 @@ def notable(doc_scores: DataFrame, sentences: DataFrame, doc_id: str, k: int = 1
     )
     text = F.when(F.col("side") == "max", F.col("_hi.sentence")).otherwise(F.col("_lo.sentence"))
     return picked.join(ends, doc_id, "left").select("list", "rank", doc_id, "mean", text.alias("excerpt"))
-
-
-def usage_ranks(df: DataFrame, order: Sequence, out: str = "rn") -> DataFrame:
-    return number_rows(df, [], order, out)

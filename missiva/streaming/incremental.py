@@ -10,7 +10,7 @@ from missiva.operators.quality import changed_rows, fingerprint
 
 
 def monthly_density_stream(stream: DataFrame, ts: str, delay: str = "1 day") -> DataFrame:
-    """Rows per month; state of a month is dropped once the watermark has passed it."""
+    """Rows per day with the month it belongs to; a day's state goes once the watermark has passed it."""
     w = F.window(F.col(ts), "1 day")
     daily = stream.withWatermark(ts, delay).groupBy(w).agg(F.count(F.lit(1)).alias("count"))
     return daily.select(D.month_key(F.col("window.start")).alias("month"), F.col("window.start").cast("date").alias("day"), "count")
