@@ -1,13 +1,55 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns of
+`documents`; the last one returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from missiva.llm import passages, ppm, simhash, toxicity
 from missiva.llm.common import staged
+from missiva.llm.queries import packed_documents
+
+TOXIC = 0.7
+# A text goes only if no learnt language is likelier than the others together.
+UNSURE = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score below TOXIC; a null or empty text scores as the bias, and stays."""
+    weights = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_texts(docs, weights, keep=docs.columns).filter(F.col("score") < TOXIC).select(*docs.columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in one of the learnt languages; null texts, texts without a letter and undecided ones go."""
+    found = ppm.identify_languages(docs, ppm.train(docs), keep=docs.columns)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= UNSURE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked fingerprints, the one with the smallest id."""
+    return simhash.keep_one_per_group(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages stay where they come first and are cut out elsewhere."""
+    return passages.without_repeats(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed_documents(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic), ("language_id", keep_languages), ("simhash", drop_near_copies), ("substring_dedup", drop_repeats),
+    ("packing", pack_sequences),
+]
 
+# Trained scores and tokenizers have no SQL; the tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
