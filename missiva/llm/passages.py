@@ -21,8 +21,8 @@ from missiva.operators.graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# Two values a band: 1 - (1 - 0.8 ** 2) ** 5 = 0.994 of the pairs at the threshold meet, more above it.
-BANDS, ROWS = 5, 2
+# Two values a band: 1 - (1 - 0.8 ** 2) ** 4 = 0.983 of the pairs at the threshold meet, more above it.
+BANDS, ROWS = 4, 2
 MIN_WORDS = 8
 # A passage counts from so many words in repeated paragraphs; short sentences between them are not counted.
 MIN_PASSAGE = 25
@@ -177,16 +177,16 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     repeat an id and its text are one document. Empty and null texts have no paragraphs.
     """
     units = staged(paragraphs(docs, doc_id, text, min_words))
-    band = units.select(F.explode("bands").alias("band"), "k1", "k2").distinct()
-    band = band.repartition("band")
+    # One half of the hash is enough to tell a band's paragraphs apart; both uses read the same shuffle.
+    band = units.select(F.explode("bands").alias("band"), "k1").repartition("band")
     mixed = band.groupBy("band").agg(F.min("k1").alias("_lo"), F.max("k1").alias("_hi")).filter("_lo <> _hi").select("band")
-    meeting = staged(band.join(mixed, "band"))
-    similar = meeting.select("k1", "k2").distinct()
-    equal = units.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2")
+    meeting = staged(band.join(mixed, "band").distinct())
+    similar = meeting.select("k1").distinct()
+    equal = units.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1")
     wanted = similar.unionByName(equal).distinct()
-    found = staged(units.drop("bands").join(wanted, ["k1", "k2"], "left_semi"))
+    found = staged(units.drop("bands").join(wanted, "k1", "left_semi"))
     texts = found.select("k1", "k2", "words").dropDuplicates(["k1", "k2"])
-    links = _verified(_buckets(meeting.join(texts, ["k1", "k2"]), bucket), similarity).distinct()
+    links = _verified(_buckets(meeting.join(texts, "k1"), bucket), similarity).distinct()
     nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     links = staged(links)
     groups = components(nodes, links).select(F.col("id.k1").alias("k1"), F.col("id.k2").alias("k2"), F.col("component").alias("group"))
