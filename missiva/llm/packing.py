@@ -21,7 +21,7 @@ from missiva.llm.common import safe_pieces, slices, staged, worker_cache
 from missiva.llm.counts import load_tokenizer
 
 BLOCK = 8192
-CACHE = 300_000
+CACHE = 800_000
 
 
 def document_pieces(
@@ -41,17 +41,23 @@ def document_pieces(
         for batch in batches:
             for part in slices(batch, "text"):
                 cut = [safe_pieces(t) if t else [] for t in part.column("text").to_pylist()]
-                new = list(set().union(*cut).difference(kept))
+                new = set().union(*cut).difference(kept)
+                # A letter and a comma or full stop behind it are always split: one entry serves the word with and without.
+                bare = {p: p[:-1] for p in new if p[-1:] in (",", ".") and p[-2:-1].isalpha() and p[-2] < "\u0250"}
+                some = list({bare.get(p, p) for p in new}.difference(kept).union(",."))
                 more = {}
-                for i in range(0, len(new), 4096):
-                    some = new[i : i + 4096]
-                    more.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+                for i in range(0, len(some), 4096):
+                    encoded = tokenizer.encode_batch_fast(some[i : i + 4096], add_special_tokens=False)
+                    more.update(zip(some[i : i + 4096], (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
+                for p, word in bare.items():
+                    more[p] = (kept[word] if word in kept else more[word]) + more[p[-1]]
                 if len(kept) + len(more) <= CACHE:
                     kept.update(more)
                     more = kept
                 doc, piece, start, length, ids = [], [], [], [], []
                 for i, pieces in enumerate(cut):
-                    raw = b"".join([kept[p] if p in kept else more[p] for p in pieces]) + end
+                    known = map(kept.__getitem__, pieces) if more is kept else [kept[p] if p in kept else more[p] for p in pieces]
+                    raw = b"".join(known) + end
                     n, at, k = len(raw) // 4, 0, 0
                     while at < n:
                         to = at + (n % capacity or capacity) if k == 0 else at + capacity
