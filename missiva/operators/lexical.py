@@ -185,13 +185,9 @@ def compression_ratio(texts: pd.Series) -> pd.Series:
     return texts.map(ratio).astype("float64")
 
 
-def tfidf(
-    df: DataFrame, doc_id: str, text: str, max_words: int | None = None
-) -> DataFrame:
+def tfidf(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Long table of l2-normalised tf-idf weights with smoothed idf ln((1+n)/(1+df))+1."""
     toks = T.words(F.lower(F.col(text)))
-    if max_words is not None:
-        toks = F.slice(toks, 1, max_words)
     tf = df.select(doc_id, F.explode(toks).alias("token")).groupBy(doc_id, "token").agg(
         F.count(F.lit(1)).alias("tf")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -227,6 +228,19 @@ def extremes(df: DataFrame, col: str, k: int, tie: str) -> DataFrame:
     return high.unionByName(low)
 
 
+def union_of_extremes(df: DataFrame, columns: Sequence[str], k: int, key: str, highest: bool = False) -> DataFrame:
+    """The rows among the k lowest (or highest) of any of the measures, each row once.
+
+    Nulls are no extremes; equal values go to the smaller key.
+    """
+    picked = [
+        top_rows(df.filter(F.col(c).isNotNull()), [], [F.col(c).desc() if highest else F.col(c), F.col(key)], k).select(key)
+        for c in columns
+    ]
+    # At most k keys a measure.
+    return df.join(F.broadcast(reduce(DataFrame.unionByName, picked).distinct()), key, "left_semi").dropDuplicates([key])
+
+
 def dominant_measure(measures: Sequence[str], default: str = "unknown") -> Column:
     """Name of the largest measure; first wins ties, `default` if none is present."""
     best = F.greatest(*[F.col(m) for m in measures])

@@ -242,11 +242,12 @@ def _related_blocked(rows: DataFrame, key: str, k: int, block: int, dp: int) ->
 def search(
     queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, vector: str, k: int | None = 10
 ) -> DataFrame:
-    """Cosine ranking of all documents for each query vector; k is kept within 1..50, None ranks everything.
+    """Cosine ranking of all documents for each query vector; None for k ranks everything.
 
     Query vectors travel in chunks of MATRIX_ROWS; each Arrow batch keeps its best k.
     """
-    k = None if k is None else min(max(k, 1), 50)
+    if k is not None and k < 1:
+        raise ValueError("k must be at least 1")
     q = queries.select(query_id, unit(F.col(vector)).alias("v"))
     chunks = max(1, -(-q.count() // (MATRIX_ROWS // 2)))
     part = F.pmod(F.xxhash64(query_id), F.lit(chunks))

@@ -403,6 +403,17 @@ def _(spark, sf):
     return rounded(out.select("key", "divergence", F.col("rank").cast("long").alias("rank")), "divergence")
 
 
+@query(
+    "union_of_extremes",
+    """SELECT c_custkey, c_nationkey, round(c_acctbal, 9) AS c_acctbal FROM customer
+    WHERE c_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal IS NOT NULL ORDER BY c_acctbal, c_custkey LIMIT 10)
+    OR c_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IS NOT NULL ORDER BY c_nationkey, c_custkey LIMIT 10)""",
+)
+def _(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return rounded(S.union_of_extremes(c, ["c_acctbal", "c_nationkey"], 10, "c_custkey"), "c_acctbal")
+
+
 @query(
     "extremes",
     with_(

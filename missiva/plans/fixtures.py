@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from missiva.operators import lexical, sentences
 from missiva.operators.scale import spread
 from missiva.plans.catalog import table
+from missiva.rules.danish import ABBREVIATIONS
 
 # A small valence lexicon of words the documents contain.
 VALENCE = {
@@ -58,9 +59,7 @@ def sents(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumn("is_formulaic", sentences.is_formulaic(F.col("sentence"), FORMULAIC))
 
 
-_ABBR = "|".join(
-    "Kl kl St Hr Fr Dr Nr Pr J Chr H C P M N A L T S E K Kilom kilom Feldw feldw Regt regt ca evt bl div osv dvs d f m".split()
-)
+_ABBR = "|".join(ABBREVIATIONS)
 SENTS = f"""
 marked AS (
   SELECT id, regexp_replace(text, '([.!?])({WS}+)([A-ZÆØÅ])', '\\1\x01\x02\\2\\3', 'g') AS t FROM letters),

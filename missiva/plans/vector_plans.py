@@ -171,13 +171,13 @@ def _(spark, sf):
 
 @query("kmeans")
 def _(spark, sf):
-    out, _ = V.kmeans(emb(spark, sf), "vec_id", "embedding", 8, restarts=3)
+    out, _ = V.kmeans(emb(spark, sf), "vec_id", "embedding", 8, restarts=5)
     return rounded(out.select("vec_id", "cluster", "distance2"), "distance2", dp=6)
 
 
 @query("elbow")
 def _(spark, sf):
-    return rounded(V.elbow(emb(spark, sf), "embedding", range(1, 6)), "inertia", dp=4)
+    return rounded(V.elbow(emb(spark, sf), "embedding", range(1, 10)), "inertia", dp=4)
 
 
 @query("pca_dimensions")

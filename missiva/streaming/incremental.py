@@ -17,13 +17,19 @@ def monthly_density_stream(stream: DataFrame, ts: str, delay: str = "1 day") ->
 
 
 def upsert_changed(state_path: str, key: str, columns: list[str], version: str = ""):
-    """A foreachBatch function that appends only rows whose fingerprint is not stored yet."""
+    """A foreachBatch function that appends only rows whose fingerprint differs from the latest one stored for their key.
+
+    The order of writing is kept in `stored_at`. A batch that is tried again after its rows were written adds nothing,
+    as they are the latest of their keys by then.
+    """
 
     def run(batch: DataFrame, _epoch: int) -> None:
         from missiva.sources.readers import read_optional
 
         marked = fingerprint(batch, key, columns, version).dropDuplicates([key, "fingerprint"])
+        marked = marked.withColumn("stored_at", F.current_timestamp())
         seen = read_optional(batch.sparkSession, state_path, marked.schema)
-        changed_rows(marked, seen, key).write.mode("append").parquet(state_path)
+        latest = seen.groupBy(key).agg(F.max_by("fingerprint", "stored_at").alias("fingerprint"))
+        changed_rows(marked, latest, key).write.mode("append").parquet(state_path)
 
     return run

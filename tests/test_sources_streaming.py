@@ -86,3 +86,12 @@ def test_stream_counts_and_upserts(spark, tmp_path):
         w.stop()
         assert spark.read.parquet(state).count() == 2
     assert spark.read.parquet(state).filter(F.col("fingerprint").isNull()).count() == 0
+
+
+def test_a_value_that_returns_counts_as_changed(spark, tmp_path):
+    state = str(tmp_path / "state")
+    run = I.upsert_changed(state, "id", ["t"])
+    for epoch, text in enumerate(["A", "A", "B", "A"]):
+        run(spark.createDataFrame([(1, text)], "id long, t string"), epoch)
+    run(spark.createDataFrame([(1, "A")], "id long, t string"), 3)
+    assert spark.read.parquet(state).count() == 3
