@@ -28,8 +28,15 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that outlives the task, for loaded vocabularies; worker processes are reused."""
-    return sys.__dict__.setdefault("_missiva_worker", {}).setdefault(name, {})
+    """A dict that outlives the task, for loaded vocabularies; worker processes are reused.
+
+    A worker holds one such dict: asking for another name lets the former one go.
+    """
+    held = sys.__dict__.setdefault("_missiva_worker", {})
+    if name not in held:
+        held.clear()
+        held[name] = {}
+    return held[name]
 
 
 def learns(doc_id: str | Column) -> Column:

@@ -16,11 +16,11 @@ FREQUENT = 200_000
 SAMPLE_ROWS = 20_000
 
 
-def load_tokenizer(path: str):
+def load_tokenizer(path: str, kept: dict | None = None):
     """The tokenizer of a `.json` file without truncation or padding, loaded once per worker."""
     from tokenizers import Tokenizer
 
-    kept = worker_cache("tokenizers")
+    kept = worker_cache("tokenizers") if kept is None else kept
     if path not in kept:
         kept[path] = Tokenizer.from_file(path)
         kept[path].no_truncation()

@@ -37,7 +37,8 @@ def document_pieces(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, kept, end = load_tokenizer(vocabulary), worker_cache(f"ids {vocabulary}"), np.uint32(end_id).tobytes()
+        cache, end = worker_cache("packing"), np.uint32(end_id).tobytes()
+        tokenizer, kept = load_tokenizer(vocabulary, cache), cache.setdefault(f"ids {vocabulary}", {})
         for batch in batches:
             for part in slices(batch, "text"):
                 cut = [safe_pieces(t) if t else [] for t in part.column("text").to_pylist()]
