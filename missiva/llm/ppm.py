@@ -27,15 +27,25 @@ START = b" " * ORDER
 
 
 def training_sample(docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int) -> DataFrame:
-    """(lang, text) of at most `per_language` documents of a language, those with the smallest id hashes."""
+    """(lang, text) of at most `per_language` documents of a language, those with the smallest id hashes.
+
+    Rows that repeat an id and a language are learnt once, with their smallest text.
+    """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     usable = rows.filter(learns("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Ids only: each task keeps the first of every language before anything is shuffled.
-    picked = usable.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language)
-    picked = picked.select("doc_id", "lang").distinct()
-    # At most `per_language` ids of each of at most MAX_LANGUAGES languages (checked below).
-    return usable.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # Hashes below this mark hold about twice the documents wanted, so the ranking never sees a whole language.
+    mark = F.lit(0)
+    for r in sizes:
+        mark = F.when(F.col("lang") == r.lang, int(min(1.0, 2 * per_language / max(r.n, 1)) * (1 << 40))).otherwise(mark)
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    near = usable.select("doc_id", "lang").filter(place < mark).distinct()
+    picked = near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language).drop("_r")
+    # At most `per_language` ids of each of at most MAX_LANGUAGES languages.
+    return usable.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def count_grams(sample: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
@@ -104,6 +114,16 @@ class ContextTables:
             p3 = _blend(_rows(three, (c[0] * a + c[1]) * a + c[2], c[3], n, a), below)
             self.bits[:, k] = -np.log2(np.concatenate([p3, p2, one])).ravel()
 
+    def parts(self) -> tuple:
+        """Plain values that can be sent to executors without a copy of the package."""
+        return self.languages, self.width, self.classes, self.state, self.bits
+
+    @classmethod
+    def of(cls, parts: tuple) -> ContextTables:
+        tables = cls.__new__(cls)
+        tables.languages, tables.width, tables.classes, tables.state, tables.bits = parts
+        return tables
+
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language."""
         out = np.zeros((len(texts), len(self.languages)))
@@ -151,8 +171,6 @@ def train(
     grams: dict[str, tuple[list, list]] = {}
     counted = count_grams(training_sample(docs, doc_id, text, lang, per_language), max_grams)
     for r in counted.toLocalIterator():
-        if r.lang not in grams and len(grams) == MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
         gram, n = grams.setdefault(r.lang, ([], []))
         gram.append(r.gram)
         n.append(r.n)
@@ -171,10 +189,10 @@ def identify_languages(
     names = [doc_id] if keep is None else keep
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("_ppm_text"))
     schema = source.drop("_ppm_text").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    shared = docs.sparkSession.sparkContext.broadcast(tables.parts())
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = ContextTables.of(shared.value)
         for batch in batches:
             for part in slices(batch, "_ppm_text"):
                 texts = [t or "" for t in part.column("_ppm_text").to_pylist()]
