@@ -104,14 +104,19 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, fill: np.ndarray, capaci
 
     Stops when the bins are as few as their content allows, or when no bin has an improving exchange left.
     """
-    least, stuck = -(-int(fill.sum()) // capacity), set()
+    least, stuck, changed = -(-int(fill.sum()) // capacity), set(), False
     while int((fill > 0).sum()) > least:
         order = [int(b) for b in np.argsort(fill, kind="stable") if 0 < fill[b] < capacity and int(b) not in stuck]
         if len(order) < 2:
-            return
-        donor = order[0]
+            if not changed:
+                return
+            # Exchanges with other bins may have opened room for a bin that was stuck before; squared fill bounds the rounds.
+            stuck, changed = set(), False
+            continue
+        donor, had = order[0], fill[order[0]]
         if not _give(lengths, bins, fill, capacity, donor):
             stuck.add(donor)
+        changed |= bool(fill[donor] != had)
 
 
 def _give(lengths: np.ndarray, bins: np.ndarray, fill: np.ndarray, capacity: int, donor: int) -> bool:
