@@ -21,7 +21,7 @@ from missiva.llm.common import safe_pieces, slices, staged, worker_cache
 from missiva.llm.counts import load_tokenizer
 
 BLOCK = 8192
-CACHE = 800_000
+CACHE = 300_000
 
 
 def document_pieces(

@@ -27,7 +27,7 @@ MIN_WORDS = 8
 # A passage counts from so many words in repeated paragraphs; short sentences between them are not counted.
 MIN_PASSAGE = 25
 BUCKET = 512
-CACHE = 300_000
+CACHE = 100_000
 END = re.compile(r"[.!?]+(?=\s)|\n")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -16,7 +16,7 @@ BITS = 20
 TRAIN_DOCS = 15_000
 # Features of fewer training documents are left out.
 MIN_DOCS = 4
-CACHE = 300_000
+CACHE = 100_000
 # Everything in ASCII that is no letter separates words.
 SEPARATE = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
