@@ -15,7 +15,8 @@ from missiva.rules import danish
 
 @dataclass(frozen=True)
 class ScanRule:
-    """One finding rule; context conditions are look-arounds of `pattern`.
+    """One finding rule. `lead` is what must stand directly before a hit and is not part of it, however long; a hit
+    with `not_before` in the `window` characters before it, line ends included, does not count.
 
     `corrected` None only flags. `inner` is the pattern without context that
     rewrites the match with `corrected` as replacement; without it `corrected` is
@@ -29,6 +30,9 @@ class ScanRule:
     method: str = "pattern_match"
     inner: str | None = None
     keep_case: bool = False
+    lead: str | None = None
+    not_before: str | None = None
+    window: int = 40
 
 
 def _corrected(rule: ScanRule, original: Column) -> Column:
@@ -47,10 +51,27 @@ def findings_array(text: Column, rules: Sequence[ScanRule]) -> Column:
     groups = []
     for seq, r in enumerate(rules):
         build = _finding(seq, r)
-        groups.append(F.transform(T.match_positions(text, r.pattern), build))
+        groups.append(F.transform(_hits(text, r), build))
     return F.concat(*groups)
 
 
+def _hits(text: Column, r: ScanRule) -> Column:
+    if r.lead is None:
+        hits = T.match_positions(text, r.pattern)
+    else:
+        whole = T.match_positions(text, f"(?:{r.lead})(?:{r.pattern})")
+
+        def bare(h: Column) -> Column:
+            hit = F.regexp_replace(h["original"], f"^(?:{r.lead})", "")
+            return F.struct((h["position"] + F.length(h["original"]) - F.length(hit)).alias("position"), hit.alias("original"))
+
+        hits = F.transform(whole, bare)
+    if r.not_before is None:
+        return hits
+    start = lambda h: F.greatest(F.lit(0), h["position"] - r.window)
+    return F.filter(hits, lambda h: ~F.substring(text, start(h) + 1, h["position"] - start(h)).rlike(r.not_before))
+
+
 def _finding(seq: int, r: ScanRule):
     return lambda h: F.struct(
         h["position"].alias("position"), F.lit(seq).alias("seq"), h["original"].alias("original"),
@@ -159,12 +180,19 @@ DEFAULT_RULES = (
     ScanRule(r"(?U)\bPakke\.n\b", "Pakken", "ocr_artifact"),
     ScanRule(r"\? \?", "?", "typing_error"),
     ScanRule(
-        r"(?<!(?i:poststempel|absender|feldpost|konvolut)[^\n]{0,32})[a-zæøå]{4,}(?<!chl|egt|atl|att|omp|ffz|elv|efr|nf|iv|eg|es|az|an|ang)\.[A-ZÆØÅ][a-zæøå]",
-        "$1. $2", "typing_error", inner=r"^(.*)\.(..)$",
+        r"(?<![a-zæøå])[a-zæøå]{4,}+(?<!chl|egt|atl|att|omp|ffz|elv|efr|nf|iv|eg|es|az|an|ang)\.[A-ZÆØÅ][a-zæøå]",
+        "$1. $2", "typing_error", inner=r"^(.*)\.(..)$", not_before="(?i)poststempel|absender|feldpost|konvolut",
     ),
-    ScanRule(r"(?<=(?iU:tak)\s{1,9})(?U)\bTor\b", "for", "typing_error", "medium"),
+    ScanRule(r"(?U)\bTor\b", "for", "typing_error", "medium", lead=r"(?iU)\btak\s++"),
     ScanRule(r"(?U)\bdia\b", "du", "typing_error", "medium"),
-    ScanRule(r"(?<![.!?\n]\s{0,9})(?<!^)(?U)\bDia\b", "Du", "typing_error", "medium"),
-    ScanRule(r"(?<=(?iU:\bude)\s{1,9})(?iU)\bst\b(?=\s+\w)", "at", "typing_error", "medium", keep_case=True),
+    ScanRule(r"(?U)\bDia\b", "Du", "typing_error", "medium", lead=r"(?U)[^\s.!?]\s*+"),
+    ScanRule(r"(?iU)\bst\b(?=\s+\w)", "at", "typing_error", "medium", keep_case=True, lead=r"(?iU)\bude\s++"),
+    # No farming word before it: another word, the hit before, or no word at all.
+    ScanRule(
+        r"(?iU)\bkorn\b", "kom", "typing_error", "medium", keep_case=True,
+        lead=rf"(?iU)\b(?!(?:{'|'.join(danish.FARMING)})\s)\w++\s++|(?U)(?:\G|(?<=[^\w\s]))\s*+",
+    ),
+    ScanRule(r"(?iU)\blier\b", "her", "typing_error", "medium", keep_case=True, lead=rf"(?iU)\b(?:{'|'.join(danish.NOUN_MARKERS)})\s++"),
+    ScanRule(r"(?iU)\bvj\b", "vi", "typing_error", "medium", keep_case=True),
     ScanRule("«", None, "encoding_artifact", "review", "encoding_scan"),
 )

@@ -28,6 +28,8 @@ PATTERNS = (
     ("Tante", r"(?iU)\btante\b"),
     ("Stakkel", r"(?iU)\bstakkels?\b"),
 )
+# Phrases whose mentions are told apart one by one.
+SPLIT = ("den gamle", "vor gamle", "min gamle")
 CHECKED = ("den gamle", "den lille", "den unge", "den syge", "vor gamle", "min gamle")
 # What the text after a phrase says about its use, first fit wins.
 USAGE = (
@@ -108,18 +110,20 @@ def strict_winner(scores: dict[str, Column], default: str = "ambiguous") -> Colu
 def resolve_epithets(
     matches: DataFrame, letters: DataFrame, doc_id: str, date: str, text: str, context: dict[str, str] = CONTEXT,
     male: str = MALE, female: str = FEMALE, named: str = FATHER_IN_TEXT, onset: str = WAR_START,
-    entity_docs: DataFrame | None = None,
+    entity_docs: DataFrame | None = None, split_patterns: Sequence[str] = SPLIT,
 ) -> DataFrame:
-    """Referent of each substantive phrase: military_superior, father or other.
+    """Referent of each substantive use of a split phrase: military_superior, father or other, for review.
 
     Votes of context words and pronouns around it, whether the father is named in the
-    same document, and whether the war has begun decide in this order.
+    same document, and whether the war has begun decide in this order. Every mention of
+    another phrase keeps its votes, with a NULL referent and confidence `unresolved`.
     """
+    split = F.col("pattern").isin(*split_patterns)
     wide = F.col("wide_context")
     votes = {n: F.regexp_count(wide, F.lit(rx)) for n, rx in context.items()}
     gender = strict_winner({"male": F.regexp_count(wide, F.lit(male)), "female": F.regexp_count(wide, F.lit(female))}, "unknown")
     facts = letters.select(doc_id, F.col(date).alias("_date"), F.col(text).rlike(named).alias("_named"))
-    rows = matches.filter(F.col("usage") == "substantive").drop(date).join(facts, doc_id)
+    rows = matches.filter(~split | (F.col("usage") == "substantive")).drop(date).join(facts, doc_id)
     if entity_docs is not None:
         told = entity_docs.select(doc_id).distinct().withColumn("_ent", F.lit(True))
         rows = rows.join(told, doc_id, "left").withColumn("_named", F.col("_named") | F.coalesce("_ent", F.lit(False)))
@@ -135,7 +139,8 @@ def resolve_epithets(
     )
     return rows.select(
         doc_id, F.col("_date").alias(date), "pattern", "position", "context_type", "gender",
-        F.col("_named").alias("co_occurs"), referent.alias("referent"), "context",
+        F.col("_named").alias("co_occurs"), F.when(split, referent).alias("referent"),
+        F.when(split, "review").otherwise("unresolved").alias("confidence"), "context",
     )
 
 

@@ -135,18 +135,18 @@ er AS (SELECT *, len(regexp_extract_all(wide, '(?i)the')) AS f, len(regexp_extra
   len(regexp_extract_all(wide, ' (le|der) ')) AS ma, len(regexp_extract_all(wide, ' (la|die) ')) AS fe, contains(text, 'nicht') AS named FROM em WHERE usage = 'substantive'),
 ek AS (SELECT *, CASE WHEN f > m AND f > c THEN 'family' WHEN m > f AND m > c THEN 'military' WHEN c > f AND c > m THEN 'community' ELSE 'ambiguous' END AS context_type,
   CASE WHEN ma > fe THEN 'male' WHEN fe > ma THEN 'female' ELSE 'unknown' END AS gender FROM er),
-ev AS (SELECT *, CASE WHEN named THEN 'military_superior' WHEN gender = 'female' THEN 'other' WHEN context_type = 'military' THEN 'military_superior'
+ev AS (SELECT *, CASE WHEN pattern = 'und der' THEN 'unresolved' ELSE 'review' END AS confidence, CASE WHEN pattern = 'und der' THEN NULL WHEN named THEN 'military_superior' WHEN gender = 'female' THEN 'other' WHEN context_type = 'military' THEN 'military_superior'
   WHEN context_type = 'family' THEN 'father' WHEN context_type = 'ambiguous' AND date >= DATE '2021-07-01' THEN 'military_superior' ELSE 'other' END AS referent FROM ek)"""
 
 
 def resolved(spark, sf):
     lt = X.letters(spark, sf).select("id", "date", "text")
-    return E.resolve_epithets(epithets(spark, sf), lt, "id", "date", "text", CTX, " (le|der) ", " (la|die) ", "nicht", X.ONSET)
+    return E.resolve_epithets(epithets(spark, sf), lt, "id", "date", "text", CTX, " (le|der) ", " (la|die) ", "nicht", X.ONSET, split_patterns=("of the", "de la"))
 
 
-@query("resolve_epithets", with_(LETTERS, EPI, RES, body="SELECT id, pattern, position::BIGINT AS position, context_type, gender, named AS co_occurs, referent FROM ev"))
+@query("resolve_epithets", with_(LETTERS, EPI, RES, body="SELECT id, pattern, position::BIGINT AS position, context_type, gender, named AS co_occurs, referent, confidence FROM ev"))
 def _(spark, sf):
-    return resolved(spark, sf).select("id", "pattern", F.col("position").cast("long").alias("position"), "context_type", "gender", "co_occurs", "referent")
+    return resolved(spark, sf).select("id", "pattern", F.col("position").cast("long").alias("position"), "context_type", "gender", "co_occurs", "referent", "confidence")
 
 
 @query(

@@ -88,6 +88,12 @@ AUDIT_CHARS = (
 # Characters a corrected text may hold, and those only under review.
 ALLOWED_CHARS = r"[\x20-\x7E\n\tæøåÆØÅéÉüäöÜÄÖß½¼¾°]"
 REVIEW_CHARS = "á«¥"
+# Words before "korn" that speak of grain, and words before "lier" that call for another word.
+FARMING = ("sæd", "høst", "mark", "rug", "byg", "havre", "hvede", "afgrøde", "kerne", "sæk", "lade")
+NOUN_MARKERS = (
+    "den", "det", "de", "en", "et", "min", "din", "sin", "vor", "hans", "hendes", "deres", "lille", "store", "gamle",
+    "eneste", "første", "sidste",
+)
 KNOWN_ERRORS = ("Tak Tor", "ude st ", " dia ", " vj ", "love.e")
 
 # Function words that mark a German passage.

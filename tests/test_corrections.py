@@ -28,6 +28,22 @@ def test_rules_need_their_context(rows):
     assert got["text_corrected"] == "Brandenburger Tor. Dia er st"
 
 
+def test_guards_see_the_whole_window(rows):
+    gap = " " * 12
+    for text, want in [
+        ("Feldpost\nhan sider.Jeg kom", None), ("Feldpost" + " " * 31 + "morsomt.Jeg", None), ("Feldpost" + " " * 41 + "morsomt.Jeg", "morsomt. Je"),
+        (f"Tak{gap}Tor", "for"), (f"han.{gap}Dia er", None), (f"Ja{gap}Dia er", "Du"), (f"ude{gap}st gaa", "at"),
+    ]:
+        got = [(c["position"], c["corrected"]) for c in correct(rows, text).first()["corrections"]]
+        assert [c for _, c in got] == ([want] if want else [])
+        assert all(text[p] in "mTDs" for p, _ in got)
+
+
+def test_words_before_decide(rows):
+    got = correct(rows, "Korn han korn korn. Rug korn og sæd  korn, mark, korn. Den lier, og lier vj Vj").first()
+    assert got["text_corrected"] == "Kom han kom kom. Rug korn og sæd  korn, mark, kom. Den her, og lier vi Vi"
+
+
 def test_overlaps_apply_from_the_right(rows):
     rules = (C.ScanRule("abc", "X", "a"), C.ScanRule("cd", "Y", "b"))
     assert correct(rows, "abcd", rules).first()["text_corrected"] == "abY"
@@ -75,6 +91,7 @@ def test_epithet_use_and_referent(rows):
     ref = {(r["id"], r["pattern"]): r["referent"] for r in E.resolve_epithets(m, lt, "id", "date", "t").collect()}
     assert ref[(1, "den gamle")] == "military_superior" and ref[(3, "den gamle")] == "military_superior"
     assert ref[(4, "den gamle")] == "other" and ref[(5, "den gamle")] == "father"
+    assert (2, "Onkel") in ref and ref[(2, "Onkel")] is None
     ev = E.resolution_evidence(E.resolve_epithets(m, lt, "id", "date", "t"), "id", (("military_superior", 1), ("father", 1), ("other", 1)))
     assert ev.filter("pattern = 'den gamle'").count() == 3
 
