@@ -95,6 +95,26 @@ URL_RULES = (
 )
 
 
+# All terms are plain words, so a bounded hit is a maximal run of letters and digits that equals a term.
+SQL["op10_url_filter"] = f"""
+WITH soft AS (SELECT unnest({list(urls.SOFT_TERMS)}) AS term, unnest({list(urls.SOFT_TERMS.values())}) AS weight),
+r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest, coalesce(url, '') AS url FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract_all(lower(url), '[\\p{{L}}\\p{{N}}]+') AS runs FROM r),
+v AS (SELECT *, len(list_filter(runs, lambda x: list_contains({list(urls.STRICT_TERMS)}, x))) AS n_strict,
+  list_filter((SELECT list({{'t': term, 'w': weight}}) FROM soft), lambda s: list_contains(runs, s.t)) AS hits FROM h),
+j AS (SELECT *, CASE
+  WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM v)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN n_strict > 0 OR (len(hits) >= 2 AND list_sum(list_transform(hits, lambda s: s.w)) >= 3) THEN 'block' ELSE 'allow' END AS verdict,
+  CAST(n_strict AS INTEGER) AS n_strict, CAST(len(hits) AS INTEGER) AS n_soft FROM j
+"""
+
+
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
