@@ -125,7 +125,9 @@ def get_person(
 def get_place(places: DataFrame, letters: DataFrame, name: str) -> DataFrame:
     """A place by id or name, one row per document written there."""
     one = places.filter((F.col("place_id").cast("string") == name) | (F.lower("place") == name.lower()))
-    return F.broadcast(one).join(letters.select("place", F.col("id").alias("doc_id"), "date"), "place", "left")
+    # One place, so the letters are thinned where they are read; the outer join then sees only its own.
+    there = letters.join(F.broadcast(one.select("place").distinct()), "place", "left_semi")
+    return one.join(there.select("place", F.col("id").alias("doc_id"), "date"), "place", "left")
 
 
 def restrict(

@@ -288,22 +288,27 @@ def score_pairs(docs: DataFrame, images: DataFrame, frequent: Sequence[str] = ()
         i.filter("idt IS NOT NULL").select("image_id", "idt", bucket(F.col("idt")).alias("_b")), "_b"
     ).filter(F.abs(F.datediff("dd", "idt")) <= 92).select("doc_id", "image_id")
     cand = dk.join(ik, "_k").select("doc_id", "image_id").unionByName(near).distinct()
-    j = cand.join(d, "doc_id").join(i, "image_id")
     gap = F.abs(F.datediff("dd", "idt"))
     bonus = F.lit(0.0)
     for days, b in reversed(DATE_BONUS):
         bonus = F.when(gap <= days, b).otherwise(bonus)
-    place, person, rec = F.arrays_overlap("dp", "ip"), F.arrays_overlap("dn", "inn"), F.arrays_overlap("dr", "inn")
-    base = dict(BASE_SCORES)
-    kind = (
+    # One projection per step: every value is computed once, and the generated code stays small.
+    j = cand.join(d, "doc_id").join(i, "image_id").withColumns({
+        "_place": F.arrays_overlap("dp", "ip"), "_person": F.arrays_overlap("dn", "inn"), "_rec": F.arrays_overlap("dr", "inn"),
+        "_bonus": bonus,
+    })
+    place, person, rec, c = F.col("_place"), F.col("_person"), F.col("_rec"), F.col("category")
+    j = j.withColumn(
+        "_kind",
         F.when(place & (person | rec), "place+person").when(place, "place").when(rec, "recipient").when(person, "person")
-        .when(bonus >= 0.2, "date").otherwise("context")
+        .when(F.col("_bonus") >= 0.2, "date").otherwise("context"),
     )
-    start = F.lit(0.0)
-    for name, s in base.items():
-        start = F.when(kind == name, F.lit(s) + bonus).otherwise(start)
-    start = F.when((kind == "place") & (F.col("category") == "place"), start + 0.1).otherwise(start)
-    c = F.col("category")
+    kind = F.col("_kind")
+    known = F.create_map(*[F.lit(x) for pair in BASE_SCORES for x in pair])
+    base = F.try_element_at(known, kind)
+    own = F.when((kind == "place") & (c == "place"), 0.1).otherwise(0.0)
+    j = j.withColumn("_start", F.when(base.isNull(), 0.0).otherwise(base + F.col("_bonus") + own))
+    start = F.col("_start")
     capped = (
         F.when((c == "portrait") & ~person & ~rec, 0.0)
         .when((c == "map") & ~place, 0.0)

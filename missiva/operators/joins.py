@@ -111,8 +111,12 @@ def cascade_match(
         T.base_name(fr).alias("b"), T.name_components(fr).alias("c"),
     )
 
+    def firsts(df: DataFrame) -> DataFrame:
+        """The first candidate of each key: no key fans out in a join, however common the name part is."""
+        return df.groupBy("k").agg(F.min(F.struct("_o", "matched")).alias("m")).select("k", "m._o", "m.matched")
+
     def hits(a: DataFrame, b: DataFrame, no: int) -> DataFrame:
-        return a.join(b, "k").groupBy("_l").agg(
+        return a.join(firsts(b), "k").groupBy("_l").agg(
             F.min(F.struct(F.lit(no).alias("p"), F.col("_o"), F.col("matched"))).alias("m")
         )
 
@@ -129,16 +133,14 @@ def cascade_match(
         ),
     ]
     pl = lt.filter(F.length("b") >= prefix).select("_l", F.col("b").alias("k"))
-    pr = rt.filter(F.length("b") >= prefix).groupBy(F.col("b").alias("k")).agg(
-        F.min(F.struct("_o", "matched")).alias("m")
-    ).select("k", F.col("m._o").alias("_o"), F.col("m.matched").alias("matched"))
+    pr = firsts(rt.filter(F.length("b") >= prefix).select("matched", "_o", F.col("b").alias("k")))
     heads = lambda df, *keep: df.select(
         *keep, F.explode(F.transform(F.sequence(F.lit(prefix), F.length("k")), lambda n: F.substring(F.col("k"), F.lit(1), n))).alias("k")
     )
     passes.append(hits(heads(pl, "_l"), pr, 4).unionByName(hits(pl, heads(pr, "_o", "matched"), 4)))
     if aliases:
         al = lt.select("_l", F.posexplode("a").alias("i", "x")).select("_l", "i", T.fold_name(F.col("x")).alias("k"))
-        rk = rt.select("matched", "_o", F.col("f").alias("k"))
+        rk = firsts(rt.select("matched", "_o", F.col("f").alias("k")))
         # Aliases are tried in list order, so their position decides before the candidate order.
         best = al.join(rk, "k").groupBy("_l").agg(F.min(F.struct("i", "_o", "matched")).alias("m"))
         passes.append(

@@ -205,6 +205,10 @@ def tfidf(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return flat.select(doc_id, "_e.token", (F.col("_e.w") / F.col("_norm")).alias("weight"))
 
 
+# Rare words of more letters meet common ones by parts instead of deletion forms.
+SHORT = 12
+
+
 def hapax_near_common(
     df: DataFrame,
     doc_id: str,
@@ -218,8 +222,10 @@ def hapax_near_common(
 ) -> DataFrame:
     """Words that occur once and lie within a small edit distance of a common word.
 
-    Candidates come from an equi-join on deletion neighbourhoods: two words within
-    distance d share a form reached by deleting at most d letters from each.
+    Candidates come from equi-joins. Two words within distance d share a form reached by
+    deleting at most d letters from each; that serves rare words of up to SHORT letters. A
+    longer one is cut into d + 1 parts, of which one stands unchanged in the other word, at
+    most d places off. So a word of any length has a bounded number of keys.
     """
     low = F.lower(F.col(text))
     # Words are whole runs of word characters made of the listed letters only.
@@ -233,11 +239,14 @@ def hapax_near_common(
     # A vocabulary is small in bytes but each word yields many forms: keep all cores busy.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deletions = lambda c: deletion_forms(F.col(c), max_distance)
-    left = rare.repartition(n, "w").select("w", "_at", F.explode(deletions("w")).alias("_form"))
-    right = common.select("c", "c_n", F.explode(deletions("c")).alias("_form"))
+    rare = rare.repartition(n, "w")
+    left = rare.filter(F.length("w") <= SHORT).select("w", "_at", F.explode(deletions("w")).alias("_form"))
+    right = common.filter(F.length("c") <= SHORT + max_distance).select("c", "c_n", F.explode(deletions("c")).alias("_form"))
+    parts = rare.filter(F.length("w") > SHORT).select("w", "_at", F.explode(word_parts(F.col("w"), max_distance)).alias("_part"))
+    places = common.filter(F.length("c") > SHORT - max_distance).select("c", "c_n", F.explode(part_places(F.col("c"), max_distance)).alias("_part"))
+    met = left.join(right, "_form").drop("_form").unionByName(parts.join(places, "_part").drop("_part"))
     near = (
-        left.join(right, "_form")
-        .select("w", "_at", "c", "c_n", F.levenshtein("w", "c", max_distance).alias("d"))
+        met.select("w", "_at", "c", "c_n", F.levenshtein("w", "c", max_distance).alias("d"))
         .filter(F.col("d") >= 0)
         .groupBy("w", "_at")
         .agg(F.min(F.struct("d", "c", "c_n")).alias("_best"))
@@ -266,6 +275,32 @@ def hapax_near_common(
     )
 
 
+def _part(length: Column, i: int, depth: int) -> tuple[Column, Column]:
+    """Start and size of part i of depth + 1 parts of a word of that length."""
+    start = F.floor(length * i / (depth + 1)).cast("int")
+    return start, F.floor(length * (i + 1) / (depth + 1)).cast("int") - start
+
+
+def word_parts(word: Column, depth: int) -> Column:
+    """(length, part number, part) of the depth + 1 parts of a word."""
+    size = F.length(word)
+    spans = [_part(size, i, depth) for i in range(depth + 1)]
+    return F.array(*[F.struct(size.alias("n"), F.lit(i).alias("i"), F.substring(word, a + 1, k).alias("p")) for i, (a, k) in enumerate(spans)])
+
+
+def part_places(word: Column, depth: int) -> Column:
+    """Every (length, part number, part) by which a word within `depth` edits can meet this one."""
+    shifts = F.array(*[F.lit(x) for x in range(-depth, depth + 1)])
+
+    def at(other: Column, i: int) -> Column:
+        size = F.length(word) + other
+        a, k = _part(size, i, depth)
+        inside = F.filter(shifts, lambda s: (a + s >= 0) & (a + s + k <= F.length(word)))
+        return F.transform(inside, lambda s: F.struct(size.alias("n"), F.lit(i).alias("i"), F.substring(word, a + s + 1, k).alias("p")))
+
+    return F.array_distinct(F.flatten(F.transform(shifts, lambda other: F.concat(*[at(other, i) for i in range(depth + 1)]))))
+
+
 def deletion_forms(word: Column, depth: int) -> Column:
     """The word and every form reached by deleting up to `depth` letters."""
     forms = F.array(word)

@@ -307,8 +307,8 @@ def _(spark, sf):
         "gz AS (SELECT s_suppkey AS gaz_id, CASE WHEN s_suppkey % 3 = 0 THEN 'Town ' || s_nationkey ELSE s_name END AS label, ((s_nationkey * 37) % 120 - 60)::DOUBLE + (s_suppkey % 13) / 70.0 AS lat, ((s_nationkey * 53) % 300 - 150)::DOUBLE AS lng FROM supplier)",
         f"p AS (SELECT a.place_id, a.place, b.gaz_id, b.label, {KM} AS km FROM pl a, gz b)",
         "t AS (SELECT *, CASE WHEN km <= 5 THEN 1 ELSE 2 END AS tier FROM p WHERE km <= 15)",
-        "s AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY round(km, 6), gaz_id) AS r FROM t WHERE tier = (SELECT min(tier) FROM t u WHERE u.place_id = t.place_id))",
-        "b AS (SELECT place_id, min({'h': CASE WHEN contains(lower(place), lower(label)) OR contains(lower(label), lower(place)) THEN 0 ELSE 1 END, 'km': round(km, 6), 'g': gaz_id, 't': tier}) AS m FROM s WHERE r <= 5 GROUP BY 1)",
+        "s AS (SELECT * FROM t WHERE tier = (SELECT min(tier) FROM t u WHERE u.place_id = t.place_id))",
+        "b AS (SELECT place_id, min({'h': CASE WHEN contains(lower(place), lower(label)) OR contains(lower(label), lower(place)) THEN 0 ELSE 1 END, 'km': round(km, 6), 'g': gaz_id, 't': tier}) AS m FROM s GROUP BY 1)",
         body="""SELECT pl.place_id, coalesce(o.gaz, b.m.g) AS gaz_id, CASE WHEN o.gaz IS NOT NULL THEN 'manual_override' WHEN b.m.t = 1 THEN 'coordinate_5km' WHEN b.m.t = 2 THEN 'coordinate_15km' ELSE 'unmatched' END AS match_method,
         CASE WHEN o.gaz IS NULL THEN round(b.m.km, 1) END AS distance_km FROM pl LEFT JOIN b ON b.place_id = pl.place_id
         LEFT JOIN (SELECT n_nationkey * 7 AS pid, n_nationkey AS gaz FROM nation) o ON o.pid = pl.place_id""",

@@ -614,11 +614,12 @@ def _(spark, sf):
         LETTERS,
         "p AS (SELECT id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+') AS p FROM letters)",
         "t AS (SELECT id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM p)",
-        "v AS (SELECT * FROM t WHERE regexp_full_match(w, '[a-z]{3,}'))",
-        "f AS (SELECT w, count(*) AS n, min(id) AS id, min(i) AS i FROM v GROUP BY w)",
-        """c AS (SELECT a.w, a.id, a.i, min({'d': levenshtein(a.w, b.w), 'c': b.w, 'n': b.n}) AS m
+        "v AS (SELECT * FROM t WHERE regexp_full_match(w, '[a-zß-öø-ÿœ]{3,}'))",
+        # The SQL engine measures edit distance in bytes: every letter becomes one ASCII sign.
+        "f AS (SELECT w, translate(w, 'ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ012345') AS x, count(*) AS n, min(id) AS id, min(i) AS i FROM v GROUP BY w)",
+        """c AS (SELECT a.w, a.id, a.i, min({'d': levenshtein(a.x, b.x), 'c': b.w, 'n': b.n}) AS m
              FROM f a JOIN f b ON a.n = 1 AND b.n >= 5 AND abs(length(a.w) - length(b.w)) <= 2
-             WHERE a.w NOT IN ('der', 'die', 'und', 'nicht') AND levenshtein(a.w, b.w) <= 2 GROUP BY ALL)""",
+             WHERE a.w NOT IN ('der', 'die', 'und', 'nicht') AND levenshtein(a.x, b.x) <= 2 GROUP BY ALL)""",
         """x AS (SELECT c.id, c.w, c.m, p.text, length(coalesce(array_to_string(p.p[1:c.i - 1], ''), '')) AS pos FROM c JOIN p ON p.id = c.id)""",
         f"""y AS (SELECT *, substring(text, greatest(0, pos - 40) + 1, pos + 40 - greatest(0, pos - 40)) AS ctx,
              regexp_replace(substring(text, 1, pos), '{WS}+$', '') AS before, substring(text, pos + 1, 1) AS ch FROM x)""",
@@ -628,8 +629,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    # Plain letters only: the SQL engine measures edit distance in bytes.
     out = lexical.hapax_near_common(
-        X.letters(spark, sf), "id", "text", stop=("der", "die", "und", "nicht"), letters="a-z"
+        X.letters(spark, sf), "id", "text", stop=("der", "die", "und", "nicht"), letters="a-zß-öø-ÿœ"
     )
     return out.withColumns({c: F.col(c).cast("long") for c in ("position", "distance")})
