@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from missiva.operators.scale import bounded_broadcast, top_rows
@@ -256,6 +257,11 @@ def search(
     return hits if k is None else top_rows(hits, [query_id], [F.col("score").desc(), doc_id], k)
 
 
+def search_tool(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, vector: str, k: int = 10) -> DataFrame:
+    """`search` as a tool offers it: k is taken into 1 to 50, whatever was asked for."""
+    return search(queries, docs, query_id, doc_id, vector, min(max(k, 1), 50))
+
+
 def _search(q: DataFrame, docs: DataFrame, query_id: str, doc_id: str, vector: str, k: int | None) -> DataFrame:
     names, m = matrix_of(q, query_id, "v")
     qt, dt = dict(q.dtypes)[query_id], dict(docs.dtypes)[doc_id]
@@ -326,40 +332,73 @@ def pca_dimensions(vectors: DataFrame, key: str, vector: str, n: int = 10):
     return scores, components
 
 
-def pca_long(weights: DataFrame, row: str, col: str, value: str, n: int = 2, rounds: int = 12) -> DataFrame:
-    """First n principal scores of a sparse long table by orthogonal iteration.
+def pca_long(
+    weights: DataFrame, row: str, col: str, value: str, n: int = 2, tol: float = 1e-5, max_rounds: int = 200, extra: int = 4,
+) -> DataFrame:
+    """First n principal scores of a sparse long table by subspace iteration.
 
     For tf-idf tables whose vocabulary is too wide for a covariance matrix: each round
-    is two joins with partial sums, centring uses the column means, and only an n x n
-    matrix reaches the driver.
+    is two joins with partial sums, centring uses the column means, and only matrices of
+    n + `extra` rows reach the driver. Rounds end when the residual of each of the n
+    directions is at most `tol` of the largest eigenvalue; a warning tells if `max_rounds`
+    came first. The largest loading of a component is positive; components beyond the
+    rank of the table are 0.
     """
     total = weights.select(row).distinct().count()
     w = pin(weights.select(F.col(row).alias("r"), F.col(col).alias("c"), F.col(value).cast("double").alias("x")))
     means = w.groupBy("c").agg((F.sum("x") / total).alias("mu"))
-    span = range(n)
     # A fixed pseudo-random start derived from the column name.
-    basis = pin(means.select("c", "mu", *[(F.pmod(F.xxhash64("c", F.lit(i)), F.lit(2001)) / 1000.0 - 1).alias(f"b{i}") for i in span]))
-    for _ in range(rounds):
-        basis = pin(_orthonormal(basis, n))
-        shift = basis.agg(*[F.sum(F.col("mu") * F.col(f"b{i}")).alias(f"s{i}") for i in span])
-        scores = w.join(basis, "c").groupBy("r").agg(*[F.sum(F.col("x") * F.col(f"b{i}")).alias(f"p{i}") for i in span])
-        scores = scores.crossJoin(F.broadcast(shift)).select("r", *[(F.col(f"p{i}") - F.col(f"s{i}")).alias(f"p{i}") for i in span])
+    start = [(F.pmod(F.xxhash64("c", F.lit(i)), F.lit(2001)) / 1000.0 - 1).alias(f"z{i}") for i in range(n + extra)]
+    step = pin(means.select("c", "mu", *start))
+    basis = pin(_orthonormal(step, _products(step, "z", "z", n + extra)))
+    for _ in range(max_rounds):
+        m = len(basis.columns) - 2
+        back = w.join(_scores(w, basis, m), "r").groupBy("c").agg(*[F.sum(F.col("x") * F.col(f"p{i}")).alias(f"z{i}") for i in range(m)])
         # Centred scores sum to zero over all rows, so the mean term of X^T p vanishes.
-        back = w.join(scores, "r").groupBy("c").agg(*[F.sum(F.col("x") * F.col(f"p{i}")).alias(f"b{i}") for i in span])
-        basis = means.join(back, "c").select("c", "mu", *[f"b{i}" for i in span])
-    basis = pin(_orthonormal(pin(basis), n))
-    shift = basis.agg(*[F.sum(F.col("mu") * F.col(f"b{i}")).alias(f"s{i}") for i in span])
-    scores = w.join(basis, "c").groupBy("r").agg(*[F.sum(F.col("x") * F.col(f"b{i}")).alias(f"p{i}") for i in span])
-    return scores.crossJoin(F.broadcast(shift)).select(F.col("r").alias(row), *[(F.col(f"p{i}") - F.col(f"s{i}")).alias(f"pc{i + 1}") for i in span])
-
-
-def _orthonormal(basis: DataFrame, n: int) -> DataFrame:
-    """Columns b0.. made orthonormal through the Cholesky factor of their n x n Gram matrix."""
-    cells = [F.sum(F.col(f"b{i}") * F.col(f"b{j}")) for i in range(n) for j in range(n)]
-    gram = np.array(basis.agg(*cells).first(), dtype=float).reshape(n, n)
-    inv = np.linalg.inv(np.linalg.cholesky(gram)).T
-    mixed = [sum((F.col(f"b{i}") * float(inv[i, j]) for i in range(n)), F.lit(0.0)).alias(f"b{j}") for j in range(n)]
-    return basis.select("c", "mu", *mixed)
+        step = pin(basis.join(back, "c"))
+        inner, gram = _products(step, "b", "z", m), _products(step, "z", "z", m)
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, turn = values[::-1][:n], turn[:, ::-1][:, :n]
+        off = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", turn, gram, turn) - values**2, 0))
+        if off.max(initial=0) <= tol * max(values.max(initial=0), 1e-300):
+            break
+        basis = pin(_orthonormal(step, gram))
+    else:
+        warnings.warn(f"principal directions still move after {max_rounds} rounds", stacklevel=2)
+    found = turn.shape[1]
+    loads = pin(step.select("c", "mu", *[_mix("b", turn[:, i]).alias(f"b{i}") for i in range(found)]))
+    signs = loads.agg(*[F.signum(F.max_by(f"b{i}", F.struct(F.abs(F.col(f"b{i}")), "c"))).alias(f"s{i}") for i in range(found)]).first()
+    out = [F.col(f"p{i}") * float(signs[i] or 1) if i < found else F.lit(0.0) for i in range(n)]
+    return _scores(w, loads, found).select(F.col("r").alias(row), *[x.alias(f"pc{i + 1}") for i, x in enumerate(out)])
+
+
+def _scores(w: DataFrame, basis: DataFrame, m: int) -> DataFrame:
+    """(r, p0..): the centred rows on each direction of the basis."""
+    shift = basis.agg(*[F.sum(F.col("mu") * F.col(f"b{i}")).alias(f"s{i}") for i in range(m)])
+    scores = w.join(basis, "c").groupBy("r").agg(*[F.sum(F.col("x") * F.col(f"b{i}")).alias(f"p{i}") for i in range(m)])
+    return scores.crossJoin(F.broadcast(shift)).select("r", *[(F.col(f"p{i}") - F.col(f"s{i}")).alias(f"p{i}") for i in range(m)])
+
+
+def _products(df: DataFrame, a: str, b: str, m: int) -> np.ndarray:
+    """The m x m sums of products of the columns a0.. and b0.., which are symmetric up to rounding."""
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    sums = df.agg(*[F.sum(F.col(f"{a}{i}") * F.col(f"{b}{j}")) for i, j in pairs]).first()
+    out = np.zeros((m, m))
+    for (i, j), x in zip(pairs, sums, strict=True):
+        out[i, j] = out[j, i] = x or 0.0
+    return out
+
+
+def _mix(prefix: str, weights: np.ndarray) -> Column:
+    return sum((F.col(f"{prefix}{i}") * float(x) for i, x in enumerate(weights)), F.lit(0.0))
+
+
+def _orthonormal(step: DataFrame, gram: np.ndarray) -> DataFrame:
+    """(c, mu, b0..): orthonormal columns that span z0.., fewer of them where those are dependent."""
+    size, turn = np.linalg.eigh(gram)
+    real = size > 1e-12 * max(size.max(initial=0), 1e-300)
+    turn = turn[:, real] / np.sqrt(size[real])
+    return step.select("c", "mu", *[_mix("z", turn[:, j]).alias(f"b{j}") for j in range(turn.shape[1])])
 
 
 def seed_pole_check(scores: DataFrame, pole: str, score: str) -> DataFrame:

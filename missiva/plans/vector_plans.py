@@ -192,7 +192,7 @@ def _(spark, sf):
     from missiva.operators.scores import axis_normalize
 
     w = tfidf(X.letters(spark, sf), "id", "text")
-    return axis_normalize(V.pca_long(w, "id", "token", "weight", 2, rounds=4), ["pc1", "pc2"])
+    return axis_normalize(V.pca_long(w, "id", "token", "weight", 2), ["pc1", "pc2"])
 
 
 @query(

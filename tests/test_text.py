@@ -144,3 +144,23 @@ def test_validate_schema(rows):
     spec = [{"field": "name", "required": True}, {"field": "path", "prefix": "img/"}, {"field": "tags", "nonempty": True}]
     got = {tuple(r) for r in validate_schema(df, "id", spec).collect()}
     assert got == {(1, "name", "missing"), (1, "tags", "empty"), (2, "path", "prefix")}
+
+
+def test_long_words_meet_by_parts(spark):
+    long = "".join(chr(97 + i * 7 % 26) for i in range(5000))
+    pairs = [
+        ("forsvarsminister", "forsvarsministre"), ("forsvarsminister", "forsvarministers"), ("forsvarsminister", "xforsvarsministerx"),
+        ("forsvarsminister", "forsvarsminist"), ("forsvarsministeren", "forzvarsministerne"), (long, long[:2000] + "x" + long[2001:4000] + long[4001:]),
+    ]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    met = F.arrays_overlap(L.word_parts(F.col("a"), 2), L.part_places(F.col("b"), 2))
+    near = F.levenshtein("a", "b", 2) >= 0
+    rows = df.select(met.alias("met"), near.alias("near"), F.size(L.part_places(F.col("b"), 2)).alias("n")).collect()
+    assert any(r.near for r in rows) and all(r.met for r in rows if r.near) and all(r.n <= 75 for r in rows)
+
+
+def test_hapax_finds_a_word_of_5000_letters(spark):
+    long = "".join(chr(97 + i * 7 % 26) for i in range(5000))
+    rows = [(i, long + " er her") for i in range(5)] + [(9, "og " + long[:100] + long[101:] + " kom")]
+    got = L.hapax_near_common(spark.createDataFrame(rows, "id int, text string"), "id", "text").filter(F.length("original") > 100).collect()
+    assert [(r.id, r.distance, r.suggested == long) for r in got] == [(9, 1, True)]

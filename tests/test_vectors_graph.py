@@ -40,10 +40,13 @@ def test_neighbours_small_and_blocked(cloud):
     check(V._related_blocked(rows, "id", 5, 7, 4), want)
 
 
-def test_search_clamps_and_ranks(cloud):
+def test_search_ranks_and_only_the_tool_clamps(cloud):
     x, df = cloud
     q = df.filter("id IN (0, 60)").select(F.col("id").alias("q"), "v")
-    assert V.search(q, df, "q", "id", "v", 500).count() == 100
+    assert V.search_tool(q, df, "q", "id", "v", 500).count() == 100
+    assert V.search(q, df, "q", "id", "v", 500).count() == 2 * len(x)
+    with pytest.raises(ValueError):
+        V.search(q, df, "q", "id", "v", 0)
     top = V.search(q, df, "q", "id", "v", 1).collect()
     assert {r["q"]: r["id"] for r in top} == {0: 0, 60: 60}
 
@@ -91,7 +94,7 @@ def test_sparse_components_match_svd(spark):
     x = rng.random((30, 12)) * (rng.random((30, 12)) > 0.4)
     x[:, 0] *= 5
     long = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(30) for j in range(12) if x[i, j]], "r int, c int, w double")
-    got = np.array([(r["pc1"], r["pc2"]) for r in V.pca_long(long, "r", "c", "w", 2, rounds=25).orderBy("r").collect()])
+    got = np.array([(r["pc1"], r["pc2"]) for r in V.pca_long(long, "r", "c", "w", 2).orderBy("r").collect()])
     c = x - x.mean(0)
     u, s, _ = np.linalg.svd(c, full_matrices=False)
     assert abs(abs(np.corrcoef(got[:, 0], u[:, 0] * s[0])[0, 1]) - 1) < 1e-4
