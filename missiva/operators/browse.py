@@ -69,7 +69,7 @@ def score_list(
 
     rows = letters.join(scores, on, "left")
     if year is not None:
-        rows = rows.filter(F.year(date) == year)
+        rows = rows.filter((F.col(date) >= F.lit(f"{year:04d}-01-01").cast("date")) & (F.col(date) < F.lit(f"{year + 1:04d}-01-01").cast("date")))
     if category is not None:
         rows = rows.filter(score_category(F.coalesce(F.col("mean"), F.lit(0.0))) == category)
     total = rows.count()
