@@ -3,7 +3,7 @@
 Pieces are dealt by hash into blocks of bounded size. A block is packed by best fit decreasing; then the emptiest
 bin gives documents away, by a move or by exchanging one or two of them against shorter ones of fuller bins, as long
 as the squared fill grows, until it is empty and another bin becomes the emptiest. What stays rather empty in every
-block is pooled and packed again, until one block holds the pool.
+block is pooled and packed again, until one block holds the pool or a round hardly saves bins.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from missiva.llm.common import safe_pieces, slices, staged, worker_cache
 from missiva.llm.counts import load_tokenizer
 
 BLOCK = 8192
+# Packing the pool again goes on while it saves one bin in so many: the rounds grow with the logarithm of the bins.
+SAVED = 256
 CACHE = 300_000
 
 
@@ -202,20 +204,24 @@ def pack(pieces: DataFrame, capacity: int = 2048, block: int = BLOCK) -> DataFra
 
     No sequence holds more than `capacity` ids, offsets have no gaps, and only full columns of numbers travel: the
     ids stay where they are. Blocks hold about `block` pieces whatever a key's share of the rows is. Equal lengths
-    are ordered by id, piece and start, so repeated runs give the same sequences.
+    are ordered by id, piece and start, so repeated runs give the same sequences. Every piece is placed: a round that
+    saves too few of the pool's bins closes all of them as they are.
     """
     todo = staged(pieces)
     schema = todo.schema.add("sequence_id", "long").add("offset", "long").add("open", "boolean")
-    done, step = None, 0
+    done, step, before = None, 0, None
     while True:
         blocks = max(1, -(-todo.count() // block))
-
         dealt = todo.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(step)), F.lit(blocks)))
         packed = staged(dealt.groupBy("_block").applyInPandas(_packer(schema.names, capacity, step, blocks == 1), schema))
-        closed = packed.filter("NOT open").drop("open")
+        # Every bin has one piece at its start.
+        bins, still = packed.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & F.col("open"))).first()
+        last = blocks == 1 or still == 0 or (before is not None and (before - bins) * SAVED < before)
+        closed = (packed if last else packed.filter("NOT open")).drop("open")
         done = closed if done is None else done.unionByName(closed)
-        if blocks == 1:
+        if last:
             return done
+        before = still
         todo = packed.filter("open").drop("open", "sequence_id", "offset")
         step += 1
 

@@ -58,6 +58,27 @@ def test_packed_sequences_hold_the_ids(spark, awkward):
         assert ids[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)] == known[r.doc_id, r.piece, r.start]
 
 
+def test_pieces_that_cannot_share_a_bin_are_packed(spark, monkeypatch):
+    # Without the stop the pool keeps its size for ever: give up after a few tables.
+    tables = []
+
+    def counted(df):
+        tables.append(1)
+        assert len(tables) < 12, "the pool does not shrink"
+        return staged(df)
+
+    staged = packing.staged
+    monkeypatch.setattr(packing, "staged", counted)
+    # Six blocks of pieces of 0.6 of a sequence, and some that fit beside them.
+    pieces = spark.range(300).selectExpr("id doc_id", "0 piece", "0L start", "if(id < 260, 60L, 40L) length")
+    got = packing.pack(pieces, 100, block=50).collect()
+    assert sorted(r.doc_id for r in got) == list(range(300))
+    fill = Counter()
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 100 and len(fill) == 260
+
+
 def test_local_search_empties_bins():
     # Best fit leaves 4 bins; 6+4, 5+5, 3+3+4 fill three.
     lengths = np.array([6, 5, 5, 4, 4, 3, 3])
