@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from missiva.llm.common import staged
+
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -22,7 +24,6 @@ WINDOW = 8
 CAPITALS = "".join(chr(c) for c in [*range(0x41, 0x5B), *range(0xC0, 0xDF)] if c != 0xD7)
 RULES = ("symbol_share", "capital_share", "exclamation_share", "dup_line_share")
 QUANTILES = (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.925, 0.95, 0.97, 0.98, 0.99, 0.995, 0.999, 1.0)
-LABELLED_LIMIT = 50_000
 
 
 def _without(text: str, signs: str) -> Column:
@@ -144,24 +145,22 @@ def certified_cutoffs(
 def judge_quality(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang",
     label: str = "quality", min_words: int = 20, max_repeat_percent: int = 30, risk: float = 0.05, delta: float = 0.05,
-    max_labelled: int = LABELLED_LIMIT,
 ) -> DataFrame:
     """The counts of every row, with `base_failed`, `kept` and the `reasons` that speak against it.
 
     A row fails the base with fewer than `min_words` words or more than `max_repeat_percent` percent repeated words.
     Else it is kept unless a signal exceeds the certified cutoff of its stratum; a stratum without cutoffs (none
-    labelled, too few to certify, null labels) rejects nothing more. Cutoffs are fitted on at most `max_labelled`
-    labelled documents, those with the smallest hashes; of conflicting labels the lower one counts. Null strata form
-    one stratum, null ids have no label. Repeated rows are judged alike, each on its own.
+    labelled, too few to certify, null labels) rejects nothing more. Cutoffs are fitted on all labelled documents; of
+    conflicting labels the lower one counts. Null strata form one stratum, null ids have no label. Repeated rows are
+    judged alike, each on its own.
     """
     marks = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("mark")).dropna()
-    marks = marks.groupBy("doc_id").agg(F.min("mark").alias("mark")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    marks = marks.groupBy("doc_id").agg(F.min("mark").alias("mark"))
     place = F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
-    # At most `max_labelled` rows of two numbers.
-    picked = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), place.alias("stratum")).join(F.broadcast(marks), "doc_id")
-    known = base_counts(picked, carry={"stratum": F.col("stratum"), "mark": F.col("mark")})
+    # Counted once: a few numbers a row, for the cutoffs and for the verdicts.
+    rows = staged(base_counts(docs, doc_id, text, {"stratum": place}))
+    known = rows.join(marks, "doc_id")
     cutoffs = certified_cutoffs(known.select("doc_id", "stratum", (F.col("mark") > 0).alias("good"), *[c.alias(r) for r, c in signals().items()]), risk, delta)
-    rows = base_counts(docs, doc_id, text, {"stratum": place})
     # No more strata than labelled rows.
     rows = rows.join(F.broadcast(cutoffs), "stratum", "left")
     over = [F.when(c > F.col("cutoffs")[r], F.lit(r)) for r, c in signals().items()]

@@ -129,6 +129,17 @@ def test_quality_query(spark, awkward, no_documents):
     assert quality.judge_quality(no_documents, labels).collect() == []
 
 
+def test_all_labels_count(spark):
+    # One document in a hundred is in the rare stratum: half of the labels cannot certify a cutoff there.
+    words = "array_join(transform(sequence(1, 24), i -> concat('w', i, if(id % 10 = 3, '!', ''))), ' ')"
+    docs = spark.range(110_000).selectExpr("id doc_id", f"{words} text", "if(id % 1000 < 10, 'rare', 'en') lang")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 10 = 3, 0, 1) quality")
+    got = quality.judge_quality(docs, labels).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "kept").count().collect()
+    counts = {(r["lang"], r.kept): r["count"] for r in got}
+    assert counts[("rare", False)] == docs.filter("lang = 'rare' AND doc_id % 10 = 3").count() > 0
+    assert counts[("en", False)] == docs.filter("lang = 'en' AND doc_id % 10 = 3").count()
+
+
 def plain_url(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.split(r"[/?#]", rest, maxsplit=1)[0]
