@@ -21,8 +21,8 @@ from missiva.operators.graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# Two values a band: 1 - (1 - 0.8 ** 2) ** 4 = 0.983 of the pairs at the threshold meet, more above it.
-BANDS, ROWS = 4, 2
+# Two values a band: 1 - (1 - 0.8 ** 2) ** 5 = 0.994 of the pairs at the threshold meet, more above it.
+BANDS, ROWS = 5, 2
 MIN_WORDS = 8
 # A passage counts from so many words in repeated paragraphs; short sentences between them are not counted.
 MIN_PASSAGE = 25

@@ -72,6 +72,11 @@ def test_repeated_paragraphs(planted, bucket):
     assert Counter((r.doc_id, r.ord, r.start, r.end, r.n_words, r.first_doc_id, r.removed) for r in got) == Counter(want)
 
 
+def test_share_of_similar_pairs_that_meet():
+    # What MinHash bands promise at the threshold.
+    assert 1 - (1 - passages.SIMILARITY**passages.ROWS) ** passages.BANDS > 0.99
+
+
 def test_passages_are_found_and_cut(planted):
     rows, passage, docs = planted
     got = passages.repeated_passages(docs).collect()
