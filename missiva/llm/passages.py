@@ -1,9 +1,13 @@
-"""Repeated passages: MinHash bands over paragraphs, exact verification, removal by components.
+"""Repeated passages: MinHash bands over paragraphs, exact verification, removal by components; word windows beside.
 
 A paragraph here is a sentence, or a line where a line ends first, of at least MIN_WORDS words, so that a passage is
 found wherever it stands in a longer line. Equal paragraphs meet under a 128-bit hash; similar ones meet in a band of
 MinHash values and are verified on their exact 5-word shingles. Each component of verified links keeps the paragraph
 that comes first; runs of neighbouring repeated paragraphs make up the passages.
+
+Equal passages need no sentence bounds: every run of `min_passage` equal words that occurs twice counts, wherever it
+starts and ends. Each window of so many words picks the smallest hash of the shorter grams in it; equal windows pick
+equal grams, so only windows of grams that occur twice are compared, by the gram's hash and one of the whole window.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from missiva.llm.common import slices, staged, worker_cache
@@ -24,11 +28,12 @@ SIMILARITY = 0.8
 # Two values a band: 1 - (1 - 0.8 ** 2) ** 5 = 0.994 of the pairs at the threshold meet, more above it.
 BANDS, ROWS = 5, 2
 MIN_WORDS = 8
-# A passage counts from so many words in repeated paragraphs; short sentences between them are not counted.
+# A passage counts from so many words, short sentences inside it included.
 MIN_PASSAGE = 25
 BUCKET = 512
 CACHE = 100_000
 END = re.compile(r"[.!?]+(?=\s)|\n")
+WORD = re.compile(r"\S+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,9 +87,10 @@ def min_hashes(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, row, ord, start, end, n_words, k1, k2, bands, words): every paragraph of every row.
+    """(doc_id, row, ord, start, end, word, n_words, k1, k2, bands, words): every paragraph of every row.
 
-    `row` is a hash of the whole text, `ord` counts the paragraphs of a text, `start` and `end` are code points.
+    `row` is a hash of the whole text, `ord` counts the paragraphs of a text, `start` and `end` are code points, `word`
+    counts the words before it.
     """
     kind = docs.select(F.col(f"`{doc_id}`")).schema[0].dataType.simpleString()
 
@@ -94,19 +100,21 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
         hashes = worker_cache("passages").setdefault("hashes", _Hashes())
         for batch in batches:
             for part in slices(batch, "text"):
-                doc, order, start, end, size, words, joined = [], [], [], [], [], [], []
+                doc, order, start, end, place, size, words, joined = [], [], [], [], [], [], [], []
                 for i, t in enumerate(part.column("text").to_pylist()):
-                    n = 0
+                    n = at_word = 0
                     for a, b, found in pieces(t or ""):
                         if len(found) >= min_words:
                             doc.append(i)
                             order.append(n)
                             start.append(a)
                             end.append(b)
+                            place.append(at_word)
                             size.append(len(found))
                             words += found
                             joined.append(" ".join(found))
                             n += 1
+                        at_word += len(found)
                 if not doc:
                     continue
                 key = np.frombuffer(b"".join([xxhash.xxh3_128_digest(j) for j in joined]), np.int64).reshape(-1, 2)
@@ -115,13 +123,13 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
                 at = pa.array(doc, pa.int64())
                 offsets = pa.array(np.arange(len(doc) + 1) * BANDS, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(at), part.column("row").take(at), pa.array(order, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(size, pa.int32()),
+                    [part.column("doc_id").take(at), part.column("row").take(at), pa.array(order, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(place, pa.int32()), pa.array(size, pa.int32()),
                      pa.array(key[:, 0]), pa.array(key[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel())), pa.array(joined, pa.string())],
-                    names=["doc_id", "row", "ord", "start", "end", "n_words", "k1", "k2", "bands", "words"],
+                    names=["doc_id", "row", "ord", "start", "end", "word", "n_words", "k1", "k2", "bands", "words"],
                 )
 
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = f"doc_id {kind}, row long, ord int, start int, end int, n_words int, k1 long, k2 long, bands array<long>, words string"
+    schema = f"doc_id {kind}, row long, ord int, start int, end int, word int, n_words int, k1 long, k2 long, bands array<long>, words string"
     return source.mapInArrow(split, schema)
 
 
@@ -171,7 +179,7 @@ def _buckets(members: DataFrame, size: int) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, row, ord, start, end, n_words, first_doc_id, removed) of the paragraphs that occur more than once.
+    """(doc_id, row, ord, start, end, word, n_words, first_doc_id, removed) of the paragraphs that occur more than once.
 
     The copy that comes first by (doc_id, row, ord) stays, the others are `removed`; null ids come first. Rows that
     repeat an id and its text are one document. Empty and null texts have no paragraphs.
@@ -197,37 +205,185 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     firsts = placed.groupBy("group").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     repeated = placed.join(firsts, "group")
     same = F.col("_first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_first.row") == F.col("row")) & (F.col("_first.ord") == F.col("ord"))
-    return repeated.select("doc_id", "row", "ord", "start", "end", "n_words", F.col("_first.doc_id").alias("first_doc_id"), (~same).alias("removed"))
+    return repeated.select("doc_id", "row", "ord", "start", "end", "word", "n_words", F.col("_first.doc_id").alias("first_doc_id"), (~same).alias("removed"))
+
+
+def _rolled(words: np.ndarray, size: int, factor: int) -> np.ndarray:
+    """Hash of every run of `size` word hashes."""
+    h = np.zeros(len(words) - size + 1, np.uint64)
+    for k in range(size):
+        h = _mixed(h * np.uint64(factor) + words[k : k + len(h)])
+    return h
+
+
+def picked_grams(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gram hash, its place) that every window of `n` word hashes picks, from the window's words only."""
+    short = (n + 1) // 2
+    grams = _rolled(words, short, 0xD6E8FEB86659FD93)
+    at = np.lib.stride_tricks.sliding_window_view(grams, n - short + 1).argmin(1) + np.arange(len(words) - n + 1)
+    return grams[at], at
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    return texts.withColumn("unit", F.xxhash64("doc_id", "row", F.col("doc_id").isNull()))
+
+
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = MIN_PASSAGE) -> DataFrame:
+    """(doc_id, row, start, end, word, n_words, first_doc_id, removed): spans of equal windows of `n` words.
+
+    Words are compared in lower case, white space is not. Of equal windows the one that comes first by (doc_id, row,
+    word) stays; one that overlaps its first copy in the same text stays too. The spans of a text may overlap; together
+    they cover every word of every window that occurs twice. Rows that repeat an id and its text are one document.
+    """
+    kind = docs.select(F.col(f"`{doc_id}`")).schema[0].dataType.simpleString()
+    texts = _texts(docs, doc_id, text)
+
+    def hashed(t: str, hashes: _Hashes) -> np.ndarray:
+        return np.fromiter(map(hashes.__getitem__, t.lower().split()), np.int64).view(np.uint64)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = worker_cache("passages").setdefault("hashes", _Hashes())
+        for batch in batches:
+            for part in slices(batch, "text"):
+                unit, gram, twice = [], [], []
+                for u, t in zip(part.column("unit").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    words = hashed(t or "", hashes)
+                    if len(words) >= n:
+                        g, at = picked_grams(words, n)
+                        new = np.concatenate([[True], at[1:] != at[:-1]])
+                        g, count = np.unique(g[new], return_counts=True)
+                        unit.append(np.full(len(g), u, np.int64))
+                        gram.append(g.view(np.int64))
+                        twice.append(count > 1)
+                if unit:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (gram, unit, twice)], names=["gram", "unit", "twice"])
+
+    # Each gram of a text once.
+    picked = texts.select("unit", "text").mapInArrow(pick, "gram long, unit long, twice boolean").repartition("gram")
+    same = Window.partitionBy("gram")
+    shared = picked.select("gram", "unit", F.max("twice").over(same).alias("_twice"), F.min("unit").over(same).alias("_lo"), F.max("unit").over(same).alias("_hi"))
+    wanted = shared.filter("_twice OR _lo <> _hi").groupBy("unit").agg(F.collect_list("gram").alias("grams"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = worker_cache("passages").setdefault("hashes", _Hashes())
+        for batch in batches:
+            for part in slices(batch, "text"):
+                doc, gram, word, sizes, whole, start, end = [], [], [], [], [], [], []
+                for i, (t, some) in enumerate(zip(part.column("text").to_pylist(), part.column("grams"), strict=True)):
+                    words = hashed(t, hashes)
+                    g, at = picked_grams(words, n)
+                    ok = np.flatnonzero(np.isin(g.view(np.int64), some.values.to_numpy()))
+                    if not len(ok):
+                        continue
+                    # Neighbouring windows with the same gram in the same place make one row.
+                    cuts = np.flatnonzero(np.concatenate([[True], (at[ok[1:]] != at[ok[:-1]]) | (np.diff(ok) > 1)]))
+                    bounds = np.array([m.span() for m in WORD.finditer(t)], np.int32)
+                    doc.append(np.full(len(cuts), i))
+                    gram.append(g[ok[cuts]].view(np.int64))
+                    word.append(ok[cuts].astype(np.int32))
+                    sizes.append(np.diff(np.append(cuts, len(ok))))
+                    whole.append(_rolled(words, n, 0xA0761D6478BD642F)[ok].view(np.int64))
+                    start.append(bounds[ok, 0])
+                    end.append(bounds[ok + n - 1, 1])
+                if not doc:
+                    continue
+                at = pa.array(np.concatenate(doc))
+                windows = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (whole, start, end)], names=["hash", "start", "end"])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(at), part.column("row").take(at), pa.array(np.concatenate(gram)), pa.array(np.concatenate(word)), pa.ListArray.from_arrays(offsets, windows)],
+                    names=["doc_id", "row", "gram", "word", "windows"],
+                )
+
+    some = texts.join(wanted, "unit").select("doc_id", "row", "text", "grams")
+    rows = some.mapInArrow(compare, f"doc_id {kind}, row long, gram long, word int, windows array<struct<hash:long,start:int,end:int>>").repartition("gram")
+    # What is dealt by gram lies right for (gram, hash) too.
+    each = rows.select("doc_id", "row", "gram", "word", F.posexplode("windows").alias("_i", "_w"))
+    each = each.select("gram", F.col("_w.hash").alias("hash"), F.struct("doc_id", "row", (F.col("word") + F.col("_i")).alias("word")).alias("place"), "_w.start", "_w.end")
+    equal = Window.partitionBy("gram", "hash")
+    found = each.select("*", F.min("place").over(equal).alias("_first"), F.max("place").over(equal).alias("_last")).filter(~F.col("_first").eqNullSafe(F.col("_last")))
+    own = F.col("place.doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("place.row") == F.col("_first.row"))
+    ahead = F.col("place.word") - F.col("_first.word")
+    found = found.select("gram", "place.*", "start", "end", F.col("_first.doc_id").alias("first_doc_id"), F.col("_first.row").alias("_r"), (~(own & (ahead < n))).alias("removed"), ahead.alias("_d"))
+    # Windows equal to windows of one text in the same order: all words between the first and the last are equal.
+    spans = found.groupBy("gram", "doc_id", "row", "first_doc_id", "_r", "_d", "removed").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("word").alias("word"), (F.max("word") - F.min("word") + n).alias("n_words"))
+    return spans.select("doc_id", "row", "start", "end", "word", "n_words", "first_doc_id", "removed")
+
+
+def _merged(paragraphs: list, windows: list, least: int) -> list[list]:
+    """[start, end, n_words, removed, first ids] of a text's passages, from its sorted runs of paragraphs and windows.
+
+    Overlapping and touching removed spans are one passage; so are kept ones, unless they lie in a removed one.
+    """
+    out: list[list] = []
+
+    def joined(spans: list) -> list[list]:
+        got: list[list] = []
+        for s in sorted(spans, key=lambda s: (s["word"], -s["n_words"])):
+            to, ids = s["word"] + s["n_words"], s["first_doc_ids"]
+            if got and s["word"] <= got[-1][1]:
+                # A span inside one that is there already names no further document.
+                if to > got[-1][1]:
+                    got[-1][1], got[-1][3] = to, s["end"]
+                    got[-1][4] += [i for i in ids if i not in got[-1][4]]
+            else:
+                got.append([s["word"], to, s["start"], s["end"], list(ids)])
+        return got
+
+    def runs(units: list) -> list[dict]:
+        got: list[dict] = []
+        for u in sorted(units, key=lambda u: u["ord"]):
+            if got and got[-1]["ord"] == u["ord"] - 1 and got[-1]["removed"] == u["removed"]:
+                r = got[-1]
+                r |= {"ord": u["ord"], "end": u["end"], "n_words": u["word"] + u["n_words"] - r["word"]}
+                r["first_doc_ids"] += [u["first_doc_id"]] * (u["first_doc_id"] not in r["first_doc_ids"])
+            else:
+                got.append({**u, "first_doc_ids": [u["first_doc_id"]]})
+        return [r for r in got if r["n_words"] >= least]
+
+    spans = runs(paragraphs) + [{**w, "first_doc_ids": [w["first_doc_id"]]} for w in windows]
+    gone = joined([s for s in spans if s["removed"]])
+    kept = [k for k in joined([s for s in spans if not s["removed"]]) if not any(g[0] <= k[0] and k[1] <= g[1] for g in gone)]
+    for some, removed in ((gone, True), (kept, False)):
+        out += [[a, b, to - word, removed, ids] for word, to, a, b, ids in some]
+    return sorted(out, key=lambda r: r[:2])
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_passage: int = MIN_PASSAGE, **options) -> DataFrame:
-    """(doc_id, row, start, end, n_words, kept, first_doc_id, first_doc_ids): runs of neighbouring repeated paragraphs.
+    """(doc_id, row, start, end, n_words, kept, first_doc_id, first_doc_ids): runs of neighbouring repeated paragraphs,
+    and equal passages between any two words.
 
     A run holds paragraphs that are all kept (the first copies) or all removed, with nothing but short sentences
-    between them, and `min_passage` words in all. `first_doc_ids` are the documents with the copies that stay.
+    between them; it and an equal passage have `min_passage` words or more from their first to their last word. What
+    overlaps is one passage. `first_doc_ids` are the documents in which its parts come first.
     """
     units = repeated_paragraphs(docs, doc_id, text, **options)
-    # One list per text, no longer than the text itself.
-    by_text = units.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "n_words", "first_doc_id", "removed"))).alias("_u"))
-    step = lambda runs, u: F.when(
-        (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["ord"] == u["ord"] - 1) & (F.try_element_at(runs, F.lit(-1))["removed"] == u["removed"]),
-        F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(_longer(F.try_element_at(runs, F.lit(-1)), u))),
-    ).otherwise(F.concat(runs, F.array(_run(u))))
+    windows = repeated_windows(docs, doc_id, text, min_passage)
     kind = units.schema["first_doc_id"].dataType.simpleString()
-    none = F.array().cast(f"array<struct<ord:int,start:int,end:int,n_words:int,removed:boolean,first_doc_id:{kind},first_doc_ids:array<{kind}>>>")
-    runs = by_text.select("doc_id", "row", F.explode(F.aggregate("_u", none, step)).alias("_r")).filter(F.col("_r.n_words") >= min_passage)
-    return runs.select(
-        "doc_id", "row", "_r.start", "_r.end", "_r.n_words", (~F.col("_r.removed")).alias("kept"), "_r.first_doc_id",
-        F.array_sort(F.array_distinct("_r.first_doc_ids")).alias("first_doc_ids"),
-    )
-
+    fields = ["doc_id", "row", "ord", "start", "end", "word", "n_words", "first_doc_id", "removed"]
+    both = units.select(*fields).unionByName(windows.withColumn("ord", F.lit(None).cast("int")).select(*fields))
+    # One list per text, at most a few times as long as the text itself.
+    by_text = both.groupBy("doc_id", "row").agg(F.collect_list(F.struct(*fields[2:])).alias("spans"))
 
-def _run(u):
-    return F.struct(u["ord"].alias("ord"), u["start"].alias("start"), u["end"].alias("end"), u["n_words"].alias("n_words"), u["removed"].alias("removed"), u["first_doc_id"].alias("first_doc_id"), F.array(u["first_doc_id"]).alias("first_doc_ids"))
-
-
-def _longer(r, u):
-    return F.struct(u["ord"].alias("ord"), r["start"].alias("start"), u["end"].alias("end"), (r["n_words"] + u["n_words"]).alias("n_words"), r["removed"].alias("removed"), r["first_doc_id"].alias("first_doc_id"), F.concat(r["first_doc_ids"], F.array(u["first_doc_id"])).alias("first_doc_ids"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, found = [], []
+            for i, spans in enumerate(batch.column("spans").to_pylist()):
+                got = _merged([s for s in spans if s["ord"] is not None], [s for s in spans if s["ord"] is None], min_passage)
+                doc += [i] * len(got)
+                found += got
+            ids = batch.schema.field("doc_id").type
+            # Null ids come first.
+            lists = [sorted(f[4], key=lambda x: (x is not None, x)) if None not in f[4] else [None, *sorted(x for x in f[4] if x is not None)] for f in found]
+            at = pa.array(doc, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("row").take(at), *[pa.array([f[k] for f in found], pa.int32()) for k in range(3)], pa.array([not f[3] for f in found], pa.bool_()),
+                 pa.array([f[4][0] for f in found], ids), pa.array(lists, pa.list_(ids))],
+                names=["doc_id", "row", "start", "end", "n_words", "kept", "first_doc_id", "first_doc_ids"],
+            )
+
+    return by_text.mapInArrow(merge, f"doc_id {kind}, row long, start int, end int, n_words int, kept boolean, first_doc_id {kind}, first_doc_ids array<{kind}>")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

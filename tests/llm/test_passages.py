@@ -96,6 +96,76 @@ def test_passages_are_found_and_cut(planted):
     assert all(left[i].n_chars == len(left[i].text) for i in touched if i in left)
 
 
+def plain_windows(rows, n=passages.MIN_PASSAGE):
+    """(id, word) -> in a removed window, for all words of windows that occur twice."""
+    first, out = {}, {}
+    texts = {i: t.lower().split() for i, t in rows}
+    seen = Counter(tuple(w[k : k + n]) for w in texts.values() for k in range(len(w) - n + 1))
+    for i in sorted(texts):
+        for k in range(len(texts[i]) - n + 1):
+            key = tuple(texts[i][k : k + n])
+            if seen[key] > 1:
+                j, at = first.setdefault(key, (i, k))
+                gone = i != j or k - at >= n
+                for p in range(k, k + n):
+                    out[i, p] = out.get((i, p), False) or gone
+    return out
+
+
+def test_windows_cover_all_equal_words(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(3000)]
+    some = [[rng.choice(words) for _ in range(n)] for n in (24, 25, 26, 40, 51, 300)]
+    rows = []
+    for i in range(40):
+        body = [rng.choice(words) for _ in range(rng.randint(0, 150))]
+        for p in rng.sample(some, rng.randint(0, 3)):
+            at, cut = rng.randint(0, len(body)), rng.randint(0, 2)
+            body[at:at] = p[cut:]
+        rows.append((i, rng.choice([" ", "\n", "  "]).join(body)))
+    rows += [(40, "x " * 100), (41, "y z " * 60), (42, rows[7][1].upper()), (43, ""), (7, rows[7][1])]
+    got = {}
+    for r in passages.repeated_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert len(dict(rows)[r.doc_id][r.start : r.end].split()) == r.n_words
+        for p in range(r.word, r.word + r.n_words):
+            got[r.doc_id, p] = got.get((r.doc_id, p), False) or r.removed
+    assert got == plain_windows(dict(rows).items())
+
+
+def test_passages_need_no_sentence_bounds(spark):
+    rng = random.Random(6)
+    words = [f"{a}{k}" for a in WORDS for k in range(80)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    middle = " ".join(w + "." * (k % 20 == 10) for k, w in enumerate(say(55)))
+    brief = " ".join(f"{' '.join(say(6))}." for _ in range(9))
+    bare = " ".join(say(52))
+    mixed = " ".join(f"{' '.join(say(n))}." for n in (8, 7, 8, 7, 8, 7, 8))
+    rows = []
+    for k, p in enumerate((middle, brief, bare, mixed)):
+        for i in range(2):
+            rows.append((10 * k + i, f"{' '.join(say(30))} {p} {' '.join(say(30))}. {' '.join(say(9))}."))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.kept, r.first_doc_id, r.n_words): dict(rows)[r.doc_id][r.start : r.end] for r in passages.repeated_passages(docs).collect()}
+    want = {}
+    for k, p in enumerate((middle, brief, bare, mixed)):
+        want |= {(10 * k + i, i == 0, 10 * k, len(p.split())): p for i in range(2)}
+    assert got == want
+    left = dict(passages.without_repeats(docs).collect())
+    assert all(left[10 * k] == dict(rows)[10 * k] and p not in left[10 * k + 1] for k, p in enumerate((middle, brief, bare, mixed)))
+
+
+def test_short_sentences_inside_a_run_count(spark):
+    # The short sentence differs; 26 words from end to end, 24 of them in long sentences.
+    rng = random.Random(2)
+    say = lambda n: [f"{rng.choice(WORDS)}{rng.randint(0, 999)}" for _ in range(n)]
+    first, last = say(12), say(12)
+    a = f"{' '.join(first)}. Yes so. {' '.join(last)}."
+    b = f"{' '.join(first)}. No so. {' '.join(last)}."
+    rows = [(1, f"{' '.join(say(20))}. {a} {' '.join(say(20))}."), (2, f"{' '.join(say(20))}. {b} {' '.join(say(20))}.")]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.kept, r.n_words, dict(rows)[r.doc_id][r.start : r.end]) for r in got} == {(1, True, 26, a), (2, False, 26, b)}
+
+
 def test_awkward_texts(spark, awkward, no_documents):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
     got = passages.repeated_paragraphs(awkward).collect()
