@@ -8,7 +8,7 @@ import public_tokenizers as tokens
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missiva.llm import bpe, counts, packing, passages, ppm, quality, simhash, topk, toxicity, urls
+from missiva.llm import bpe, counts, lexical, packing, passages, ppm, quality, simhash, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -119,3 +119,27 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, rules=URL_RULES).select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op13_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("text")}, '{TERM}') AS ts FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, unnest(regexp_extract_all({LOWER.format("text")}, '{TERM}')) AS term FROM benchmark),
+ic AS (SELECT item_id, term, count(*) AS c FROM i GROUP BY ALL),
+l AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM d WHERE len(ts) > 0),
+t AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM ic) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM df, l),
+s AS (SELECT ic.item_id, tf.doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM ic JOIN tf USING (term) JOIN w USING (term), l GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
