@@ -8,7 +8,7 @@ import public_tokenizers as tokens
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missiva.llm import bpe, counts, lexical, packing, passages, ppm, quality, simhash, topk, toxicity, urls
+from missiva.llm import bpe, counts, lexical, packing, passages, ppm, quality, simhash, topk, toxicity, trie, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -143,3 +143,31 @@ s AS (SELECT ic.item_id, tf.doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_tree(table(spark, sf_dir, "conversations"))
+
+
+# crc32 bit by bit over the decimal digits; of turns with one number the digest decides, as in the operator.
+SQL["op11_prefix_trie"] = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({'r': r, 'x': x} ORDER BY pos) AS own, 4294967295 AS ones FROM t GROUP BY c),
+h AS (SELECT c, own, c - c % 20 AS base, xor(ones, list_reduce(list_prepend(ones, [CAST(ascii(s) AS BIGINT) FOR s IN string_split(CAST(c AS VARCHAR), '')]),
+    lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))) % 4 AS h FROM o),
+b AS (SELECT h.c, list_concat(coalesce(g.own[1:h.h], []), h.own[h.h + 1:]) AS seq FROM h LEFT JOIN o g ON g.c = h.base),
+p AS (SELECT c, len(seq) AS n, d, seq[1:d] AS pre, seq[d].x AS x FROM b, unnest(range(0, len(seq) + 1)) AS u(d)),
+n AS (SELECT d, pre, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(x), '') AS x,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM p GROUP BY d, pre),
+m AS (SELECT p.c, p.d, n.conv_id FROM p JOIN n ON p.d = n.d AND p.pre = n.pre),
+k AS (SELECT n.d, n.conv_id, n.n_convs, n.ends_sha256, (n.n_convs - 1) * len(regexp_extract_all(n.x, '[^\\x20\\x09-\\x0D]+')) AS saved, m.conv_id AS parent
+  FROM n LEFT JOIN m ON m.c = n.conv_id AND m.d = n.d - 1),
+ch AS (SELECT d - 1 AS d, parent AS conv_id, count(*) AS n_children FROM k WHERE d > 0 GROUP BY ALL),
+z AS (SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN ch USING (d, conv_id)),
+s AS (SELECT m.d, m.conv_id, CAST(sum(CAST(z.n_children = 0 AS INTEGER)) AS BIGINT) AS n_leaves, CAST(sum(z.saved) AS BIGINT) AS saved_tokens
+  FROM z JOIN m ON m.c = z.conv_id AND m.d <= z.d GROUP BY ALL)
+SELECT conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM z JOIN s USING (d, conv_id)
+"""
