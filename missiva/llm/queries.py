@@ -8,7 +8,7 @@ import public_tokenizers as tokens
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missiva.llm import bpe, counts, lexical, packing, passages, ppm, quality, simhash, topk, toxicity, trie, urls
+from missiva.llm import bpe, counts, lexical, ngramjoin, packing, passages, ppm, quality, simhash, topk, toxicity, trie, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -171,3 +171,19 @@ s AS (SELECT m.d, m.conv_id, CAST(sum(CAST(z.n_children = 0 AS INTEGER)) AS BIGI
   FROM z JOIN m ON m.c = z.conv_id AND m.d <= z.d GROUP BY ALL)
 SELECT conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM z JOIN s USING (d, conv_id)
 """
+
+
+@query
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_documents(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_ngram_join"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')][1:len(ws)] ELSE list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+  HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS id, doc_id AS c FROM s UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.id)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.c AS component_id FROM s JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) c ON c.id = s.doc_id
+"""
