@@ -3,13 +3,17 @@
 Pieces are dealt by hash into blocks of bounded size. A block is packed by best fit decreasing; then the emptiest
 bin gives documents away, by a move or by exchanging one or two of them against shorter ones of fuller bins, as long
 as the squared fill grows, until it is empty and another bin becomes the emptiest. What stays rather empty in every
-block is pooled and packed again, until one block holds the pool or a round hardly saves bins.
+block is pooled and packed again, until one block holds the pool or a round saves no bin.
 """
 
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Iterator
+from heapq import nlargest
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -21,9 +25,8 @@ from missiva.llm.common import safe_pieces, slices, staged, worker_cache
 from missiva.llm.counts import load_tokenizer
 
 BLOCK = 8192
-# Packing the pool again goes on while it saves one bin in so many: the rounds grow with the logarithm of the bins.
-SAVED = 256
-CACHE = 300_000
+# Encoded cuts that a worker holds at most, and those of most uses that stay when it holds more.
+CACHE, FREQUENT = 300_000, 200_000
 
 
 def document_pieces(
@@ -33,34 +36,33 @@ def document_pieces(
 
     `ids` holds little-endian unsigned 32-bit numbers. A longer document is cut into pieces of `capacity` ids; only
     the first may be shorter. A null text counts as empty and gives one piece with the end id; repeated rows repeat.
-    Texts are cut before blanks, where the tokenizer's own splits lie, and equal cuts are encoded once per worker.
+    Texts are cut before blanks, where the tokenizer's own splits lie, and cuts in frequent use are encoded once per worker.
     """
     kind = docs.select(F.col(f"`{doc_id}`")).schema[0].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache, end = worker_cache("packing"), np.uint32(end_id).tobytes()
-        tokenizer, kept = load_tokenizer(vocabulary, cache), cache.setdefault(f"ids {vocabulary}", {})
+        tokenizer = load_tokenizer(vocabulary, cache)
+        kept, uses = cache.setdefault(f"ids {vocabulary}", ({}, Counter()))
         for batch in batches:
             for part in slices(batch, "text"):
                 cut = [safe_pieces(t) if t else [] for t in part.column("text").to_pylist()]
-                new = set().union(*cut).difference(kept)
+                found = Counter(chain.from_iterable(cut))
+                new = found.keys() - kept.keys()
                 # A letter and a comma or full stop behind it are always split: one entry serves the word with and without.
                 bare = {p: p[:-1] for p in new if p[-1:] in (",", ".") and p[-2:-1].isalpha() and p[-2] < "\u0250"}
-                some = list({bare.get(p, p) for p in new}.difference(kept).union(",."))
-                more = {}
+                some = list({bare.get(p, p) for p in new}.union(",.").difference(kept))
                 for i in range(0, len(some), 4096):
                     encoded = tokenizer.encode_batch_fast(some[i : i + 4096], add_special_tokens=False)
-                    more.update(zip(some[i : i + 4096], (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
+                    kept.update(zip(some[i : i + 4096], (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
                 for p, word in bare.items():
-                    more[p] = (kept[word] if word in kept else more[word]) + more[p[-1]]
-                if len(kept) + len(more) <= CACHE:
-                    kept.update(more)
-                    more = kept
+                    kept[p] = kept[word] + kept[p[-1]]
+                    found[word] += found[p]
+                uses.update(found)
                 doc, piece, start, length, ids = [], [], [], [], []
                 for i, pieces in enumerate(cut):
-                    known = map(kept.__getitem__, pieces) if more is kept else [kept[p] if p in kept else more[p] for p in pieces]
-                    raw = b"".join(known) + end
+                    raw = b"".join(map(kept.__getitem__, pieces)) + end
                     n, at, k = len(raw) // 4, 0, 0
                     while at < n:
                         to = at + (n % capacity or capacity) if k == 0 else at + capacity
@@ -74,6 +76,13 @@ def document_pieces(
                     [part.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
+                if len(kept) > CACHE:
+                    # The most used cuts stay; older uses count half, so that the table follows the texts.
+                    stay = {p: kept[p] for p, _ in nlargest(FREQUENT, uses.items(), itemgetter(1))}
+                    counts = {p: (uses[p] + 1) // 2 for p in stay}
+                    for held, now in ((kept, stay), (uses, counts)):
+                        held.clear()
+                        held.update(now)
 
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return source.mapInArrow(encode, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids binary")
@@ -203,21 +212,22 @@ def pack(pieces: DataFrame, capacity: int = 2048, block: int = BLOCK) -> DataFra
     """`pieces` (doc_id, piece, start, length and any further columns) with sequence_id and offset.
 
     No sequence holds more than `capacity` ids, offsets have no gaps, and only full columns of numbers travel: the
-    ids stay where they are. Blocks hold about `block` pieces whatever a key's share of the rows is. Equal lengths
-    are ordered by id, piece and start, so repeated runs give the same sequences. Every piece is placed: a round that
-    saves too few of the pool's bins closes all of them as they are.
+    ids stay where they are. Pieces are dealt by row, so blocks hold about `block` pieces however many of them share an
+    id or are equal. Equal lengths are ordered by id, piece and start. Every piece is placed: a round that saves none
+    of the pool's bins closes all of them as they are.
     """
-    todo = staged(pieces)
+    names = pieces.columns
+    todo = staged(pieces.withColumn("_row", F.monotonically_increasing_id()))
     schema = todo.schema.add("sequence_id", "long").add("offset", "long").add("open", "boolean")
     done, step, before = None, 0, None
     while True:
         blocks = max(1, -(-todo.count() // block))
-        dealt = todo.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(step)), F.lit(blocks)))
+        dealt = todo.withColumn("_block", F.pmod(F.xxhash64("_row", F.lit(step)), F.lit(blocks)))
         packed = staged(dealt.groupBy("_block").applyInPandas(_packer(schema.names, capacity, step, blocks == 1), schema))
         # Every bin has one piece at its start.
         bins, still = packed.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & F.col("open"))).first()
-        last = blocks == 1 or still == 0 or (before is not None and (before - bins) * SAVED < before)
-        closed = (packed if last else packed.filter("NOT open")).drop("open")
+        last = blocks == 1 or still == 0 or (before is not None and bins >= before)
+        closed = (packed if last else packed.filter("NOT open")).select(*names, "sequence_id", "offset")
         done = closed if done is None else done.unionByName(closed)
         if last:
             return done
