@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from missiva.llm.common import held_out, learns, slices
+from missiva.llm.common import held_out, learns, slices, worker_cache
 
 ORDER = 3
 TRAIN_DOCS = 400
 MAX_GRAMS = 200_000
 MAX_LANGUAGES = 64
 MIN_CONTEXT = 4
+# Bytes of text whose code lengths are held at once.
+SLICE = 1 << 18
 # What stands before the first byte of a text.
 START = b" " * ORDER
 
@@ -192,9 +194,11 @@ def identify_languages(
     shared = docs.sparkSession.sparkContext.broadcast(tables.parts())
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Lets go what a former stage left in this worker.
+        worker_cache("ppm")
         model = ContextTables.of(shared.value)
         for batch in batches:
-            for part in slices(batch, "_ppm_text"):
+            for part in slices(batch, "_ppm_text", SLICE):
                 texts = [t or "" for t in part.column("_ppm_text").to_pylist()]
                 raw = [t.encode() for t in texts]
                 found, scores, rate = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)

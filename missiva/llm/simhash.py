@@ -156,8 +156,16 @@ def hexadecimal(fp: str):
 
 
 def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of the smallest id of each component; of rows that repeat that id one is kept, rows without an id stay."""
-    found = near_duplicates(docs.filter(F.col(f"`{doc_id}`").isNotNull()), doc_id, text)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col(f"`{doc_id}`") == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
-    return out.unionByName(docs.filter(F.col(f"`{doc_id}`").isNull()))
+    """One row of each component: that with the smallest id, and of several with that id the one with the smallest digest.
+
+    Rows are told apart by a key of their own, so rows that share an id or have none are linked and kept like any
+    other; a component without any id keeps that of the smallest digest. Columns of any name are carried along.
+    """
+    key = F.monotonically_increasing_id().alias("row")
+    rows = staged(docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")))
+    ids = rows.select("row", F.col(f"r.`{doc_id}`").alias("id"), F.col(f"r.`{text}`").alias("text"))
+    found = near_duplicates(ids, "row").select(F.col("doc_id").alias("row"), "component_id")
+    # Texts are compared by a digest: it travels instead of them.
+    order = F.struct(F.col("id").isNull().alias("a"), "id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"), "row")
+    kept = ids.select("row", order.alias("o")).join(found, "row").groupBy("component_id").agg(F.min("o").alias("o"))
+    return rows.join(kept.select(F.col("o.row").alias("row")), "row", "left_semi").select("r.*")

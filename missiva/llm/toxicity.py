@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +16,8 @@ TRAIN_DOCS = 15_000
 # Features of fewer training documents are left out.
 MIN_DOCS = 4
 CACHE = 100_000
+# Bytes of text whose features are held at once.
+SLICE = 1 << 18
 # Everything in ASCII that is no letter separates words.
 SEPARATE = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -101,7 +102,7 @@ def train(
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 row, index = features(part.column("text").to_pylist(), bits)
                 key = np.unique(row << bits | index)
                 sizes = np.bincount(key >> bits, minlength=part.num_rows)
@@ -110,20 +111,26 @@ def train(
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), lists], names=["doc_id", "y", "index"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
+    # A repeated id is one example, by its smallest text: the rows of the fit are bounded, not only its ids.
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     examples = staged(rows.mapInArrow(indexed, f"doc_id {kind}, y int, index array<int>"))
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["h", "doc_id"], kind="stable")
-        seen = np.zeros(1 << bits, np.int32)
-        for index in group["index"]:
-            seen[index] += 1
-        common = seen >= MIN_DOCS
-        w, bias = ftrl([(index[common[index]], y) for index, y in zip(group["index"], group["y"], strict=True)], 1 << bits)
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        order = np.lexsort((np.arange(group.num_rows), group.column("doc_id").to_numpy(), group.column("h").to_numpy()))
+        lists = group.column("index").chunk(0) if group.num_rows else pa.array([], pa.list_(pa.int32()))
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        common = np.bincount(flat, minlength=1 << bits) >= MIN_DOCS
+        # Views into one array; only the common features of an example are copied.
+        held = common[flat]
+        flat, ends = flat[held], np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], ends])]
+        y = group.column("y").to_numpy()
+        w, bias = ftrl([(flat[ends[i] : ends[i + 1]], int(y[i])) for i in order], 1 << bits)
         at = np.flatnonzero(w)
-        return pd.DataFrame({"index": np.append(at, -1), "weight": np.append(w[at], bias)})
+        return pa.table({"index": np.append(at, -1), "weight": np.append(w[at], bias)})
 
     # One task on purpose: the rows are bounded by `max_docs`.
-    fitted = examples.withColumn("h", F.xxhash64("doc_id")).groupBy(F.lit(0).alias("all")).applyInPandas(fit, "index long, weight double")
+    fitted = examples.withColumn("h", F.xxhash64("doc_id")).groupBy(F.lit(0).alias("all")).applyInArrow(fit, "index long, weight double")
     return {r["index"]: r["weight"] for r in fitted.collect()}
 
 
@@ -148,7 +155,7 @@ def score_texts(
                 table[i] = w
         telling = table != 0
         for batch in batches:
-            for part in slices(batch, "_tox_text"):
+            for part in slices(batch, "_tox_text", SLICE):
                 row, index = features(part.column("_tox_text").to_pylist(), bits)
                 hit = telling[index]
                 key = np.unique(row[hit] << bits | index[hit])
