@@ -4,9 +4,10 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from missiva.llm import passages
+from missiva.llm import passages, simhash
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ter", "vu", "sen") for b in ("ra", "to", "nel", "pi", "gus", "dom")]
 
@@ -196,3 +197,26 @@ def test_pipeline_keeps_clean_documents(spark):
     assert not (gone & labelled) - toxic
     assert corpus_pipeline.keep_languages(spark, docs, sf).count() == docs.count()
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+SF = "/root/testdata/sf0.001"
+CLASHING = ("score", "lang_pred", "bits_per_byte", "_tox_text", "_ppm_text", "_kept", "_spans", "_id", "_h", "_row", "_whole", "row", "component_id")
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(120)
+    plain = docs.select("*")
+    odd = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, SF)
+        assert kept.columns == odd.columns, name
+        rows = kept.collect()
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in CLASHING), name
+        assert sorted(tuple(r)[:5] for r in rows) == sorted(map(tuple, stage(spark, plain, SF).collect())), name
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, long), (1, "another text of few words"), (2, long), (None, long), (None, "no id at all"), (None, "no id at all"), (3, None), (4, "")]
+    kept = simhash.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, long), (1, "another text of few words"), (None, "no id at all"), (3, None)], key=repr)
