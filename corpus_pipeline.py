@@ -18,16 +18,21 @@ TOXIC = 0.7
 UNSURE = 0.5
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """The columns that the stages read, and the whole row beside them: columns of any other name cannot clash."""
+    return docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score below TOXIC; a null or empty text scores as the bias, and stays."""
-    weights = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_texts(docs, weights, keep=docs.columns).filter(F.col("score") < TOXIC).select(*docs.columns)
+    weights = toxicity.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_texts(carried(docs), weights, keep=["_whole"]).filter(F.col("score") < TOXIC).select("_whole.*")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in one of the learnt languages; null texts, texts without a letter and undecided ones go."""
-    found = ppm.identify_languages(docs, ppm.train(docs), keep=docs.columns)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= UNSURE)).select(*docs.columns)
+    found = ppm.identify_languages(carried(docs), ppm.train(docs.select("doc_id", "text", "lang")), keep=["_whole"])
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= UNSURE)).select("_whole.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +42,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages stay where they come first and are cut out elsewhere."""
-    return passages.without_repeats(docs)
+    out = passages.without_repeats(carried(docs))
+    whole = F.col("_whole").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        cut = ~F.col("_whole.text").eqNullSafe(F.col("text"))
+        whole = whole.withField("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_whole.n_chars")))
+    return out.select(whole.alias("_whole")).select("_whole.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
