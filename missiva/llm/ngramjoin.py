@@ -73,37 +73,42 @@ def shared_rare(n: int, percent: int = PERCENT) -> int:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(row, doc_id, n, digest, grams) of every document, and each task's sketch as (chunk, counts) rows."""
+    """(doc_id, n, digest) of every document, and each task's sketch as (chunk, counts) rows.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    The sets themselves are not kept: they would take more room than the texts, from which they are made anew.
+    """
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.uint64)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingle_set(t, words) for t in part.column("text").to_pylist()]
                 sketch += np.bincount((np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint64)
-                raw = [s.tobytes() for s in sets]
-                none = pa.nulls(len(raw), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()),
-                        pa.array(raw, pa.binary()), pa.nulls(len(raw), pa.int32()), none,
+                        part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()),
+                        pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()),
                     ],
-                    names=["doc_id", "n", "digest", "grams", "chunk", "counts"],
+                    names=["doc_id", "n", "digest", "chunk", "counts"],
                 )
         chunks = sketch.reshape(-1, CHUNK)
         at = np.flatnonzero(chunks.any(1))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()),
+                pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()),
                 pa.array(at, pa.int32()), pa.array([_packed(chunks[i]) for i in at], pa.binary()),
             ],
-            names=["doc_id", "n", "digest", "grams", "chunk", "counts"],
+            names=["doc_id", "n", "digest", "chunk", "counts"],
         )
 
-    made = docs.mapInArrow(cut, "doc_id long, n long, digest binary, grams binary, chunk int, counts binary")
-    return staged(made.select(F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("task"), "*"))
+    made = docs.mapInArrow(cut, "doc_id long, n long, digest binary, chunk int, counts binary")
+    return staged(made.select(F.spark_partition_id().alias("task"), "*"))
+
+
+def _digest(grams: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(grams.tobytes())
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -135,23 +140,27 @@ def _frequencies(made: DataFrame) -> np.ndarray:
     return out
 
 
-def _lists(made: DataFrame, frequency: np.ndarray, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+def _lists(docs: DataFrame, frequency: np.ndarray, words: int, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
     """(k, digest, n) of the distinct sets, and (g, nb, salt, k, n): entries of lists that hold more than one set.
 
-    `k` is the row of one document with the set. A list that may pass `size` entries is dealt over `nb` pieces.
+    A list that may pass `size` entries is dealt over `nb` pieces.
     """
-    sent = made.sparkSession.sparkContext.broadcast(frequency)
+    sent = docs.sparkSession.sparkContext.broadcast(frequency)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for raw in batch.column("grams").to_pylist():
-                s = np.frombuffer(raw, np.uint64)
-                f = sent.value[(s % np.uint64(SKETCH)).astype(np.int64)]
-                first = np.lexsort((s, f))[: len(s) - least_overlap(len(s), percent) + shared_rare(len(s), percent)]
-                # A counter of one is an n-gram that no other document has.
-                out.append(s[first[f[first] > 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("digest"), batch.column("n"), pa.array(out, pa.binary())], names=["row", "digest", "n", "rare"])
+            for part in slices(batch, "text"):
+                sets = [s for s in (shingle_set(t, words) for t in part.column("text").to_pylist()) if len(s)]
+                out = []
+                for s in sets:
+                    f = sent.value[(s % np.uint64(SKETCH)).astype(np.int64)]
+                    first = np.lexsort((s, f))[: len(s) - least_overlap(len(s), percent) + shared_rare(len(s), percent)]
+                    # A counter of one is an n-gram that no other document has.
+                    out.append(s[first[f[first] > 1]].tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(out, pa.binary())],
+                    names=["digest", "n", "rare"],
+                )
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,8 +174,9 @@ def _lists(made: DataFrame, frequency: np.ndarray, percent: int, size: int) -> t
                 salt = ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % pieces.astype(np.uint64)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.view(np.int64), pieces, salt, k, n)], names=["g", "nb", "salt", "k", "n"])
 
-    rare = made.filter("n > 0").select("row", "digest", "n", "grams").mapInArrow(rarest, "row long, digest binary, n long, rare binary")
-    sets = staged(rare.groupBy("digest").agg(F.min("row").alias("k"), F.first("n").alias("n"), F.first("rare").alias("rare")))
+    rare = docs.select("text").mapInArrow(rarest, "digest binary, n long, rare binary")
+    sets = rare.groupBy("digest").agg(F.first("n").alias("n"), F.first("rare").alias("rare"))
+    sets = staged(sets.withColumn("k", F.monotonically_increasing_id()))
     flat = sets.select("k", "n", "rare").mapInArrow(entries, "g long, nb long, salt long, k long, n long").repartition("g", "salt")
     lists = flat.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("g", "salt"))).filter("size > 1 OR nb > 1").drop("size")
     return sets.drop("rare"), staged(lists)
@@ -193,20 +203,70 @@ def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_pairs(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(x, y), x < y: sets of different components that share enough list entries; pieces of a list meet in pairs."""
+    """(x, y), x < y: sets of different components that share enough list entries.
+
+    Pieces of a list meet in pairs, each in a bounded block that gives every x the packed rest of its list; all lists
+    of an x are then merged and counted together, one x at a time. So no row stands for a pair of entries.
+    """
     named = lists.join(found.select(F.col("id").alias("k"), "component"), "k")
     mixed = named.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("g")
     named = staged(named.join(mixed, "g", "left_semi"))
-    left = named.select("g", F.col("salt").alias("i"), F.explode(F.sequence("salt", F.col("nb") - 1)).alias("j"), F.col("k").alias("k1"), F.col("n").alias("n1"), F.col("component").alias("c1"))
-    right = named.select("g", F.explode(F.sequence(F.lit(0).cast("long"), "salt")).alias("i"), F.col("salt").alias("j"), F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    both = left.join(right, ["g", "i", "j"]).filter((F.col("c1") != F.col("c2")) & ((F.col("i") < F.col("j")) | (F.col("k1") < F.col("k2"))) & _fit(percent, "n1", "n2"))
-    swap = F.col("k1") < F.col("k2")
-    pairs = both.select(
-        F.least("k1", "k2").alias("x"), F.greatest("k1", "k2").alias("y"), F.when(swap, F.col("n1")).otherwise(F.col("n2")).alias("n"),
-        F.when(swap, F.col("n2")).otherwise(F.col("n1")).alias("m"),
-    )
-    counted = pairs.groupBy("x", "y", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
-    return counted.filter(F.col("shared") >= _shared(percent)).select("x", "y")
+    one = ["k", "n", "component"]
+    left = named.select("g", F.col("salt").alias("i"), F.explode(F.sequence("salt", F.col("nb") - 1)).alias("j"), F.lit(0).alias("side"), *one)
+    right = named.filter("salt > 0").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salt") - 1)).alias("i"), F.col("salt").alias("j"), F.lit(1).alias("side"), *one)
+    dealt = left.unionByName(right).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side", "k")
+
+    def meet(side: np.ndarray, k: np.ndarray, n: np.ndarray, component: np.ndarray, same: bool) -> Iterator[tuple]:
+        own, other = (np.ones(len(k), bool),) * 2 if same else (side == 0, side == 1)
+        k2, n2, c2 = k[other], n[other], component[other]
+        for x, m, c in zip(k[own].tolist(), n[own].tolist(), component[own].tolist(), strict=True):
+            ok = (c2 != c) & (100 * np.minimum(n2, m) >= percent * np.maximum(n2, m))
+            if same:
+                ok &= k2 > x
+            if ok.any():
+                yield x, m, k2[ok].tobytes(), n2[ok].astype(np.int32).tobytes()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _runs(batches, ["g", "i", "j"]):
+            same = block.column("i")[0] == block.column("j")[0]
+            rows = list(meet(*(block.column(c).to_numpy() for c in ("side", "k", "n", "component")), same))
+            if rows:
+                x, n, ys, ms = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(n, pa.int64()), pa.array(ys, pa.binary()), pa.array(ms, pa.binary())], names=["x", "n", "ys", "ms"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _runs(batches, ["x"]):
+            ys = np.frombuffer(b"".join(own.column("ys").to_pylist()), np.int64)
+            ms = np.frombuffer(b"".join(own.column("ms").to_pylist()), np.int32).astype(np.int64)
+            y, first, shared = np.unique(ys, return_index=True, return_counts=True)
+            n, x = own.column("n")[0].as_py(), own.column("x")[0].as_py()
+            many = np.minimum(1 + ms[first] // SHARED_OF, least_overlap(ms[first], percent))
+            y = y[shared >= np.minimum(many, shared_rare(n, percent))]
+            # The ends of a pair in falling or rising order are the same pair.
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+
+    met = dealt.mapInArrow(blocks, "x long, n long, ys binary, ms binary")
+    return met.repartition("x").sortWithinPartitions("x").mapInArrow(merge, "x long, y long")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key of sorted batches, one key at a time."""
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in keys]
+        cuts = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist()
+        if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, mu: float = MU) -> np.ndarray:
@@ -244,17 +304,28 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCEN
     return live[count >= need[live]]
 
 
-def _links(made: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, percent: int, size: int) -> DataFrame:
     """(a, b): the pairs (x, y) that reach the similarity. A query and up to about `size` candidates are one search."""
     pairs = staged(pairs)
     many = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
     piece = F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("y"), F.ceil(F.col("_n") / size))).otherwise(F.lit(0)).cast("long")
     pairs = pairs.join(bounded_broadcast(many), "x", "left").select("x", "y", piece.alias("piece"))
-    needed = pairs.select(F.col("x").alias("row")).unionByName(pairs.select(F.col("y").alias("row"))).distinct()
-    # Sets of the rows that are in a pair at all.
-    sets = staged(made.select("row", "grams").join(bounded_broadcast(needed), "row", "left_semi"))
-    asked = pairs.select("x", "piece").distinct().join(sets, F.col("x") == F.col("row")).select("x", "piece", F.lit(None).cast("long").alias("y"), "grams")
-    given = pairs.join(sets, F.col("y") == F.col("row")).select("x", "piece", "y", "grams")
+    needed = pairs.select(F.col("x").alias("k")).unionByName(pairs.select(F.col("y").alias("k"))).distinct()
+    needed = staged(sets.join(bounded_broadcast(needed), "k", "left_semi").select("k", "digest", "first"))
+    # The sets that are in a pair, from one document each (from all without an id, if no other has the set).
+    ids = bounded_broadcast(needed.select(F.col("first").alias("_first")).distinct())
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi").select("text")
+
+    def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [shingle_set(t, words) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["digest", "grams"])
+
+    grams = texts.mapInArrow(anew, "digest binary, grams binary").join(bounded_broadcast(needed.select("k", "digest")), "digest")
+    grams = staged(grams.groupBy("k").agg(F.first("grams").alias("grams")))
+    asked = pairs.select("x", "piece").distinct().join(grams, F.col("x") == F.col("k")).select("x", "piece", F.lit(None).cast("long").alias("y"), "grams")
+    given = pairs.join(grams, F.col("y") == F.col("k")).select("x", "piece", "y", "grams")
     dealt = asked.unionByName(given).repartition("x", "piece").sortWithinPartitions("x", "piece", F.col("y").asc_nulls_first())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,21 +361,23 @@ def similar_documents(
     of null ids only has a null name; repeated ids are rows of their own. Other columns, whatever their names, are
     not read.
     """
-    made = _sets(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")), words)
-    sets, lists = _lists(made, _frequencies(made), percent, size)
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    made = _sets(docs, words)
+    rows = made.filter("chunk IS NULL").select("doc_id", "n", "digest")
+    sets, lists = _lists(docs, _frequencies(made), words, percent, size)
+    firsts = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    sets = staged(sets.join(firsts, "digest"))
     nodes = sets.select(F.col("k").alias("id"))
-    links = _links(made, _pivot_pairs(lists, percent), percent, search)
+    links = _links(docs, sets, _pivot_pairs(lists, percent), words, percent, search)
     near = staged(components(nodes, links))
-    more = _links(made, _cross_pairs(lists, near, percent), percent, search)
+    more = _links(docs, sets, _cross_pairs(lists, near, percent), words, percent, search)
     # Whole components are joined by what the second round found.
     label = lambda end: near.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
     bridges = more.join(label("a"), "a").join(label("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     joined = components(near.select(F.col("component").alias("id")).distinct(), bridges).withColumnRenamed("component", "whole")
     named = near.join(joined.withColumnRenamed("id", "component"), "component").select(F.col("id").alias("k"), "whole")
-    rows = made.filter("chunk IS NULL").select("doc_id", "n", "digest")
-    of_set = sets.join(named, "k").select("digest", "whole")
-    ids = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    names = ids.join(of_set, "digest").groupBy("whole").agg(F.min("first").alias("component_id"))
+    of_set = sets.join(named, "k").select("digest", "first", "whole")
+    names = of_set.groupBy("whole").agg(F.min("first").alias("component_id"))
     of_set = of_set.join(names, "whole").select("digest", "component_id")
     linked = rows.filter("n > 0").join(of_set, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

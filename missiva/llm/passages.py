@@ -386,10 +386,11 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return by_text.mapInArrow(merge, f"doc_id {kind}, row long, start int, end int, n_words int, kept boolean, first_doc_id {kind}, first_doc_ids array<{kind}>")
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str | None = None, **options) -> DataFrame:
     """`docs` with the removed passages cut out of their texts; a row of which nothing is left goes.
 
     The columns stay; `n_chars`, where there is one, is counted anew. Rows without repeats are unchanged.
+    `mark` names a further column that tells whether something was cut out.
     """
     gone = repeated_passages(docs, doc_id, text, **options).filter("NOT kept")
     spans = gone.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
@@ -410,4 +411,4 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left = left.filter(F.col("_spans").isNull() | (F.col(text) != ""))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+    return left.select(*docs.columns, *([F.col("_spans").isNotNull().alias(mark)] if mark else []))

@@ -158,14 +158,15 @@ def hexadecimal(fp: str):
 def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: that with the smallest id, and of several with that id the one with the smallest digest.
 
-    Rows are told apart by a key of their own, so rows that share an id or have none are linked and kept like any
-    other; a component without any id keeps that of the smallest digest. Columns of any name are carried along.
+    Rows are told apart by id and text, so rows that share an id or have none are linked and kept like any other; rows
+    equal in both are one, and a component without any id keeps the row with the smallest digest. Columns of any name
+    are carried along.
     """
-    key = F.monotonically_increasing_id().alias("row")
-    rows = staged(docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")))
-    ids = rows.select("row", F.col(f"r.`{doc_id}`").alias("id"), F.col(f"r.`{text}`").alias("text"))
+    of = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in (doc_id, text)]
+    key = F.unhex(F.md5(F.concat(F.length(of[0]).cast("string"), F.lit(":"), *of).cast("binary")))
+    ids = docs.select(key.alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     found = near_duplicates(ids, "row").select(F.col("doc_id").alias("row"), "component_id")
-    # Texts are compared by a digest: it travels instead of them.
-    order = F.struct(F.col("id").isNull().alias("a"), "id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"), "row")
+    order = F.struct(F.col("id").isNull().alias("a"), "id", "row")
     kept = ids.select("row", order.alias("o")).join(found, "row").groupBy("component_id").agg(F.min("o").alias("o"))
-    return rows.join(kept.select(F.col("o.row").alias("row")), "row", "left_semi").select("r.*")
+    keyed = docs.select(key.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    return keyed.join(kept.select(F.col("o.row").alias("row")), "row", "left_semi").dropDuplicates(["row"]).select("r.*")
