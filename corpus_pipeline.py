@@ -16,23 +16,30 @@ from missiva.llm.queries import packed_documents
 TOXIC = 0.7
 # A text goes only if no learnt language is likelier than the others together.
 UNSURE = 0.5
+KEPT = ["doc_id", "text", "_rest"]
 
 
 def carried(docs: DataFrame) -> DataFrame:
-    """The columns that the stages read, and the whole row beside them: columns of any other name cannot clash."""
-    return docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"))
+    """The id and text that the stages read, and all other columns as one beside them: no name of theirs can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
+
+
+def restored(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`") for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score below TOXIC; a null or empty text scores as the bias, and stays."""
     weights = toxicity.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_texts(carried(docs), weights, keep=["_whole"]).filter(F.col("score") < TOXIC).select("_whole.*")
+    found = toxicity.score_texts(carried(docs), weights, keep=KEPT).filter(F.col("score") < TOXIC)
+    return restored(found, docs)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in one of the learnt languages; null texts, texts without a letter and undecided ones go."""
-    found = ppm.identify_languages(carried(docs), ppm.train(docs.select("doc_id", "text", "lang")), keep=["_whole"])
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= UNSURE)).select("_whole.*")
+    found = ppm.identify_languages(carried(docs), ppm.train(docs.select("doc_id", "text", "lang")), keep=KEPT)
+    return restored(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= UNSURE)), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +49,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages stay where they come first and are cut out elsewhere."""
-    out = passages.without_repeats(carried(docs))
-    whole = F.col("_whole").withField("text", F.col("text"))
+    out = passages.without_repeats(carried(docs), mark="cut")
     if "n_chars" in docs.columns:
-        cut = ~F.col("_whole.text").eqNullSafe(F.col("text"))
-        whole = whole.withField("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_whole.n_chars")))
-    return out.select(whole.alias("_whole")).select("_whole.*")
+        n, kind = F.length("text"), docs.schema["n_chars"].dataType
+        out = out.withColumn("_rest", F.col("_rest").withField("n_chars", F.when(F.col("cut"), n.cast(kind)).otherwise(F.col("_rest.n_chars"))))
+    return restored(out, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
