@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from missiva.operators.scale import GROUP_LIMIT, number_rows, top_rows
+from missiva.operators.vectors import unit
+from missiva.session import pin
 
 METRICS = ("p5", "pk", "rk", "mrr", "ndcg")
+#: Judgements of one pass over the documents; they and their queries' vectors go to every task.
+JUDGED = 32_768
 
 
 def rank_run(scores: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
@@ -15,10 +24,72 @@ def rank_run(scores: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     return number_rows(scores, ["query_id"], [F.col("score").desc(), "doc_id"], "rank", limit)
 
 
+def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products that are the same for a pair of vectors wherever it stands in a batch."""
+    return np.add.reduce(x * q, axis=1)
+
+
+def judged_ranks(
+    queries: DataFrame, docs: DataFrame, qrels: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "vector",
+    sign: float = 1.0, judged: int = JUDGED,
+) -> DataFrame:
+    """(query_id, doc_id, score, rank) of every judged document in the cosine ranking of all documents, ties by document.
+
+    No ranking is made: a judged document's rank is the number of documents above it and one. The judgements of a
+    query travel sorted; every task places its documents among them by bisection, and the counts are added. Judgements
+    are taken in passes of `judged`. `sign` -1 ranks from the other end. Ids are unique in `queries` and in `docs`.
+    """
+    spark = docs.sparkSession
+    q = queries.select(F.col(query_id).alias("query_id"), unit(F.col(vector)).alias("qv")).dropna()
+    d = docs.select(F.col(doc_id).alias("doc_id"), unit(F.col(vector)).alias("dv")).dropna()
+    pairs = qrels.select("query_id", "doc_id").distinct().join(q.select("query_id"), "query_id", "left_semi").join(d, "doc_id")
+    pairs = pin(number_rows(pairs, [], ["query_id", "doc_id"], "_no"))
+    dt = dict(d.dtypes)["doc_id"]
+    parts = []
+    for p in range(-(-pairs.count() // judged)):
+        # At most `judged` rows of numbers, and the vectors of their queries.
+        some = pairs.filter((F.col("_no") > p * judged) & (F.col("_no") <= (p + 1) * judged))
+        ours = {r["query_id"]: np.array(r["qv"]) for r in q.join(F.broadcast(some.select("query_id").distinct()), "query_id", "left_semi").collect()}
+        rows = some.select("query_id", "doc_id", "dv").toLocalIterator()
+        held: dict = {}
+        for r in rows:
+            held.setdefault(r["query_id"], []).append((float(sign * _scores(np.array([r["dv"]]), ours[r["query_id"]])[0]), r["doc_id"]))
+        lists = []
+        for name, marks in held.items():
+            marks.sort(key=lambda m: (-m[0], m[1]))
+            lists.append((name, ours[name], np.array([-m[0] for m in marks]), np.array([m[1] for m in marks])))
+        sent = spark.sparkContext.broadcast(lists)
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # One more place for the documents below all judged ones.
+            above = [np.zeros(len(low) + 1, np.int64) for _, _, low, _ in sent.value]
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x, ids = np.stack(pdf["dv"].to_numpy()).astype(np.float64), pdf["doc_id"].to_numpy()
+                for (_, vector, low, docs_), count in zip(sent.value, above, strict=True):
+                    s = -sign * _scores(x, vector)
+                    at, end = np.searchsorted(low, s, "left"), np.searchsorted(low, s, "right")
+                    for i in np.flatnonzero(at < end):
+                        # Equal scores: behind the judged documents of smaller ids, and behind itself.
+                        at[i] += np.searchsorted(docs_[at[i] : end[i]], ids[i], "right")
+                    count += np.bincount(at, minlength=len(count))
+            at = [(i, np.cumsum(c)[:-1]) for i, c in enumerate(above)]
+            yield pd.DataFrame({"_q": np.concatenate([np.full(len(c), i) for i, c in at]), "_j": np.concatenate([np.arange(len(c)) for _, c in at]), "n": np.concatenate([c for _, c in at])})
+
+        counts = d.mapInPandas(place, "_q long, _j long, n long").groupBy("_q", "_j").agg(F.sum("n").alias("n"))
+        flat = [(i, j, name, docs_[j].item(), float(-low[j])) for i, (name, _, low, docs_) in enumerate(lists) for j in range(len(low))]
+        named = spark.createDataFrame(pd.DataFrame(flat, columns=["_q", "_j", "query_id", "doc_id", "score"]), f"_q long, _j long, query_id {dict(q.dtypes)['query_id']}, doc_id {dt}, score double")
+        parts.append(counts.join(F.broadcast(named), ["_q", "_j"]).select("query_id", "doc_id", "score", (F.col("n") + 1).alias("rank")))
+    if not parts:
+        return pairs.select("query_id", "doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ir_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """P@5, P@k, R@k, MRR over the whole ranking and nDCG@k for every judged query.
 
-    Only judged documents are ranked against judgements: the run is reduced by the join.
+    `run` needs the ranks of judged documents only, as `judged_ranks` counts them.
     """
     hit = run.select("query_id", "doc_id", "rank").join(qrels, ["query_id", "doc_id"])
     rel = F.col("grade") > 0

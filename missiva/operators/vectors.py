@@ -19,6 +19,8 @@ from missiva.operators.scale import bounded_broadcast, top_rows
 from missiva.session import pin
 
 MATRIX_ROWS = 4096
+#: Vectors of one band of the exact neighbour search.
+BAND_ROWS = 65_536
 
 
 def vector_means(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
@@ -152,10 +154,16 @@ def _related_small(rows: DataFrame, key: str, k: int, dp: int) -> DataFrame:
     return out.select(F.col("id").alias(key), "rank", "other", F.round("sim", dp).alias("score"))
 
 
-def _related_blocked(rows: DataFrame, key: str, k: int, block: int, dp: int) -> DataFrame:
+def _distinct_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with the digest `g` of their vector, (g, rep, n) per vector, and (id, v) of each smallest id."""
     rows = pin(rows.withColumn("g", F.sha2(F.to_json("v"), 256)))
     groups = rows.groupBy("g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = rows.join(groups, (rows["id"] == groups["rep"]) & (rows["g"] == groups["g"]), "left_semi").select("id", "v")
+    return rows, groups, reps
+
+
+def _related_blocked(rows: DataFrame, key: str, k: int, block: int, dp: int) -> DataFrame:
+    rows, groups, reps = _distinct_vectors(rows)
     n = reps.count()
     p = max(1, min(MATRIX_ROWS, int(math.sqrt(max(n, 1)) / 2)))
     block = max(block, n // MATRIX_ROWS)
@@ -190,39 +198,62 @@ def _related_blocked(rows: DataFrame, key: str, k: int, block: int, dp: int) ->
     tau = F.when(F.col("c") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s")))).otherwise(F.lit(9.0))
     tau = worst.select("id", tau.alias("tau"))
     # One row per block, n / block + pivots rows in all.
-    shells = blocked.groupBy("blk", "cell").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).orderBy("blk").collect()
-    names = [r[0] for r in shells]
+    shells = blocked.groupBy("blk", "cell").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).orderBy("cell", "blk").collect()
+    at = {r[0]: i for i, r in enumerate(shells)}
     home = np.array([r[1] for r in shells])
     lo, hi = np.array([r[2] for r in shells]), np.array([r[3] for r in shells])
+    # Neighbouring blocks form a band; a task holds two bands, so a vector is sent at most once per band.
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bands = min(len(shells), max(math.isqrt(tasks), -(-n // BAND_ROWS)))
+    band = np.arange(len(shells)) * bands // max(1, len(shells))
 
     def route(batches):
         for pdf in batches:
             if len(pdf):
-                x = _stack(pdf["v"])
+                x, src = _stack(pdf["v"]), pdf["blk"].map(at).to_numpy()
                 d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (piv * piv).sum(1)[None, :] - 2 * x @ piv.T))[:, home]
                 gap = np.maximum(d - hi[None, :], lo[None, :] - d)
                 go = gap <= pdf["tau"].to_numpy()[:, None] + 1e-9
-                i, j = np.nonzero(go)
-                to = np.array(names, dtype=object)[j]
-                src = pdf["blk"].to_numpy()[i]
-                keep = to != src
-                i = i[keep]
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "v": pdf["v"].to_numpy()[i], "src": src[keep], "blk": to[keep]})
+                go[np.arange(len(x)), src] = False
+                for b in range(bands):
+                    inside = np.flatnonzero(band == b)
+                    i = np.flatnonzero(go[:, inside].any(1))
+                    if len(i):
+                        to = [inside[np.flatnonzero(g)] for g in go[np.ix_(i, inside)]]
+                        yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "v": pdf["v"].to_numpy()[i], "own": band[src[i]], "band": b, "to": to})
 
     asked = blocked.join(tau, "id", "left").na.fill({"tau": 9.0}).select("id", "v", "blk", "tau")
-    asked = asked.mapInPandas(route, f"id {kt}, v array<double>, src string, blk string")
-    visits = asked.select(F.col("src").alias("bsrc"), F.col("blk").alias("bblk")).distinct()
-    bases = blocked.select(F.col("blk").alias("bblk"), F.col("id").alias("bid"), F.col("v").alias("bv")).join(visits, "bblk")
+    asked = pin(asked.mapInPandas(route, f"id {kt}, v array<double>, own int, band int, to array<int>"))
+
+    def banded(batches):
+        for pdf in batches:
+            i = pdf["blk"].map(at).to_numpy()
+            yield pdf.assign(no=i.astype(np.int32), bband=band[i].astype(np.int32))[["bid", "bv", "no", "bband"]]
+
+    bases = blocked.select(F.col("id").alias("bid"), F.col("v").alias("bv"), "blk").mapInPandas(banded, f"bid {kt}, bv array<double>, no int, bband int")
+    visits = asked.select(F.col("own").alias("bown"), F.col("band").alias("bband")).distinct()
+    bases = bases.join(bounded_broadcast(visits), "bband")
 
     def across(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
             return pd.DataFrame({"id": [], "other": [], "sim": []})
-        out = _best(_stack(q["v"]), q["id"].to_numpy(), _stack(b["bv"]), b["bid"].to_numpy(), k)
+        x, ids, y, yid, no = _stack(q["v"]), q["id"].to_numpy(), _stack(b["bv"]), b["bid"].to_numpy(), b["no"].to_numpy()
+        to = np.concatenate(q["to"].to_numpy())
+        of = np.repeat(np.arange(len(q)), q["to"].map(len))
+        out = []
+        for t in np.unique(to):
+            i, j = of[to == t], np.flatnonzero(no == t)
+            out += _best(x[i], ids[i], y[j], yid[j], k)
         return pd.DataFrame(out, columns=["id", "other", "sim"])
 
-    second = asked.groupBy("src", "blk").cogroup(bases.groupBy("bsrc", "bblk")).applyInPandas(across, pair_t)
+    second = asked.groupBy("own", "band").cogroup(bases.groupBy("bown", "bband")).applyInPandas(across, pair_t)
     best = top_rows(first.unionByName(second), ["id"], [F.col("sim").desc(), "other"], k, "_r").drop("_r")
-    if n == rows.count():
+    return _ranked_copies(rows, groups, reps, best, key, k, dp)
+
+
+def _ranked_copies(rows: DataFrame, groups: DataFrame, reps: DataFrame, best: DataFrame, key: str, k: int, dp: int) -> DataFrame:
+    """Neighbours of all rows from those of one row per distinct vector."""
+    if groups.filter("n > 1").limit(1).count() == 0:
         found = best
     else:
         # Copies: a group offers its k+1 smallest ids, enough for any k neighbours.
@@ -240,6 +271,121 @@ def _related_blocked(rows: DataFrame, key: str, k: int, block: int, dp: int) ->
     return ranked.select(F.col("id").alias(key), "rank", "other", F.round("sim", dp).alias("score"))
 
 
+def _lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres of a plain k-means run over a bounded sample."""
+    centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        near = _nearest(x, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        n = np.bincount(near, minlength=len(centres))
+        centres[n > 0] = sums[n > 0] / n[n > 0, None]
+    return centres
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres * centres).sum(1)[None, :] - 2 * x @ centres.T).argmin(1)
+
+
+class ResidualCodes:
+    """Inverted lists around coarse centres, and product-quantised codes of what a centre leaves of a vector."""
+
+    def __init__(self, sample: np.ndarray, lists: int, parts: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.centres = _lloyd(sample, lists, 10, rng)
+        left = sample - self.centres[_nearest(sample, self.centres)]
+        self.cuts = np.array_split(np.arange(sample.shape[1]), min(parts, sample.shape[1]))
+        self.books = [_lloyd(left[:, c], 256, 8, rng) for c in self.cuts]
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        home = _nearest(x, self.centres)
+        left = x - self.centres[home]
+        return home, np.stack([_nearest(left[:, c], b) for c, b in zip(self.cuts, self.books, strict=True)], 1).astype(np.uint8)
+
+    def probes(self, x: np.ndarray, n: int) -> np.ndarray:
+        s = (self.centres * self.centres).sum(1)[None, :] - 2 * x @ self.centres.T
+        return np.argsort(s, 1, kind="stable")[:, :n]
+
+    def products(self, x: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
+        """Approximate inner products of queries with the coded vectors of one list."""
+        out = np.repeat((x @ self.centres[home])[:, None], len(codes), 1)
+        for p, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)):
+            out += (x[:, c] @ b.T)[:, codes[:, p]]
+        return out
+
+
+def related_approximate(
+    vectors: DataFrame, key: str, vector: str, k: int = 5, lists: int | None = None, probes: int = 12, parts: int = 16, rerank: int = 12,
+    sample: int = 16_384, block: int = 4096, seed: int = 42, dp: int = 4,
+) -> DataFrame:
+    """k near neighbours by cosine, self excluded: inverted lists, residual codes, then exact cosines.
+
+    Every vector is indexed by its nearest coarse centre with one byte per part. A query visits its `probes` nearest
+    lists, keeps `rerank * k` candidates by coded products, and ranks these by their full vectors; so scores are
+    exact, and only neighbours in lists not visited are missed. Centres and code books are fitted on at most `sample`
+    vectors with the smallest id hashes; there are about sqrt(n) lists, 4096 at most. Copies of a vector are searched
+    once. Lists are cut into blocks and their queries into chunks of about `block` rows, so no task holds a crowded list.
+    """
+    rows = vectors.select(F.col(key).alias("id"), unit(F.col(vector)).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    rows, groups, reps = _distinct_vectors(rows)
+    reps = pin(reps)
+    n = reps.count()
+    if n == 0:
+        return rows.select(F.col("id").alias(key), F.lit(0).alias("rank"), F.col("id").alias("other"), F.lit(0.0).alias("score"))
+    fitted = np.array([r[0] for r in reps.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], dtype=np.float64)
+    # Sent once per executor; a few megabytes at 4096 lists.
+    index = reps.sparkSession.sparkContext.broadcast(vars(ResidualCodes(fitted, lists or min(MATRIX_ROWS, max(1, math.isqrt(n))), parts, seed)))
+    kt, keep = dict(rows.dtypes)["id"], rerank * k
+
+    def loaded() -> ResidualCodes:
+        codes = ResidualCodes.__new__(ResidualCodes)
+        codes.__dict__.update(index.value)
+        return codes
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                home, codes = loaded().encode(_stack(pdf["v"]))
+                yield pd.DataFrame({"id": pdf["id"], "list": home.astype(np.int32), "code": [c.tobytes() for c in codes]})
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                near = loaded().probes(_stack(pdf["v"]), probes).astype(np.int32)
+                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), near.shape[1]), "v": [v for v in pdf["v"] for _ in range(near.shape[1])], "list": near.ravel()})
+
+    coded = pin(reps.mapInPandas(encode, f"id {kt}, list int, code binary"))
+    asked = pin(reps.mapInPandas(ask, f"id {kt}, v array<double>, list int"))
+    # At most MATRIX_ROWS rows.
+    cut = lambda d, name: d.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
+    plan = F.broadcast(cut(coded, "blocks").join(cut(asked, "chunks"), "list"))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = coded.join(plan, "list").select("list", deal("blocks").alias("b"), upto("chunks").alias("c"), F.col("id").alias("other"), "code")
+    wanted = asked.join(plan, "list").select("list", upto("blocks").alias("b"), deal("chunks").alias("c"), "id", "v")
+
+    def scan(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(s):
+            return pd.DataFrame({"id": [], "other": [], "sim": []})
+        x, ids, others = _stack(q["v"]), q["id"].to_numpy(), s["other"].to_numpy()
+        codes = np.frombuffer(b"".join(s["code"]), np.uint8).reshape(len(s), -1)
+        out, step = [], max(1, 4_000_000 // len(s))
+        for a in range(0, len(x), step):
+            sims = loaded().products(x[a : a + step], int(q["list"].iloc[0]), codes)
+            sims[ids[a : a + step, None] == others[None, :]] = -9.0
+            for i, js in enumerate(_top(sims, others, keep)):
+                out += [(ids[a + i], others[j], sims[i, j]) for j in js if sims[i, j] > -9.0]
+        return pd.DataFrame(out, columns=["id", "other", "sim"])
+
+    pair_t = f"id {kt}, other {kt}, sim double"
+    near = wanted.groupBy("list", "b", "c").cogroup(stored.groupBy("list", "b", "c")).applyInPandas(scan, pair_t)
+    near = top_rows(near, ["id"], [F.col("sim").desc(), "other"], keep, "_r").select("id", "other")
+    both = near.join(reps.select(F.col("id").alias("other"), F.col("v").alias("w")), "other").join(reps, "id")
+    exact = both.select("id", "other", dot(F.col("v"), F.col("w")).alias("sim"))
+    best = top_rows(exact, ["id"], [F.col("sim").desc(), "other"], k, "_r").drop("_r")
+    return _ranked_copies(rows, groups, reps, best, key, k, dp)
+
+
 def search(
     queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, vector: str, k: int | None = 10
 ) -> DataFrame:
@@ -291,6 +437,7 @@ def kmeans(vectors: DataFrame, key: str, vector: str, k: int = 8, restarts: int
         model = KMeans(k=k, maxIter=max_iter, seed=s, featuresCol="features", predictionCol="cluster").fit(data)
         if cost is None or model.summary.trainingCost < cost:
             best, cost = model, model.summary.trainingCost
+    data.unpersist()
     centers = data.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())], "cluster int, center array<double>")
     out = best.transform(data).select(key, "cluster", vector_to_array("features").alias("v"))
     d2 = F.aggregate(F.zip_with("v", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
@@ -308,6 +455,7 @@ def elbow(vectors: DataFrame, vector: str, ks: Sequence[int] = tuple(range(1, 10
         else:
             model = KMeans(k=k, seed=seed, featuresCol="features").fit(data)
             rows.append((k, float(model.summary.trainingCost)))
+    data.unpersist()
     return data.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 

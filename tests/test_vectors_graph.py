@@ -40,6 +40,48 @@ def test_neighbours_small_and_blocked(cloud):
     check(V._related_blocked(rows, "id", 5, 7, 4), want)
 
 
+def test_neighbours_beyond_one_matrix(spark):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(60, 8)), 75, 0) + rng.normal(size=(4500, 8)) * 0.3
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, 1)[:, :5]
+    check(V.related(df, "id", "v", 5, block=400), {i: s[i, want[i]].round(4).tolist() for i in range(len(x))})
+    got = {}
+    for r in V.related_approximate(df, "id", "v", 5).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+        assert abs(r["score"] - s[r["id"], r["other"]]) < 2e-4
+    assert np.mean([len(got[i] & set(want[i].tolist())) / 5 for i in range(len(x))]) >= 0.9
+
+
+def test_approximate_neighbours_of_few_and_of_copies(cloud, spark):
+    x, df = cloud
+    check(V.related_approximate(df, "id", "v", 5, lists=4, probes=4, parts=4, rerank=40, block=9), brute(x, 5))
+    assert V.related_approximate(df.limit(0), "id", "v").collect() == []
+    assert V.related_approximate(spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, None)], df.schema), "id", "v").collect() == []
+
+
+@pytest.mark.parametrize("judged,sign", [(32768, 1.0), (7, -1.0)])
+def test_ranks_of_judged_documents_are_counted(cloud, spark, judged, sign):
+    x, df = cloud
+    docs = df.select(F.col("id").alias("doc_id"), F.col("v").alias("vector")).repartition(5)
+    queries = df.filter("id IN (0, 31, 150)").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    qrels = spark.createDataFrame([(q, d, 1) for q in (0, 31, 150, 999) for d in range(q % 7, 190, 6)], "query_id long, doc_id long, grade int")
+    n = np.linalg.norm(x, axis=1)
+    u = x / np.where(n > 0, n, 1)[:, None]
+    got = {(r["query_id"], r["doc_id"]): r["rank"] for r in R.judged_ranks(queries, docs, qrels, sign=sign, judged=judged).collect()}
+    want = {}
+    for q in (0, 31, 150):
+        s = np.round(sign * (u @ u[q]), 12)
+        order = sorted(range(len(x)), key=lambda d: (-s[d], d))
+        want |= {(q, d): order.index(d) + 1 for d in range(q % 7, 190, 6) if d < len(x)}
+    # Copies of one vector stand in order of their ids.
+    assert got == want
+    assert R.judged_ranks(queries, docs, qrels.limit(0)).collect() == []
+
+
 def test_search_ranks_and_only_the_tool_clamps(cloud):
     x, df = cloud
     q = df.filter("id IN (0, 60)").select(F.col("id").alias("q"), "v")
