@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from missiva.functions import text as T
 from missiva.operators.scale import bounded_broadcast, number_rows
+from missiva.session import pin
 
 
 def attach_scores(letters: DataFrame, scores: DataFrame, on: str = "id", how: str = "left") -> DataFrame:
@@ -278,39 +279,55 @@ def merged_lookup(a: DataFrame, b: DataFrame, name: str, key: str) -> DataFrame:
     ).orderBy(name)
 
 
-def lexicon_annotate(
-    df: DataFrame, doc_id: str, text: str, lexicon: DataFrame, chunk: int = 5000
-) -> DataFrame:
-    """Every literal occurrence of each lexicon token with its 0-based positions.
+GRAM = 3
 
-    A substring match has no join key, so the lexicon travels to the texts in chunks of
-    fixed size, each compiled into one expression per text; no pairwise join is planned.
-    """
-    n = lexicon.count()
-    chunks = -(-n // chunk)
-    if chunks > 1:
-        part = F.pmod(F.xxhash64("token"), F.lit(chunks))
-        return reduce(
-            lambda x, y: x.unionByName(y),
-            [_annotate(df, doc_id, text, lexicon.filter(part == i)) for i in range(chunks)],
-        )
-    return _annotate(df, doc_id, text, lexicon)
 
+def _grams(text: Column, size: int) -> Column:
+    """All substrings of `size` characters, in one pass of a pattern that looks ahead of every place."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
 
-def _annotate(df: DataFrame, doc_id: str, text: str, lexicon: DataFrame) -> DataFrame:
-    entries = lexicon.agg(F.collect_list(F.struct(*lexicon.columns)).alias("_lex"))
-    both = df.select(*dict.fromkeys((doc_id, text))).crossJoin(F.broadcast(entries))
-    hit = both.withColumn("_e", F.explode(F.filter("_lex", lambda e: F.col(text).contains(e["token"]))))
+
+def lexicon_annotate(df: DataFrame, doc_id: str, text: str, lexicon: DataFrame, size: int = GRAM) -> DataFrame:
+    """Every literal occurrence of each lexicon token with its 0-based positions, left to right without overlap.
+
+    An inverted index: each token is filed under one of its substrings of `size` characters, the one that the fewest
+    tokens have (shorter tokens under themselves). Texts are equi-joined by their distinct substrings, and what meets
+    is checked on the text itself. Null and empty tokens and texts match nothing; equal lexicon rows and equal texts
+    come out each.
+    """
+    words = lexicon.filter(F.length("token") > 0)
+    own = F.col("token")
+    filed = words.select("*", F.explode(F.array_distinct(F.when(F.length(own) <= size, F.array(own)).otherwise(_grams(own, size)))).alias("_g"))
+    counts = filed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    # The rarest substring of a token; which one it is never changes the result.
+    rarest = filed.select("token", "_g").distinct().join(counts, "_g").groupBy("token").agg(F.min(F.struct("_n", "_g")).alias("_r"))
+    index = words.join(rarest.select("token", F.col("_r._g").alias("_g")), "token").select("_g", F.struct(*lexicon.columns).alias("_e"))
+    index = pin(index)
+    lengths = sorted(r[0] for r in index.select(F.length("_g")).distinct().collect())
+    names = list(dict.fromkeys((doc_id, text)))
+    if not lengths:
+        return df.select(doc_id, *[F.lit(None).cast(t).alias(c) for c, t in lexicon.dtypes], F.array().cast("array<int>").alias("positions")).limit(0)
+    held = F.array_distinct(F.concat(*[_grams(F.col(text), n) for n in lengths]))
+    near = bounded_broadcast(index)
+    if near is not index:
+        both = df.select(*names, F.explode(held).alias("_g")).join(near, "_g").drop("_g")
+    else:
+        # A large index: only row numbers travel with the substrings, the texts follow for what was found.
+        rows = pin(df.select(*names).withColumn("_row", F.monotonically_increasing_id()))
+        met = rows.select("_row", F.explode(held).alias("_g")).join(index, "_g").select("_row", "_e")
+        both = rows.join(met, "_row")
+    hit = both.filter(F.col(text).contains(F.col("_e.token")))
     # Lengths of the parts between occurrences give the offsets.
-    parts = F.split(F.col(text), F.concat(F.lit(r"\Q"), F.col("_e.token"), F.lit(r"\E")))
-    lengths = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.length)
+    quoted = F.replace(F.col("_e.token"), F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    parts = F.split(F.col(text), F.concat(F.lit(r"\Q"), quoted, F.lit(r"\E")))
+    lengths_ = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.length)
     step = lambda acc, n: F.concat(
         acc,
         F.array(
             F.when(F.size(acc) == 0, n).otherwise(F.element_at(acc, -1) + F.length(F.col("_e.token")) + n)
         ),
     )
-    at = F.aggregate(lengths, F.array().cast("array<int>"), step)
+    at = F.aggregate(lengths_, F.array().cast("array<int>"), step)
     return hit.select(doc_id, *[F.col(f"_e.{c}").alias(c) for c in lexicon.columns], at.alias("positions"))
 
 

@@ -1,5 +1,8 @@
 from datetime import date
 
+import pytest
+from pyspark.sql import functions as F
+
 from missiva.operators import browse as B
 from missiva.operators import entities as N
 from missiva.operators import joins as J
@@ -67,12 +70,38 @@ def test_bare_names_cascade(rows):
     assert got[6]["is_ambiguous"] and got[7]["method"] == "unresolvable"
 
 
-def test_lexicon_positions_and_chunks(rows):
-    docs = rows([(1, "Kl. 3 kl. Kl. x")], "id int, t string")
-    lex = rows([("Kl.", "Klokken"), ("x", "eks")], "token string, expansion string")
-    for chunk in (5000, 1):
-        got = {r["token"]: list(r["positions"]) for r in J.lexicon_annotate(docs, "id", "t", lex, chunk).collect()}
-        assert got == {"Kl.": [0, 10], "x": [14]}
+def plain_positions(text, token):
+    out, at = [], text.find(token)
+    while at >= 0:
+        out.append(at)
+        at = text.find(token, at + len(token))
+    return out
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_lexicon_positions(rows, monkeypatch, large):
+    if large:
+        monkeypatch.setattr(J, "bounded_broadcast", lambda df: df)
+    texts = ["Kl. 3 kl. Kl. x", "", None, "aaaaa Kl.", "s\U0001f600\U0001f600ø 漢字 a.*b \\E\\Q q", "Kl. 3 kl. Kl. x", "ab"]
+    tokens = ["Kl.", "x", "aa", "aaa", "\U0001f600", "字", "a.*b", "\\E\\Q", "", None, "x", "nowhere", "ø 漢字"]
+    docs = rows([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    lex = rows([(t, i) for i, t in enumerate(tokens)], "token string, no int")
+    got = sorted((r["id"], r["no"], list(r["positions"])) for r in J.lexicon_annotate(docs, "id", "t", lex).collect())
+    assert got == sorted((i, n, plain_positions(t, w)) for i, t in enumerate(texts) for n, w in enumerate(tokens) if t and w and w in t)
+    assert J.lexicon_annotate(docs, "id", "t", lex.limit(0)).collect() == []
+
+
+def test_a_large_lexicon_is_joined_on_substrings(spark):
+    words = spark.range(100_000).select(F.sha2(F.col("id").cast("string"), 256).alias("h")).select(F.concat(F.lit("n"), F.substring("h", 1, 9)).alias("token"))
+    some = [r[0] for r in words.orderBy("token").limit(3000).collect()]
+    docs = spark.createDataFrame([(i, " and ".join(some[i::300])) for i in range(300)], "id int, t string")
+    out = J.lexicon_annotate(docs, "id", "t", words)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    found = out.collect()
+    assert len(found) >= 3000 and {r["token"] for r in found} >= set(some)
+    texts = {r["id"]: r["t"] for r in docs.collect()}
+    assert all(list(r["positions"]) == plain_positions(texts[r["id"]], r["token"]) for r in found)
 
 
 def test_overlay_and_split_round(rows):
