@@ -4,7 +4,7 @@ Two sets that reach the similarity share many n-grams, and some of them among th
 overlap a set of n n-grams needs, any partner shares at least c of its n - t + c rarest ones. Only these go into
 inverted lists, ordered by a frequency sketch of all documents. A first round compares every list's members with one
 of them (its pivot), so that large groups of near copies become single components. Then whatever shares c list
-entries across components is searched.
+entries across components is searched; the n-grams before the first shared one count against a pair beforehand.
 
 A search takes one set as the query and builds the inverted lists of its candidates. DivideSkip parts them: the
 short lists are merged and counted, the candidates that can still reach their overlap are looked up in the few long
@@ -16,6 +16,7 @@ An n-gram is known by 64 bits mixed from its words' XXH64, a set by 128 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -141,12 +142,15 @@ def _frequencies(made: DataFrame) -> np.ndarray:
 
 
 def _lists(docs: DataFrame, frequency: np.ndarray, words: int, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """(k, digest, n) of the distinct sets, and (g, nb, salt, k, n): entries of lists that hold more than one set.
+    """(k, digest, n) of the distinct sets, and (g, nb, salt, k, n, u): entries of lists that hold more than one set.
 
     A list that may pass `size` entries is dealt over `nb` pieces.
     """
     sent = docs.sparkSession.sparkContext.broadcast(frequency)
 
+    def rarest_of(n: int) -> int:
+        return n - int(least_overlap(n, percent)) + shared_rare(n, percent)
+
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -154,7 +158,7 @@ def _lists(docs: DataFrame, frequency: np.ndarray, words: int, percent: int, siz
                 out = []
                 for s in sets:
                     f = sent.value[(s % np.uint64(SKETCH)).astype(np.int64)]
-                    first = np.lexsort((s, f))[: len(s) - least_overlap(len(s), percent) + shared_rare(len(s), percent)]
+                    first = np.lexsort((s, f))[: rarest_of(len(s))]
                     # A counter of one is an n-gram that no other document has.
                     out.append(s[first[f[first] > 1]].tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -169,23 +173,31 @@ def _lists(docs: DataFrame, frequency: np.ndarray, words: int, percent: int, siz
                 rare = [np.frombuffer(r, np.uint64) for r in part.column("rare").to_pylist()]
                 g = np.concatenate(rare)
                 each = np.repeat(np.arange(len(rare)), [len(r) for r in rare])
+                sizes = part.column("n").to_pylist()
+                # n-grams of a counter of one, the first in the order, were left out.
+                pos = np.concatenate([rarest_of(n) - len(r) + np.arange(len(r)) for n, r in zip(sizes, rare, strict=True)])
                 k, n = (part.column(c).to_numpy(zero_copy_only=False)[each] for c in ("k", "n"))
                 pieces = 1 + (sent.value[(g % np.uint64(SKETCH)).astype(np.int64)].astype(np.int64) - 1) // size
                 salt = ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % pieces.astype(np.uint64)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.view(np.int64), pieces, salt, k, n)], names=["g", "nb", "salt", "k", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.view(np.int64), pieces, salt, k, n, pos.astype(np.int64))], names=["g", "nb", "salt", "k", "n", "pos"])
 
     rare = docs.select("text").mapInArrow(rarest, "digest binary, n long, rare binary")
     sets = rare.groupBy("digest").agg(F.first("n").alias("n"), F.first("rare").alias("rare"))
     sets = staged(sets.withColumn("k", F.monotonically_increasing_id()))
-    flat = sets.select("k", "n", "rare").mapInArrow(entries, "g long, nb long, salt long, k long, n long").repartition("g", "salt")
+    flat = sets.select("k", "n", "rare").mapInArrow(entries, "g long, nb long, salt long, k long, n long, pos long").repartition("g", "salt")
     lists = flat.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("g", "salt"))).filter("size > 1 OR nb > 1").drop("size")
-    return sets.drop("rare"), staged(lists)
+    # The first n-gram that two sets share is in a list of both. So `u` n-grams of a set, those that stand before its
+    # first n-gram in such a list, are shared with no partner.
+    lists = staged(lists)
+    lists = lists.drop("pos").join(lists.groupBy("k").agg(F.min("pos").alias("u")), "k")
+    return sets.drop("rare"), staged(lists.filter((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent))
 
 
-def _fit(percent: int, n: str | Column = "n", m: str | Column = "m") -> Column:
-    """Sizes at which the similarity can be reached at all."""
-    n, m = (F.col(x) if isinstance(x, str) else x for x in (n, m))
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _fit(percent: int) -> Column:
+    """Whether sets of n and m n-grams can reach the similarity at all, if u and v of them are shared with no partner."""
+    n, m, u, v = (F.col(x) for x in "nmuv")
+    most = F.least(n - u, m - v)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * most >= percent * (most + u + v))
 
 
 def _shared(percent: int, n: str = "n", m: str = "m") -> Column:
@@ -195,9 +207,9 @@ def _shared(percent: int, n: str = "n", m: str = "m") -> Column:
 
 def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(x, y): each list's members beside the one whose hash is the smallest."""
-    mark = F.min(F.struct(F.xxhash64("k").alias("h"), F.col("k").alias("x"), F.col("n").alias("m"))).alias("z")
-    pivots = lists.groupBy("g").agg(mark).select("g", "z.x", "z.m")
-    pairs = lists.select("g", "k", "n").join(pivots, "g").filter((F.col("x") != F.col("k")) & _fit(percent))
+    mark = F.min(F.struct(F.xxhash64("k").alias("h"), F.col("k").alias("x"), F.col("n").alias("m"), F.col("u").alias("v"))).alias("z")
+    pivots = lists.groupBy("g").agg(mark).select("g", "z.x", "z.m", "z.v")
+    pairs = lists.select("g", "k", "n", "u").join(pivots, "g").filter((F.col("x") != F.col("k")) & _fit(percent))
     counted = pairs.groupBy("x", "m", F.col("k").alias("y"), "n").agg(F.count(F.lit(1)).alias("shared"))
     return counted.filter(F.col("shared") >= _shared(percent)).select("x", "y")
 
@@ -211,39 +223,48 @@ def _cross_pairs(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     named = lists.join(found.select(F.col("id").alias("k"), "component"), "k")
     mixed = named.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("g")
     named = staged(named.join(mixed, "g", "left_semi"))
-    one = ["k", "n", "component"]
+    one = ["k", "n", "u", "component"]
     left = named.select("g", F.col("salt").alias("i"), F.explode(F.sequence("salt", F.col("nb") - 1)).alias("j"), F.lit(0).alias("side"), *one)
     right = named.filter("salt > 0").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salt") - 1)).alias("i"), F.col("salt").alias("j"), F.lit(1).alias("side"), *one)
     dealt = left.unionByName(right).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side", "k")
 
-    def meet(side: np.ndarray, k: np.ndarray, n: np.ndarray, component: np.ndarray, same: bool) -> Iterator[tuple]:
+    def meet(side: np.ndarray, k: np.ndarray, n: np.ndarray, u: np.ndarray, component: np.ndarray, same: bool) -> Iterator[tuple]:
         own, other = (np.ones(len(k), bool),) * 2 if same else (side == 0, side == 1)
-        k2, n2, c2 = k[other], n[other], component[other]
-        for x, m, c in zip(k[own].tolist(), n[own].tolist(), component[own].tolist(), strict=True):
-            ok = (c2 != c) & (100 * np.minimum(n2, m) >= percent * np.maximum(n2, m))
+        k2, n2, u2, c2 = k[other], n[other], u[other], component[other]
+        for x, m, v, c in zip(k[own].tolist(), n[own].tolist(), u[own].tolist(), component[own].tolist(), strict=True):
+            most = np.minimum(n2 - u2, m - v)
+            ok = (c2 != c) & (100 * np.minimum(n2, m) >= percent * np.maximum(n2, m)) & (100 * most >= percent * (most + u2 + v))
             if same:
                 ok &= k2 > x
             if ok.any():
                 yield x, m, k2[ok].tobytes(), n2[ok].astype(np.int32).tobytes()
 
+    def batched(rows: Iterator[tuple], types: list, names: list[str], size: int = 4096) -> Iterator[pa.RecordBatch]:
+        while some := list(islice(rows, size)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=names)
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _runs(batches, ["g", "i", "j"]):
-            same = block.column("i")[0] == block.column("j")[0]
-            rows = list(meet(*(block.column(c).to_numpy() for c in ("side", "k", "n", "component")), same))
-            if rows:
-                x, n, ys, ms = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(n, pa.int64()), pa.array(ys, pa.binary()), pa.array(ms, pa.binary())], names=["x", "n", "ys", "ms"])
+        def rows():
+            for block in _runs(batches, ["g", "i", "j"]):
+                if block.num_rows > 1:
+                    same = block.column("i")[0] == block.column("j")[0]
+                    yield from meet(*(block.column(c).to_numpy() for c in ("side", "k", "n", "u", "component")), same)
+
+        yield from batched(rows(), [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["x", "n", "ys", "ms"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _runs(batches, ["x"]):
-            ys = np.frombuffer(b"".join(own.column("ys").to_pylist()), np.int64)
-            ms = np.frombuffer(b"".join(own.column("ms").to_pylist()), np.int32).astype(np.int64)
-            y, first, shared = np.unique(ys, return_index=True, return_counts=True)
-            n, x = own.column("n")[0].as_py(), own.column("x")[0].as_py()
-            many = np.minimum(1 + ms[first] // SHARED_OF, least_overlap(ms[first], percent))
-            y = y[shared >= np.minimum(many, shared_rare(n, percent))]
-            # The ends of a pair in falling or rising order are the same pair.
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+        def rows():
+            for own in _runs(batches, ["x"]):
+                ys = np.frombuffer(b"".join(own.column("ys").to_pylist()), np.int64)
+                ms = np.frombuffer(b"".join(own.column("ms").to_pylist()), np.int32).astype(np.int64)
+                y, first, shared = np.unique(ys, return_index=True, return_counts=True)
+                n, x = own.column("n")[0].as_py(), own.column("x")[0].as_py()
+                many = np.minimum(1 + ms[first] // SHARED_OF, least_overlap(ms[first], percent))
+                y = y[shared >= np.minimum(many, shared_rare(n, percent))]
+                # The ends of a pair in falling or rising order are the same pair.
+                yield from zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)
+
+        yield from batched(rows(), [pa.int64(), pa.int64()], ["x", "y"])
 
     met = dealt.mapInArrow(blocks, "x long, n long, ys binary, ms binary")
     return met.repartition("x").sortWithinPartitions("x").mapInArrow(merge, "x long, y long")
