@@ -9,11 +9,7 @@ block is pooled and packed again, until one block holds the pool or a round save
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterator
-from heapq import nlargest
-from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -25,8 +21,31 @@ from missiva.llm.common import safe_pieces, slices, staged, worker_cache
 from missiva.llm.counts import load_tokenizer
 
 BLOCK = 8192
-# Encoded cuts that a worker holds at most, and those of most uses that stay when it holds more.
-CACHE, FREQUENT = 300_000, 200_000
+# Encoded cuts that a worker holds at most.
+CACHE = 600_000
+
+
+def encode_pieces(tokenizer, pieces: list[str], size: int = 4096) -> dict[str, bytes]:
+    """Ids of each piece, as little-endian unsigned 32-bit numbers.
+
+    Pieces of one blank and a run of other signs are encoded as lines of one text: the tokenizer splits before and
+    after a line end that a blank follows, and gives it an id of its own. All others are encoded one by one.
+    """
+    out: dict[str, bytes] = {}
+    line, *more = tokenizer.encode("\n", add_special_tokens=False).ids
+    plain = [] if more else [p for p in pieces if p[:1] == " " and len(p) > 1 and p.split() == [p[1:]]]
+    for i in range(0, len(plain), size):
+        some = plain[i : i + size]
+        ids = np.array(tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(ids == line) * 4).tolist()
+        if len(cuts) == len(some) - 1:
+            raw = ids.tobytes()
+            out.update(zip(some, map(raw.__getitem__, map(slice, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)])), strict=True))
+    rest = [p for p in pieces if p not in out]
+    for i in range(0, len(rest), size):
+        encoded = tokenizer.encode_batch_fast(rest[i : i + size], add_special_tokens=False)
+        out.update(zip(rest[i : i + size], (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
+    return out
 
 
 def document_pieces(
@@ -36,33 +55,31 @@ def document_pieces(
 
     `ids` holds little-endian unsigned 32-bit numbers. A longer document is cut into pieces of `capacity` ids; only
     the first may be shorter. A null text counts as empty and gives one piece with the end id; repeated rows repeat.
-    Texts are cut before blanks, where the tokenizer's own splits lie, and cuts in frequent use are encoded once per worker.
+    Texts are cut before blanks, where the tokenizer's own splits lie, and equal cuts are encoded once per worker.
     """
     kind = docs.select(F.col(f"`{doc_id}`")).schema[0].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache, end = worker_cache("packing"), np.uint32(end_id).tobytes()
-        tokenizer = load_tokenizer(vocabulary, cache)
-        kept, uses = cache.setdefault(f"ids {vocabulary}", ({}, Counter()))
+        tokenizer, kept = load_tokenizer(vocabulary, cache), cache.setdefault(f"ids {vocabulary}", {})
         for batch in batches:
             for part in slices(batch, "text"):
                 cut = [safe_pieces(t) if t else [] for t in part.column("text").to_pylist()]
-                found = Counter(chain.from_iterable(cut))
-                new = found.keys() - kept.keys()
+                new = set().union(*cut).difference(kept)
                 # A letter and a comma or full stop behind it are always split: one entry serves the word with and without.
                 bare = {p: p[:-1] for p in new if p[-1:] in (",", ".") and p[-2:-1].isalpha() and p[-2] < "\u0250"}
-                some = list({bare.get(p, p) for p in new}.union(",.").difference(kept))
-                for i in range(0, len(some), 4096):
-                    encoded = tokenizer.encode_batch_fast(some[i : i + 4096], add_special_tokens=False)
-                    kept.update(zip(some[i : i + 4096], (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
+                some = list({bare.get(p, p) for p in new}.difference(kept).union(",."))
+                more = encode_pieces(tokenizer, some)
                 for p, word in bare.items():
-                    kept[p] = kept[word] + kept[p[-1]]
-                    found[word] += found[p]
-                uses.update(found)
+                    more[p] = (kept[word] if word in kept else more[word]) + more[p[-1]]
+                if len(kept) + len(more) <= CACHE:
+                    kept.update(more)
+                    more = kept
                 doc, piece, start, length, ids = [], [], [], [], []
                 for i, pieces in enumerate(cut):
-                    raw = b"".join(map(kept.__getitem__, pieces)) + end
+                    known = map(kept.__getitem__, pieces) if more is kept else [kept[p] if p in kept else more[p] for p in pieces]
+                    raw = b"".join(known) + end
                     n, at, k = len(raw) // 4, 0, 0
                     while at < n:
                         to = at + (n % capacity or capacity) if k == 0 else at + capacity
@@ -76,13 +93,6 @@ def document_pieces(
                     [part.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
-                if len(kept) > CACHE:
-                    # The most used cuts stay; older uses count half, so that the table follows the texts.
-                    stay = {p: kept[p] for p, _ in nlargest(FREQUENT, uses.items(), itemgetter(1))}
-                    counts = {p: (uses[p] + 1) // 2 for p in stay}
-                    for held, now in ((kept, stay), (uses, counts)):
-                        held.clear()
-                        held.update(now)
 
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return source.mapInArrow(encode, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids binary")

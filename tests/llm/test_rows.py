@@ -4,11 +4,12 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as tokens
 import pytest
 from scipy_free import binomial_cdf
 
-from missiva.llm import bpe, counts, quality, queries, urls
+from missiva.llm import bpe, counts, packing, quality, queries, urls
 
 SF = "/root/testdata/sf0.001"
 BPE = tokens.path("byte_bpe_50k.tiktoken")
@@ -181,3 +182,11 @@ def test_too_many_rules_are_refused():
 
     with pytest.raises(ValueError):
         urls.matching_rule(F.lit("h"), F.lit("/"), [("allow", f"h{i}", "/") for i in range(urls.RULE_LIMIT + 1)])
+
+
+def test_pieces_encoded_as_lines_equal_single_ones():
+    tokenizer = counts.load_tokenizer(tokens.path("byte_bpe_50k.json"), {})
+    pieces = [" word", " naïve,", "first", " ", "  two", " a b", " x\x1cy", " <|endoftext|>", " <|endoftext|>s", " 漢字\U0001f600", " it's", " 12.5%%", " a\nb", "  z", "\n", " ..", " 'll", " x́"]
+    want = {p: np.array(tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces}
+    for size in (1, 3, 4096):
+        assert packing.encode_pieces(tokenizer, pieces, size) == want
