@@ -28,8 +28,9 @@ def browse(
     order: str = "id",
     date: str = "date",
 ) -> DataFrame:
-    """One page of matching rows with the total and a has_more flag on every row."""
-    limit, offset = min(max(limit, 1), 100), max(offset, 0)
+    """One page of matching rows with the total and a has_more flag on every row; a page has as many rows as asked for."""
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be at least 1 and offset at least 0")
     rows = df
     if date_from:
         rows = rows.filter(F.col(date) >= F.lit(date_from).cast("date"))
@@ -42,6 +43,11 @@ def browse(
     return page.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
 
 
+def browse_tool(df: DataFrame, *args, offset: int = 0, limit: int = 20, **options) -> DataFrame:
+    """`browse` as a tool offers it: limit is taken into 1 to 100, offset to 0 or more, whatever was asked for."""
+    return browse(df, *args, offset=max(offset, 0), limit=min(max(limit, 1), 100), **options)
+
+
 def facets(df: DataFrame, col: str, missing: str = "unknown") -> DataFrame:
     value = F.coalesce(F.nullif(F.col(col), F.lit("")), F.lit(missing))
     return df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("count")).orderBy(

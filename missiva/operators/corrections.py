@@ -86,9 +86,43 @@ def scan_patterns(df: DataFrame, doc_id: str, text: str, rules: Sequence[ScanRul
     return rows.select(doc_id, "f.*", context(F.col("_t"), F.col("f.position"), reach).alias("context"))
 
 
+# Up to so many fixes are cut from the text itself; for more it is split into characters once.
+FEW_FIXES = 32
+
+
+def _apart(fixes: Column) -> Column:
+    """Whether fixes (p, o, ...) in order of their place leave each other alone."""
+    rest = F.greatest(F.size(fixes) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(fixes, F.lit(1), rest), F.slice(fixes, F.lit(2), rest), lambda a, b: a["p"] + F.length(a["o"]) <= b["p"])
+    return F.forall(pairs, lambda ok: ok)
+
+
+def assembled(text: Column, fixes: Column) -> Column:
+    """The text with fixes (p, o, c) put in, which lie apart and in order: cut once at their ends, joined once."""
+    begins = F.concat(F.array(F.lit(0)), F.transform(fixes, lambda f: f["p"] + F.length(f["o"])))
+    ends = F.concat(F.transform(fixes, lambda f: f["p"]), F.array(F.length(text)))
+    put = F.concat(F.transform(fixes, lambda f: f["c"]), F.array(F.lit("")))
+    spans = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
+    whole = lambda between: F.array_join(F.zip_with(spans, put, lambda s, c: F.concat(between(s), c)), "")
+    # A lambda's variable is made once, however many spans use it.
+    many = F.transform(F.array(F.split(text, "")), lambda chars: whole(lambda s: F.array_join(F.slice(chars, s["a"] + 1, s["n"]), "")))[0]
+    few = whole(lambda s: F.substring(text, s["a"] + 1, s["n"]))
+    return F.when(F.size(fixes) == 0, text).when(F.size(fixes) <= FEW_FIXES, few).otherwise(many)
+
+
+def _in_order(findings: Column) -> Column:
+    fixes = F.filter(findings, lambda f: f["corrected"].isNotNull())
+    return F.array_sort(F.transform(fixes, lambda f: F.struct(f["position"].alias("p"), f["original"].alias("o"), f["corrected"].alias("c"))))
+
+
 def apply_corrections(df: DataFrame, doc_id: str, text: str, rules: Sequence[ScanRule]) -> DataFrame:
-    """text_source, text_corrected and every finding; fixes go in from the right, only where the text still matches."""
+    """text_source, text_corrected and every finding.
+
+    Fixes that lie apart are put in together, in one pass over the text. Where some overlap, all of the text's fixes
+    go in one by one from the right, and only where the text still matches.
+    """
     kept = df.select(doc_id, F.col(text).alias("text_source"), findings_array(F.col(text), rules).alias("_all"))
+    kept = kept.withColumn("_fixes", _in_order(F.col("_all")))
     order = F.transform(
         F.filter("_all", lambda f: f["corrected"].isNotNull()),
         lambda f: F.struct((-f["position"]).alias("k"), f["seq"].alias("seq"), f["original"].alias("o"), f["corrected"].alias("c")),
@@ -100,7 +134,8 @@ def apply_corrections(df: DataFrame, doc_id: str, text: str, rules: Sequence[Sca
         put = F.concat(F.substring(t, F.lit(1), pos), f["c"], F.substring(t, pos + n + 1, F.length(t)))
         return F.when(fits, put).otherwise(t)
 
-    fixed = F.aggregate(F.array_sort(order), F.col("text_source"), fix)
+    one_by_one = F.aggregate(F.array_sort(order), F.col("text_source"), fix)
+    fixed = F.when(_apart(F.col("_fixes")), assembled(F.col("text_source"), F.col("_fixes"))).otherwise(one_by_one)
     return kept.select(doc_id, "text_source", fixed.alias("text_corrected"), F.col("_all").alias("corrections"))
 
 
@@ -118,13 +153,7 @@ def validate_corrections(
 ) -> DataFrame:
     """(doc, check, message) for each failed check of text_source, text_corrected, corrections."""
     src, out = F.col("text_source"), F.col("text_corrected")
-    applied = F.array_sort(
-        F.transform(
-            F.filter("corrections", lambda c: c["corrected"].isNotNull()),
-            lambda c: F.struct(c["position"].alias("p"), c["original"].alias("o"), c["corrected"].alias("c")),
-        )
-    )
-    rows = df.select(doc_id, "text_source", "text_corrected", "corrections", applied.alias("_a"))
+    rows = df.select(doc_id, "text_source", "text_corrected", "corrections", _in_order(F.col("corrections")).alias("_a"))
 
     def undo(acc, c):
         # Left of the position everything is source text again, so source offsets hold.
@@ -132,7 +161,8 @@ def validate_corrections(
         back = F.concat(F.substring(acc, F.lit(1), c["p"]), c["o"], F.substring(acc, c["p"] + F.length(c["c"]) + 1, F.length(acc)))
         return F.when(fits, back).otherwise(acc)
 
-    restored = F.aggregate("_a", out, undo)
+    # A text that is its source with all fixes put in goes back to it; others are undone fix by fix.
+    restored = (_apart(F.col("_a")) & (assembled(src, F.col("_a")) == out)) | (F.aggregate("_a", out, undo) == src)
     flagged = F.transform(F.filter("corrections", lambda c: c["corrected"].isNull()), lambda c: c["original"])
     strange = F.array_distinct(F.filter(F.split(F.regexp_replace(out, allowed, ""), ""), lambda c: c != ""))
     strange = F.filter(
@@ -149,7 +179,7 @@ def validate_corrections(
     ratio = F.length(out) / F.nullif(F.length(src), F.lit(0))
     errors = F.filter(F.array(*[F.lit(e) for e in known_errors]), lambda e: out.contains(e))
     found = F.concat(
-        F.when(restored != src, F.array(check("round_trip", F.lit("reversal differs from source")))).otherwise(none),
+        F.when(~restored, F.array(check("round_trip", F.lit("reversal differs from source")))).otherwise(none),
         F.transform(strange, lambda c: check("alphabet", c)),
         F.transform(off, lambda c: check("position", c["position"].cast("string"))),
         F.transform(over, lambda x: check("overlap", x["p"].cast("string"))),

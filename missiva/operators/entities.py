@@ -123,7 +123,6 @@ SOURCES = {
     "unknown": ("ao_dk", "familysearch"),
     "unknown_disappeared": ("ao_dk", "familysearch", "verlustlisten"),
 }
-CORE_IDS = ("peter", "trine", "far", "mor", "signe", "musse", "bodil")
 # Great battles by year of a disappearance.
 BATTLES = {
     1915: "Second Battle of Ypres (April–May 1915)",
@@ -140,13 +139,12 @@ TEXTS = {
     "aliases": " Also search as {aliases}.",
     "regiment": " Cross-ref with regiment if identified.",
     "military": "Search Verlustlisten and Historisk Sønderjylland for {name}.",
-    "family": "Search Roagger kirkebog and census for {name} in the Mærsk/Gad family. "
-    "Determine relationship to Peter and Trine.",
-    "community_surname": "Search Roagger kirkebog and folketælling for {name}.",
-    "community": "Search Roagger census for {name}. Common name — additional context from letters needed.",
+    "family": "Search parish register and census for {name}. Determine the relationship to the family.",
+    "community_surname": "Search parish register and census for {name}.",
+    "community": "Search census for {name}. Common name — additional context from letters needed.",
     "community_disappeared": " Disappeared {year} — check Verlustlisten if military age.",
-    "unknown_surname": "Search Roagger area records for {name}.",
-    "unknown": "Search Roagger census for {name}. May need letter context for identification.",
+    "unknown_surname": "Search area records for {name}.",
+    "unknown": "Search census for {name}. May need letter context for identification.",
     "unknown_disappeared": " Disappeared {year} — check Verlustlisten.",
 }
 
@@ -160,17 +158,19 @@ def _fill(template: str, **fields: Column) -> Column:
 
 
 def priority_queue(
-    registry: DataFrame, silence: DataFrame, prior: DataFrame, core: Sequence = CORE_IDS, min_unknown: int = 5,
+    registry: DataFrame, silence: DataFrame, prior: DataFrame, core: Sequence = (), min_unknown: int = 5,
     sources: Mapping[str, Sequence[str]] = SOURCES, battles: Mapping[int, str] = BATTLES,
-    texts: Mapping[str, str] = TEXTS, own_texts: Mapping[str, str] | None = None,
+    texts: Mapping[str, str] = TEXTS, own_texts: Mapping[str, str] | None = None, own_sources: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
-    """Research order of persons in four tiers with sources, a search text and the kept status.
+    """Research order of persons in four tiers with sources, a search text, notes and the kept status.
 
     registry(id, canonical, aliases, category, letter_count, last_mention), silence(id,
-    disappeared, disappearance_year), prior(id, status). `own_texts` replaces the family
-    text of single ids. A core person who is also a vanished soldier is in both tiers.
+    disappeared, disappearance_year, silence_duration_days), prior(id, status). `core` are the ids of the second tier;
+    `own_texts` replaces the family text of single ids, `own_sources` the sources of single ids in the second tier.
+    Notes tell when a vanished soldier or a vanished person of the third tier was last heard of. A core person who is also a vanished soldier is in both tiers.
     """
-    gone = silence.filter("disappeared").select("id", "disappearance_year", F.lit(True).alias("_gone"))
+    days = F.col("silence_duration_days") if "silence_duration_days" in silence.columns else F.lit(None).cast("int")
+    gone = silence.filter("disappeared").select("id", "disappearance_year", days.alias("_days"), F.lit(True).alias("_gone"))
     kept = prior.filter(F.col("status") != "not_started").select("id", F.col("status").alias("_status"))
     j = registry.join(gone, "id", "left").join(kept, "id", "left")
     lost = F.coalesce("_gone", F.lit(False))
@@ -213,9 +213,14 @@ def priority_queue(
         F.when(tier == 1, soldier).when((tier == 2) | (cat == "family"), family).when(cat == "military", say("military"))
         .when(cat == "community", two("community")).otherwise(two("unknown"))
     )
+    taken = F.try_element_at(table, key)
+    for one, names in (own_sources or {}).items():
+        taken = F.when((tier == 2) & (F.col("id") == one), F.array(*[F.lit(x) for x in names])).otherwise(taken)
+    since = F.concat(F.lit("Disappeared "), year.cast("string"), F.lit("."))
+    notes = F.when(tier == 1, F.concat(since, F.coalesce(F.concat(F.lit(" Silence duration: "), F.col("_days").cast("string"), F.lit(" days.")), nothing))).when((tier == 3) & lost, since)
     out = j.select(
         "id", "tier", "canonical", "letter_count", cat.alias("category"), year.alias("disappearance_year"),
-        F.try_element_at(table, key).alias("sources"), text.alias("strategy"),
+        taken.alias("sources"), text.alias("strategy"), notes.alias("notes"),
         F.coalesce("_status", F.lit("not_started")).alias("status"),
     )
     return out.orderBy("tier", F.col("letter_count").desc(), "id")
@@ -324,5 +329,17 @@ def score_pairs(docs: DataFrame, images: DataFrame, frequent: Sequence[str] = ()
     return scored.filter(F.col("score") >= floor)
 
 
+def with_overrides(pairs: DataFrame, overrides: DataFrame, images: DataFrame) -> DataFrame:
+    """Scored pairs with the ones set by hand: overrides(doc_id, image_id, score) get the relevance `manual`.
+
+    A pair set by hand replaces a scored one, whatever its score; of repeated ones the highest score counts. It is
+    to be joined before `shortlist` or other caps, so that what was set by hand competes with its own score.
+    """
+    own = overrides.groupBy("doc_id", "image_id").agg(F.max("score").alias("score"))
+    own = own.join(images.select("image_id", "category").dropDuplicates(["image_id"]), "image_id", "left")
+    rest = pairs.join(own.select("doc_id", "image_id"), ["doc_id", "image_id"], "left_anti")
+    return rest.unionByName(own.select("doc_id", "image_id", "category", F.lit("manual").alias("relevance"), "score"))
+
+
 def shortlist(pairs: DataFrame, k: int = 8) -> DataFrame:
     return top_rows(pairs, ["doc_id"], [F.col("score").desc(), "image_id"], k)

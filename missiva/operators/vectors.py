@@ -480,6 +480,47 @@ def pca_dimensions(vectors: DataFrame, key: str, vector: str, n: int = 10):
     return scores, components
 
 
+def group_extremes(df: DataFrame, group: str, key: str, value: str, n: int = 20) -> DataFrame:
+    """(group, side, rank, key, value): the n highest ("top") and n lowest ("bottom") values of each group, ties by key.
+
+    One pass: a task keeps 2n rows of each group it meets, and only these are ranked together. Null values take no
+    part.
+    """
+    kinds = dict(df.dtypes)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            up = held.sort_values([value, key], ascending=[False, True], kind="stable").groupby(group, sort=False).head(n)
+            down = held.sort_values([value, key], kind="stable").groupby(group, sort=False).head(n)
+            held = held.loc[up.index.union(down.index)].reset_index(drop=True)
+        if held is not None:
+            yield held
+
+    few = df.select(group, key, value).filter(F.col(value).isNotNull())
+    few = pin(few.mapInPandas(keep, f"{group} {kinds[group]}, {key} {kinds[key]}, {value} {kinds[value]}"))
+    side = lambda name, order: top_rows(few, [group], [order, key], n).select(group, F.lit(name).alias("side"), "rank", key, value)
+    return side("top", F.col(value).desc()).unionByName(side("bottom", F.col(value).asc()))
+
+
+def component_report(
+    scores: DataFrame, components: DataFrame, concepts: DataFrame, key: str, name: str = "name", concept: str = "vector", n: int = 20,
+) -> DataFrame:
+    """(component, section, rank, item, value) of the components of `pca_dimensions`.
+
+    Sections: `explained` and `cumulative` share, `top` and `bottom` with the n extreme rows, and `concept` with the
+    cosine of the component's direction and each concept vector, concepts in order of their name.
+    """
+    none = F.lit(None).cast("string")
+    shares = [components.select("component", F.lit(c).alias("section"), F.lit(1).alias("rank"), none.alias("item"), F.col(c).alias("value")) for c in ("explained", "cumulative")]
+    ends = group_extremes(scores, "component", key, "score", n).select("component", F.col("side").alias("section"), "rank", F.col(key).cast("string").alias("item"), F.col("score").alias("value"))
+    directions = components.select("component", unit(F.col("loadings")).alias("_d"))
+    cosines = project(directions, "component", "_d", concepts.select(name, unit(F.col(concept)).alias("_c")), name, "_c")
+    cosines = top_rows(cosines, ["component"], [name], MATRIX_ROWS).select("component", F.lit("concept").alias("section"), "rank", F.col(name).cast("string").alias("item"), F.col("score").alias("value"))
+    return reduce(DataFrame.unionByName, [*shares, ends, cosines])
+
+
 def pca_long(
     weights: DataFrame, row: str, col: str, value: str, n: int = 2, tol: float = 1e-5, max_rounds: int = 200, extra: int = 4,
 ) -> DataFrame:

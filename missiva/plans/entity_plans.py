@@ -172,8 +172,8 @@ def _(spark, sf):
 QUEUE = """
 reg AS (SELECT c_custkey AS id, c_name AS canonical, CASE c_nationkey % 4 WHEN 0 THEN 'military' WHEN 1 THEN 'community' WHEN 2 THEN 'family' ELSE 'unknown' END AS category,
   coalesce(n, 0) AS letter_count, l AS last_mention FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, CAST(max(o_orderdate) AS DATE) AS l FROM orders GROUP BY 1) o ON o_custkey = c_custkey),
-sil AS (SELECT id, year(last_mention) AS y FROM reg WHERE letter_count >= 5 AND last_mention < DATE '2001-02-01'),
-q AS (SELECT reg.*, y, sil.id IS NOT NULL AS lost FROM reg LEFT JOIN sil ON sil.id = reg.id),
+sil AS (SELECT id, year(last_mention) AS y, DATE '2001-12-31' - last_mention AS days FROM reg WHERE letter_count >= 5 AND last_mention < DATE '2001-02-01'),
+q AS (SELECT reg.*, y, days, sil.id IS NOT NULL AS lost FROM reg LEFT JOIN sil ON sil.id = reg.id),
 t AS (SELECT *, unnest(list_filter([CASE WHEN category = 'military' AND lost THEN 1 END, CASE WHEN id IN (1, 2, 3) THEN 2 END,
   CASE WHEN NOT (category = 'military' AND lost) AND id NOT IN (1, 2, 3) THEN CASE WHEN category <> 'unknown' THEN 3 WHEN letter_count >= 5 THEN 4 END END], lambda x: x IS NOT NULL)) AS tier FROM q)"""
 
@@ -183,13 +183,14 @@ t AS (SELECT *, unnest(list_filter([CASE WHEN category = 'military' AND lost THE
     with_(
         QUEUE,
         body="""SELECT t.id, tier, canonical, letter_count, category, y AS disappearance_year,
-        CASE WHEN tier = 1 THEN 'verlustlisten|historisk_sonderjylland|bundesarchiv' WHEN tier = 2 OR category = 'family' THEN 'ao_dk|familysearch|rigsarkivet' WHEN category = 'military' THEN 'verlustlisten|historisk_sonderjylland'
+        CASE WHEN tier = 1 THEN 'verlustlisten|historisk_sonderjylland|bundesarchiv' WHEN tier = 2 AND t.id = 2 THEN 'bundesarchiv|ao_dk' WHEN tier = 2 OR category = 'family' THEN 'ao_dk|familysearch|rigsarkivet' WHEN category = 'military' THEN 'verlustlisten|historisk_sonderjylland'
           WHEN lost THEN 'ao_dk|familysearch|verlustlisten' ELSE 'ao_dk|familysearch' END AS sources,
         CASE WHEN tier = 1 THEN 'Search Verlustlisten for ' || canonical || ' in lists from the period around ' || last_mention || '. Cross-ref with regiment if identified.'
-          WHEN tier = 2 OR category = 'family' THEN 'Search Roagger kirkebog and census for ' || canonical || ' in the Mærsk/Gad family. Determine relationship to Peter and Trine.'
+          WHEN tier = 2 OR category = 'family' THEN 'Search parish register and census for ' || canonical || '. Determine the relationship to the family.'
           WHEN category = 'military' THEN 'Search Verlustlisten and Historisk Sønderjylland for ' || canonical || '.'
-          WHEN category = 'community' THEN 'Search Roagger census for ' || canonical || '. Common name — additional context from letters needed.' || CASE WHEN lost THEN ' Disappeared ' || y || ' — check Verlustlisten if military age.' ELSE '' END
-          ELSE 'Search Roagger census for ' || canonical || '. May need letter context for identification.' || CASE WHEN lost THEN ' Disappeared ' || y || ' — check Verlustlisten.' ELSE '' END END AS strategy,
+          WHEN category = 'community' THEN 'Search census for ' || canonical || '. Common name — additional context from letters needed.' || CASE WHEN lost THEN ' Disappeared ' || y || ' — check Verlustlisten if military age.' ELSE '' END
+          ELSE 'Search census for ' || canonical || '. May need letter context for identification.' || CASE WHEN lost THEN ' Disappeared ' || y || ' — check Verlustlisten.' ELSE '' END END AS strategy,
+        CASE WHEN tier = 1 THEN 'Disappeared ' || y || '. Silence duration: ' || days || ' days.' WHEN tier = 3 AND lost THEN 'Disappeared ' || y || '.' END AS notes,
         CASE WHEN s_suppkey IS NOT NULL AND s_nationkey > 10 THEN 'in_progress' ELSE 'not_started' END AS status FROM t LEFT JOIN supplier ON s_suppkey = t.id""",
     ),
 )
@@ -202,9 +203,9 @@ def _(spark, sf):
     reg = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("canonical"), F.array("c_name").alias("aliases"), cat.alias("category"))
     reg = reg.join(o, "id", "left").withColumn("letter_count", F.coalesce("n", F.lit(0).cast("long"))).drop("n")
     lost = (F.col("letter_count") >= 5) & (F.col("last_mention") < F.lit("2001-02-01").cast("date"))
-    sil = reg.select("id", lost.alias("disappeared"), F.year("last_mention").alias("disappearance_year"))
+    sil = reg.select("id", lost.alias("disappeared"), F.year("last_mention").alias("disappearance_year"), F.datediff(F.lit("2001-12-31").cast("date"), "last_mention").alias("silence_duration_days"))
     prior = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") > 10, "in_progress").otherwise("not_started").alias("status"))
-    out = N.priority_queue(reg, sil, prior, core=(1, 2, 3))
+    out = N.priority_queue(reg, sil, prior, core=(1, 2, 3), own_sources={2: ("bundesarchiv", "ao_dk")})
     return out.withColumn("sources", F.array_join("sources", "|")).withColumns({c: F.col(c).cast("long") for c in ("tier", "disappearance_year")})
 
 
@@ -251,18 +252,44 @@ ifin AS (SELECT *, CASE WHEN category = 'portrait' AND NOT pe AND NOT re THEN 0
 scored_img AS (SELECT doc_id, image_id, category, relevance, round(CASE WHEN pe AND NOT pl AND NOT re AND inn = 'src1' THEN s1 * 0.1 ELSE s1 END, 3) AS score FROM ifin)"""
 
 
-@query("score_pairs", with_(LETTERS, IMAGES, body="SELECT * FROM scored_img WHERE score >= 0.2"))
-def _(spark, sf):
+def images(spark, sf):
     k = F.col("s_suppkey")
     r6, r4 = k % 6, k % 4
     cat = F.when(r6 == 0, "portrait").when(r6 == 1, "map").when(r6 == 2, "historical").when(r6 == 3, "document").when(r6 == 4, "place").otherwise("group")
     who = F.when(r4 == 0, F.concat(F.lit("src"), (k % 5).cast("string"))).when(r4 == 1, "fr").when(r4 == 2, "nobody").otherwise("src1")
-    img = table(spark, sf, "supplier").select(
+    return table(spark, sf, "supplier").select(
         k.alias("image_id"), F.date_add(F.lit("2020-01-01").cast("date"), ((k * 13) % 1460).cast("int")).alias("date"),
         F.array(F.concat(F.lit("Place "), (k % 40).cast("string"))).alias("places"), F.array(who).alias("persons"), cat.alias("category"),
     )
+
+
+def image_pairs(spark, sf):
     d = X.letters(spark, sf).select(F.col("id").alias("doc_id"), "date", F.array("place").alias("places"), F.array("sender").alias("persons"), F.array("recipient").alias("recipients"))
-    return N.score_pairs(d, img, frequent=("src1",))
+    return N.score_pairs(d, images(spark, sf), frequent=("src1",))
+
+
+@query("score_pairs", with_(LETTERS, IMAGES, body="SELECT * FROM scored_img WHERE score >= 0.2"))
+def _(spark, sf):
+    return image_pairs(spark, sf)
+
+
+@query(
+    "image_overrides",
+    with_(
+        LETTERS, IMAGES,
+        "ov AS (SELECT l.id AS doc_id, s_suppkey AS image_id, (l.id % 13) / 10.0::DOUBLE AS score FROM letters l JOIN supplier ON s_suppkey IN (l.id % 100 + 1, l.id % 10 + 1) WHERE l.id % 3 = 0)",
+        "own AS (SELECT doc_id, image_id, max(score) AS score FROM ov GROUP BY ALL)",
+        """p AS (SELECT * FROM scored_img WHERE score >= 0.2 AND (doc_id, image_id) NOT IN (SELECT (doc_id, image_id) FROM own)
+          UNION ALL SELECT own.doc_id, own.image_id, img.category, 'manual', own.score FROM own JOIN img USING (image_id))""",
+        body="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, image_id) AS rank FROM p) WHERE rank <= 8",
+    ),
+)
+def _(spark, sf):
+    ids = X.letters(spark, sf).select(F.col("id").alias("doc_id")).filter(F.col("doc_id") % 3 == 0)
+    both = ids.withColumn("image_id", F.explode(F.array(F.col("doc_id") % 100 + 1, F.col("doc_id") % 10 + 1)))
+    own = both.join(images(spark, sf).select("image_id"), "image_id", "left_semi").withColumn("score", (F.col("doc_id") % 13) / 10.0)
+    pairs = N.with_overrides(image_pairs(spark, sf), own, images(spark, sf))
+    return N.shortlist(pairs).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from missiva.operators import retrieval as R
@@ -191,6 +192,48 @@ def _(spark, sf):
     return rounded(scores, "score", dp=6)
 
 
+# Components have no SQL of their own; these statements about the report hold for any table.
+@query(
+    "component_report",
+    with_(
+        DIMS,
+        "t AS (SELECT count(DISTINCT label) AS concepts, least(20, count(*)) AS ends FROM embeddings)",
+        body="""SELECT c.component, 1.0 AS length, 0.0 AS slant, true AS falling, true AS adds_up, ends AS n_top, ends AS n_bottom, concepts AS n_concepts,
+        true AS cosines_fit, true AS ends_fit, true AS share_fits FROM t, generate_series(0, 9) AS c(component)""",
+    ),
+)
+def _(spark, sf):
+    e = emb(spark, sf)
+    scores, comps = V.pca_dimensions(e, "vec_id", "embedding", 10)
+    cents = centroids(spark, sf)
+    report = V.component_report(scores, comps, cents.select(F.col("label").alias("name"), F.col("embedding").alias("vector")), "vec_id")
+    load = comps.select("component", "explained", "cumulative", "loadings")
+    other = load.select(F.col("component").alias("o"), F.col("loadings").alias("lo"))
+    # Ten rows on both sides.
+    slant = load.join(other, F.col("component") <= F.col("o")).select("component", "o", V.dot(F.col("loadings"), F.col("lo")).alias("d"))
+    slant = slant.groupBy("component").agg(
+        F.round(F.sqrt(F.max(F.when(F.col("component") == F.col("o"), F.col("d")))), 6).alias("length"),
+        F.round(F.coalesce(F.max(F.when(F.col("component") != F.col("o"), F.abs("d"))), F.lit(0.0)), 6).alias("slant"),
+    )
+    w = Window.partitionBy(F.lit(0)).orderBy("component")
+    order = load.select(
+        "component", F.coalesce(F.col("explained") <= F.lag("explained").over(w), F.lit(True)).alias("falling"),
+        (F.abs(F.col("cumulative") - F.sum("explained").over(w)) < 1e-9).alias("adds_up"), "explained",
+    )
+    total = e.select(F.posexplode("embedding")).groupBy("pos").agg(F.var_samp(F.col("col").cast("double")).alias("v")).agg(F.sum("v").alias("total"))
+    spread_ = scores.groupBy("component").agg(F.var_samp("score").alias("var"), F.max("score").alias("hi"), F.min("score").alias("lo"))
+    at = lambda section, rank: F.max(F.when((F.col("section") == section) & (F.col("rank") == rank), F.col("value")))
+    said = report.groupBy("component").agg(
+        *[F.count_if(F.col("section") == x).alias(f"n_{y}") for x, y in (("top", "top"), ("bottom", "bottom"), ("concept", "concepts"))],
+        (F.coalesce(F.max(F.when(F.col("section") == "concept", F.abs("value"))), F.lit(0.0)) <= 1 + 1e-9).alias("cosines_fit"), at("top", 1).alias("_t"), at("bottom", 1).alias("_b"),
+    )
+    out = slant.join(order, "component").join(said, "component").join(spread_, "component").crossJoin(F.broadcast(total))
+    return out.select(
+        F.col("component").cast("long").alias("component"), "length", "slant", "falling", "adds_up", "n_top", "n_bottom", "n_concepts", "cosines_fit",
+        ((F.col("_t") == F.col("hi")) & (F.col("_b") == F.col("lo"))).alias("ends_fit"), (F.abs(F.col("var") / F.col("total") - F.col("explained")) < 1e-6).alias("share_fits"),
+    )
+
+
 @query("pca_2d")
 def _(spark, sf):
     from missiva.operators.lexical import tfidf

@@ -1,5 +1,6 @@
 from datetime import date
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -135,3 +136,27 @@ def test_require(rows):
 
     with pytest.raises(ValueError):
         Q.require(rows([(1,)], "id int"), 2)
+
+
+def test_very_many_fixes_are_put_in_at_once(spark):
+    import time
+
+    text = "á " * 10_000 + "ende ¥"
+    df = spark.createDataFrame([(1, text), (2, "á" * 3), (3, "intet")], "id int, t string")
+    start = time.perf_counter()
+    done = C.apply_corrections(df, "id", "t", C.DEFAULT_RULES)
+    got = {r["id"]: r["text_corrected"] for r in done.collect()}
+    assert got == {1: "a " * 10_000 + "ende W", 2: "aaa", 3: "intet"}
+    assert C.validate_corrections(done, "id").filter("check IN ('round_trip', 'position', 'overlap')").count() == 0
+    # A copy of the text per fix would take minutes.
+    assert time.perf_counter() - start < 60
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_fixes_that_lie_apart_or_overlap(spark, monkeypatch, few):
+    monkeypatch.setattr(C, "FEW_FIXES", few)
+    rules = [C.ScanRule("ab", "X", "a"), C.ScanRule("bc", "YYY", "b"), C.ScanRule("\U0001f600", "", "c"), C.ScanRule("ø", "oe", "d")]
+    df = spark.createDataFrame([(1, "abcab \U0001f600ø\U0001f600 bc"), (2, "ab bc ø"), (3, ""), (4, None), (5, "øø\U0001f600")], "id int, t string")
+    got = {r["id"]: r["text_corrected"] for r in C.apply_corrections(df, "id", "t", rules).collect()}
+    # In text 1 the second rule takes the b that the first one wants too.
+    assert got == {1: "aYYYX oe YYY", 2: "X YYY oe", 3: "", 4: None, 5: "oeoe"}

@@ -121,10 +121,26 @@ def test_get_document_needs_every_analysis(rows):
     assert B.get_document(lt, 2, [s1, s2]).first()["analysis"] is None
 
 
-def test_browse_clamps_the_page(rows):
+def test_only_the_browse_tool_clamps_the_page(rows):
     df = rows([(i, D(2020, 1, 1)) for i in range(150)], "id int, date date")
-    assert B.browse(df, limit=1000).count() == 100 and B.browse(df, limit=0).count() == 1
+    assert B.browse_tool(df, limit=1000).count() == 100 and B.browse_tool(df, limit=0, offset=-5).count() == 1
+    assert B.browse(df, limit=1000).count() == 150
     assert not B.browse(df, offset=140).first()["has_more"]
+    for wrong in ({"limit": 0}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            B.browse(df, **wrong)
+
+
+def test_images_set_by_hand(rows):
+    pairs = rows([(1, 1, "place", "place", 0.8), (1, 2, "map", "place", 0.5)], "doc_id int, image_id int, category string, relevance string, score double")
+    own = rows([(1, 2, 0.9), (1, 2, 0.7), (1, 9, 0.6), (3, 1, 0.1)], "doc_id int, image_id int, score double")
+    img = rows([(1, "place"), (2, "map"), (9, "group")], "image_id int, category string")
+    both = N.with_overrides(pairs, own, img)
+    assert sorted(map(tuple, both.collect())) == [
+        (1, 1, "place", "place", 0.8), (1, 2, "map", "manual", 0.9), (1, 9, "group", "manual", 0.6), (3, 1, "place", "manual", 0.1),
+    ]
+    assert [(r["doc_id"], r["image_id"], r["rank"]) for r in N.shortlist(both, 2).orderBy("doc_id", "rank").collect()] == [(1, 2, 1), (1, 1, 2), (3, 1, 1)]
+    assert N.with_overrides(pairs, own.limit(0), img).count() == 2
 
 
 def test_image_scores(rows):
@@ -157,8 +173,13 @@ def test_queue_tiers_and_texts(rows):
     )
     sil = rows([("konow", True, 1916), ("y", True, 1917), ("peter", False, None)], "id string, disappeared boolean, disappearance_year int")
     prior = rows([("y", "done"), ("peter", "not_started")], "id string, status string")
-    got = {r["id"]: r for r in N.priority_queue(reg, sil, prior).collect()}
-    assert set(got) == {"konow", "peter", "y"}
+    assert "peter" not in {r["id"] for r in N.priority_queue(reg, sil, prior).filter("tier = 2").collect()}
+    sil = sil.withColumn("silence_duration_days", F.lit(700))
+    got = {r["id"]: r for r in N.priority_queue(reg, sil, prior, core=("peter",), own_sources={"peter": ["bundesarchiv"], "konow": ["no"]}).collect()}
+    assert set(got) == {"konow", "peter", "y"} and got["peter"]["tier"] == 2
+    assert got["peter"]["sources"] == ["bundesarchiv"] and "no" not in got["konow"]["sources"]
+    assert got["konow"]["notes"] == "Disappeared 1916. Silence duration: 700 days."
+    assert got["y"]["notes"] == "Disappeared 1917." and got["peter"]["notes"] is None
     assert got["konow"]["strategy"] == (
         "Search Verlustlisten for Konow in lists from the period around 1916-09-01. Date aligns with Battle of the Somme "
         "(July–Nov 1916), Verdun (Feb–Dec 1916). Also search as Hans Konow. Cross-ref with regiment if identified."
