@@ -117,6 +117,11 @@ def _(spark, sf):
     return rounded(G.betweenness(nodes(spark, sf), G.comention_edges(pairs(spark, sf))), "betweenness")
 
 
+@query("betweenness_sampled")
+def _(spark, sf):
+    return rounded(G.betweenness_sampled(nodes(spark, sf), G.comention_edges(pairs(spark, sf)), 0.2), "betweenness")
+
+
 @query(
     "temporal_slices",
     with_(

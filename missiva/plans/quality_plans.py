@@ -208,9 +208,9 @@ def _(spark, sf):
     "triage_candidates",
     with_(
         LETTERS, SENTS, TOKENS,
-        "f AS (SELECT id AS doc_id, idx AS position, substring(sentence, 1, 6) AS original, regexp_extract(substring(sentence, 1, 6), '^[\\p{L}\\p{N}_]+') AS tgt FROM sents)",
-        "k AS (SELECT doc_id, position, original, lower(tgt) AS tgt, tgt AS raw FROM f WHERE length(tgt) >= 3)",
-        """m AS (SELECT k.doc_id, k.position, min({'k': CASE WHEN lower(t.token) = tgt THEN 0 ELSE 1 END, 'i': i, 'pos': pos, 'lemma': lower(substring(token, 1, 5))}) AS t
+        "f AS (SELECT id AS doc_id, idx AS position, regexp_extract(sentence, '^[\\p{L}\\p{N}_]+') AS tgt FROM sents)",
+        "k AS (SELECT doc_id, position, lower(tgt) AS tgt, tgt AS raw FROM f WHERE length(tgt) >= 3)",
+        """m AS (SELECT k.doc_id, k.position, min({'k': CASE WHEN lower(t.token) = tgt THEN 0 ELSE 1 END, 'i': i, 'pos': pos, 'lemma': regexp_replace(lower(token), '^(.{3,}?)(ung|ing|ion|es|ed|en|er|s|e)$', '\\1')}) AS t
              FROM k JOIN tt t ON t.id = k.doc_id AND t.idx = k.position
              WHERE lower(t.token) = tgt OR ((contains(lower(t.token), tgt) OR contains(tgt, lower(t.token))) AND length(t.token) >= length(tgt) - 2) GROUP BY 1, 2)""",
         """s AS (SELECT k.doc_id, k.position, raw AS original, m.t.pos AS pos,
@@ -222,12 +222,14 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    raw = F.regexp_extract(F.substring("sentence", 1, 6), T.WORD, 0)
+    raw = F.regexp_extract("sentence", T.WORD, 0)
     lead = F.substring("sentence", 1, 1).rlike(T.WORD)
     f = X.sents(spark, sf).filter(lead).select(F.col("id").alias("doc_id"), F.col("idx").cast("long").alias("position"), raw.alias("original"))
     f = f.filter(F.length("original") >= 3).withColumn("capital", F.substring("original", 1, 1) != F.lower(F.substring("original", 1, 1)))
+    # A word without its ending stands for the lemma.
+    lemma = F.regexp_replace(F.lower("token"), "^(.{3,}?)(ung|ing|ion|es|ed|en|er|s|e)$", "$1")
     t = tokens(spark, sf).select(
-        "doc_id", F.col("sent_id").cast("long").alias("position"), "i", "token", "pos", F.substring("token", 1, 5).alias("lemma"),
+        "doc_id", F.col("sent_id").cast("long").alias("position"), "i", "token", "pos", lemma.alias("lemma"),
         F.lit("").alias("ent"), (F.col("i") % 3 == 0).alias("is_oov"),
     )
     out = P.triage_candidates(f, t)

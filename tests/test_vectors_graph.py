@@ -231,3 +231,19 @@ def test_betweenness(spark, batches):
     for cost, f in (("1/weight", lambda w: 1 / w), ("weight", float)):
         got = np.array([r["betweenness"] for r in G.betweenness(nodes, e, cost, batches).orderBy("id").collect()])
         assert np.allclose(got, brute_betweenness(7, edges, f))
+
+
+def test_sampled_betweenness_stays_within_its_bound(spark):
+    rng = np.random.default_rng(11)
+    # Two rings of 40 that meet in one node: its betweenness is far above all others.
+    edges = [(a, (a + 1) % 40, 1) for a in range(40)] + [(40 + a, 40 + (a + 1) % 40, 1) for a in range(40)] + [(0, 40, 1), (0, 60, 1)]
+    edges += [(int(a), int(b), 1) for a, b in rng.integers(0, 40, (6, 2)) if abs(a - b) > 1 and {a, b} != {0, 39}]
+    edges = [(min(a, b), max(a, b), w) for a, b, w in dict.fromkeys(edges)]
+    nodes, e = graph(spark, edges, 81)
+    exact = {r["id"]: r["betweenness"] for r in G.betweenness(nodes, e).collect()}
+    found = G.betweenness_sampled(nodes, e, 0.25, 0.05).collect()
+    assert {r["sources"] for r in found} == {G.sample_size(81, 0.25, 0.05)} and found[0]["sources"] < 81
+    assert max(exact.values()) > 0.4
+    assert all(abs(r["betweenness"] - exact[r["id"]]) <= 0.25 * 81 / 80 for r in found)
+    every = G.betweenness_sampled(nodes, e, 0.01).collect()
+    assert all(r["sources"] == 81 and abs(r["betweenness"] - exact[r["id"]]) < 1e-9 for r in every)
