@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from missiva.functions import text as X
 from missiva.operators.scale import number_rows
+from missiva.sources.json_parts import json_entries
 
 LETTERS = "id string, date string, sender string, recipient string, place string, location string, text string"
 EVENTS = "Date string, EndDate string, Front string, Battle string, Location string, Coordinates string, wikipedia string"
@@ -30,12 +31,25 @@ def read_corpus_csv(spark: SparkSession, path: str, schema: str = LETTERS) -> Da
 
 
 def read_corpus_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Rows of a JSON array with lower-case column names."""
-    reader = spark.read.option("multiLine", True)
-    df = (reader.schema(schema) if schema else reader).json(path)
+    """Rows of a JSON array with lower-case column names.
+
+    With a schema, files of any size are read in byte ranges by many tasks; without one, a file is a task, as its
+    columns have to be found first.
+    """
+    if schema is None:
+        df = spark.read.option("multiLine", True).json(path)
+    else:
+        kind = schema if isinstance(schema, str) and schema.lower().startswith("struct") else schema.simpleString() if isinstance(schema, T.StructType) else f"struct<{_fields(schema)}>"
+        rows = json_entries(spark, path).select(F.explode(F.from_json(F.concat(F.lit("["), "entries", F.lit("]")), f"array<{kind}>")).alias("r"))
+        df = rows.select("r.*")
     return df.toDF(*[c.lower() for c in df.columns])
 
 
+def _fields(schema: str) -> str:
+    """"a int, b string" as the fields of a struct type."""
+    return T.StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
+
+
 GEOJSON = (
     "features array<struct<properties:struct<place_id:string,place:string,aliases:array<string>>,"
     "geometry:struct<type:string,coordinates:array<double>>>>"
@@ -60,8 +74,8 @@ def explode_keyed_json(df: DataFrame, col: str, value_type: str) -> DataFrame:
 
 
 def read_keyed_json(spark: SparkSession, path: str, value_type: str, key: str = "id") -> DataFrame:
-    """A file holding one `{id: struct}` object, as rows with the struct's fields."""
-    text = spark.read.text(path, wholetext=True)
+    """A file holding one `{id: struct}` object, as rows with the struct's fields; read in byte ranges by many tasks."""
+    text = json_entries(spark, path).select(F.concat(F.lit("{"), "entries", F.lit("}")).alias("value"))
     rows = explode_keyed_json(text, "value", value_type).withColumnRenamed("key", key)
     return rows.select(key, "value.*") if value_type.lower().startswith("struct") else rows
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from missiva.sources import json_parts
 from missiva.sources import readers as R
 from missiva.sources import writers as W
 from missiva.streaming import incremental as I
@@ -95,3 +96,37 @@ def test_a_value_that_returns_counts_as_changed(spark, tmp_path):
         run(spark.createDataFrame([(1, text)], "id long, t string"), epoch)
     run(spark.createDataFrame([(1, "A")], "id long, t string"), 3)
     assert spark.read.parquet(state).count() == 3
+
+
+AWKWARD = ['plain', 'a } brace { and ] [', 'quote " and \\ and "}"', '\\', 'line\nend', 'æø \U0001f600', '', '},{"x": {']
+
+
+@pytest.mark.parametrize("indent,size", [(None, 64), (2, 200), (None, 1 << 27), (1, 7)])
+def test_large_json_is_read_in_ranges(spark, tmp_path, indent, size):
+    rows = [{"Id": i, "Text": AWKWARD[i % 8] * (1 + i % 3), "Inner": {"k": [i, {"z": AWKWARD[i % 7]}]}} for i in range(150 if size > 7 else 12)]
+    keyed = {f"k{{{r['Id']}": {"id": r["Id"], "text": r["Text"]} for r in rows}
+    for name, data in (("a.json", rows), ("b.json", rows[:1]), ("k.json", keyed), ("n.json", {"a": 1, "b": 2, "c}": 3})):
+        (tmp_path / name).write_text(json.dumps(data, indent=indent) + ("\n" if indent else ""), encoding="utf-8")
+    (tmp_path / "empty.json").write_text("[]")
+    (tmp_path / "none.json").write_text("{}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        schema = "Id long, Text string, Inner struct<k: array<string>>"
+        got = R.read_corpus_json(spark, str(tmp_path / "a.json"), schema)
+        assert got.columns == ["id", "text", "inner"]
+        assert sorted((r["id"], r["text"]) for r in got.collect()) == [(r["Id"], r["Text"]) for r in rows]
+        assert all(json.loads(r["inner"]["k"][1])["z"] == AWKWARD[r["id"] % 7] for r in got.collect())
+        if size < 1000:
+            assert json_parts.json_entries(spark, str(tmp_path / "a.json")).rdd.getNumPartitions() > 1
+        both = R.read_corpus_json(spark, str(tmp_path / "[ab].json"), schema)
+        assert both.count() == len(rows) + 1
+        found = R.read_keyed_json(spark, str(tmp_path / "k.json"), "struct<id:long,text:string>", "key")
+        assert {r["key"]: {"id": r["id"], "text": r["text"]} for r in found.collect()} == keyed
+        assert {r["id"]: r["value"] for r in R.read_keyed_json(spark, str(tmp_path / "n.json"), "long").collect()} == {"a": 1, "b": 2, "c}": 3}
+        assert R.read_corpus_json(spark, str(tmp_path / "empty.json"), schema).collect() == []
+        assert R.read_keyed_json(spark, str(tmp_path / "none.json"), "long").collect() == []
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
