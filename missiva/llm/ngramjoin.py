@@ -214,30 +214,37 @@ def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.col("shared") >= _shared(percent)).select("x", "y")
 
 
-def _cross_pairs(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(x, y), x < y: sets of different components that share enough list entries.
+def _cross_candidates(lists: DataFrame, found: DataFrame, percent: int, search: int) -> tuple[DataFrame, DataFrame]:
+    """(x, hx, hy, ys) and (k, home): candidates of other components that share enough list entries with x.
 
     Pieces of a list meet in pairs, each in a bounded block that gives every x the packed rest of its list; all lists
-    of an x are then merged and counted together, one x at a time. So no row stands for a pair of entries.
+    of an x are then merged and counted together, one x at a time. A set's home is a block of about `search` sets
+    that share the smallest neighbour in a list; an x has one row for each home that holds candidates of it. So no
+    row stands for a pair.
     """
     named = lists.join(found.select(F.col("id").alias("k"), "component"), "k")
     mixed = named.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("g")
     named = staged(named.join(mixed, "g", "left_semi"))
-    one = ["k", "n", "u", "component"]
+    low = named.groupBy("g").agg(F.min("k").alias("_low"))
+    label = named.select("g", "k").join(low, "g").groupBy("k").agg(F.min("_low").alias("_label"))
+    sizes = label.groupBy("_label").agg(F.ceil(F.count(F.lit(1)) / search).alias("_blocks"))
+    homes = staged(label.join(sizes, "_label").select("k", F.xxhash64("_label", F.pmod(F.xxhash64("k"), "_blocks")).alias("home")))
+    named = named.join(homes, "k")
+    one = ["k", "n", "u", "component", "home"]
     left = named.select("g", F.col("salt").alias("i"), F.explode(F.sequence("salt", F.col("nb") - 1)).alias("j"), F.lit(0).alias("side"), *one)
     right = named.filter("salt > 0").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salt") - 1)).alias("i"), F.col("salt").alias("j"), F.lit(1).alias("side"), *one)
     dealt = left.unionByName(right).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side", "k")
 
-    def meet(side: np.ndarray, k: np.ndarray, n: np.ndarray, u: np.ndarray, component: np.ndarray, same: bool) -> Iterator[tuple]:
+    def meet(side: np.ndarray, k: np.ndarray, n: np.ndarray, u: np.ndarray, component: np.ndarray, home: np.ndarray, same: bool) -> Iterator[tuple]:
         own, other = (np.ones(len(k), bool),) * 2 if same else (side == 0, side == 1)
-        k2, n2, u2, c2 = k[other], n[other], u[other], component[other]
-        for x, m, v, c in zip(k[own].tolist(), n[own].tolist(), u[own].tolist(), component[own].tolist(), strict=True):
+        k2, n2, u2, c2, h2 = k[other], n[other], u[other], component[other], home[other]
+        for x, m, v, c, h in zip(*(a[own].tolist() for a in (k, n, u, component, home)), strict=True):
             most = np.minimum(n2 - u2, m - v)
             ok = (c2 != c) & (100 * np.minimum(n2, m) >= percent * np.maximum(n2, m)) & (100 * most >= percent * (most + u2 + v))
             if same:
                 ok &= k2 > x
             if ok.any():
-                yield x, m, k2[ok].tobytes(), n2[ok].astype(np.int32).tobytes()
+                yield x, m, h, k2[ok].tobytes(), n2[ok].astype(np.int32).tobytes(), h2[ok].tobytes()
 
     def batched(rows: Iterator[tuple], types: list, names: list[str], size: int = 4096) -> Iterator[pa.RecordBatch]:
         while some := list(islice(rows, size)):
@@ -248,26 +255,28 @@ def _cross_pairs(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
             for block in _runs(batches, ["g", "i", "j"]):
                 if block.num_rows > 1:
                     same = block.column("i")[0] == block.column("j")[0]
-                    yield from meet(*(block.column(c).to_numpy() for c in ("side", "k", "n", "u", "component")), same)
+                    yield from meet(*(block.column(c).to_numpy() for c in ("side", "k", "n", "u", "component", "home")), same)
 
-        yield from batched(rows(), [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["x", "n", "ys", "ms"])
+        yield from batched(rows(), [pa.int64()] * 3 + [pa.binary()] * 3, ["x", "n", "hx", "ys", "ms", "hs"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for own in _runs(batches, ["x"]):
-                ys = np.frombuffer(b"".join(own.column("ys").to_pylist()), np.int64)
+                ys, hs = (np.frombuffer(b"".join(own.column(c).to_pylist()), np.int64) for c in ("ys", "hs"))
                 ms = np.frombuffer(b"".join(own.column("ms").to_pylist()), np.int32).astype(np.int64)
                 y, first, shared = np.unique(ys, return_index=True, return_counts=True)
-                n, x = own.column("n")[0].as_py(), own.column("x")[0].as_py()
+                n, x, hx = (own.column(c)[0].as_py() for c in ("n", "x", "hx"))
                 many = np.minimum(1 + ms[first] // SHARED_OF, least_overlap(ms[first], percent))
-                y = y[shared >= np.minimum(many, shared_rare(n, percent))]
-                # The ends of a pair in falling or rising order are the same pair.
-                yield from zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)
+                enough = shared >= np.minimum(many, shared_rare(n, percent))
+                y, h = y[enough], hs[first][enough]
+                for hy in np.unique(h).tolist():
+                    yield x, hx, hy, y[h == hy].tobytes()
 
-        yield from batched(rows(), [pa.int64(), pa.int64()], ["x", "y"])
+        yield from batched(rows(), [pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["x", "hx", "hy", "ys"])
 
-    met = dealt.mapInArrow(blocks, "x long, n long, ys binary, ms binary")
-    return met.repartition("x").sortWithinPartitions("x").mapInArrow(merge, "x long, y long")
+    met = dealt.mapInArrow(blocks, "x long, n long, hx long, ys binary, ms binary, hs binary")
+    merged = met.repartition("x").sortWithinPartitions("x").mapInArrow(merge, "x long, hx long, hy long, ys binary")
+    return staged(merged), homes
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -325,13 +334,8 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCEN
     return live[count >= need[live]]
 
 
-def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, percent: int, size: int) -> DataFrame:
-    """(a, b): the pairs (x, y) that reach the similarity. A query and up to about `size` candidates are one search."""
-    pairs = staged(pairs)
-    many = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
-    piece = F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("y"), F.ceil(F.col("_n") / size))).otherwise(F.lit(0)).cast("long")
-    pairs = pairs.join(bounded_broadcast(many), "x", "left").select("x", "y", piece.alias("piece"))
-    needed = pairs.select(F.col("x").alias("k")).unionByName(pairs.select(F.col("y").alias("k"))).distinct()
+def _grams_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """(k, grams) of the sets in `needed`, made anew from their texts."""
     needed = staged(sets.join(bounded_broadcast(needed), "k", "left_semi").select("k", "digest", "first"))
     # The sets that are in a pair, from one document each (from all without an id, if no other has the set).
     ids = bounded_broadcast(needed.select(F.col("first").alias("_first")).distinct())
@@ -344,7 +348,16 @@ def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, perce
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["digest", "grams"])
 
     grams = texts.mapInArrow(anew, "digest binary, grams binary").join(bounded_broadcast(needed.select("k", "digest")), "digest")
-    grams = staged(grams.groupBy("k").agg(F.first("grams").alias("grams")))
+    return staged(grams.groupBy("k").agg(F.first("grams").alias("grams")))
+
+
+def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, percent: int, size: int) -> DataFrame:
+    """(a, b): the pairs (x, y) that reach the similarity. A query and up to about `size` candidates are one search."""
+    pairs = staged(pairs)
+    many = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
+    piece = F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("y"), F.ceil(F.col("_n") / size))).otherwise(F.lit(0)).cast("long")
+    pairs = pairs.join(bounded_broadcast(many), "x", "left").select("x", "y", piece.alias("piece"))
+    grams = _grams_of(docs, sets, pairs.select(F.col("x").alias("k")).unionByName(pairs.select(F.col("y").alias("k"))).distinct(), words)
     asked = pairs.select("x", "piece").distinct().join(grams, F.col("x") == F.col("k")).select("x", "piece", F.lit(None).cast("long").alias("y"), "grams")
     given = pairs.join(grams, F.col("y") == F.col("k")).select("x", "piece", "y", "grams")
     dealt = asked.unionByName(given).repartition("x", "piece").sortWithinPartitions("x", "piece", F.col("y").asc_nulls_first())
@@ -372,6 +385,36 @@ def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, perce
     return staged(dealt.mapInArrow(search, "a long, b long"))
 
 
+def _cross_links(docs: DataFrame, sets: DataFrame, met: DataFrame, homes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links among cross candidates. A task holds the sets of one home and the queries of another."""
+    visits = met.select("hx", "hy").distinct()
+    given = homes.join(visits, F.col("home") == F.col("hy")).select("hx", "hy", "k")
+    grams = _grams_of(docs, sets, met.select(F.col("x").alias("k")).unionByName(given.select("k")).distinct(), words)
+    held = given.join(grams, "k").select("hx", "hy", F.lit(0).alias("side"), "k", F.lit(None).cast("binary").alias("ys"), "grams")
+    asked = met.withColumnRenamed("x", "k").join(grams, "k").select("hx", "hy", F.lit(1).alias("side"), "k", "ys", "grams")
+    dealt = held.unionByName(asked).repartition("hx", "hy").sortWithinPartitions("hx", "hy", "side", "k")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, sets = None, {}
+        for batch in batches:
+            a, b = [], []
+            for hx, hy, side, k, ys, raw in zip(*(batch.column(c) for c in ("hx", "hy", "side", "k", "ys", "grams")), strict=True):
+                if (hx, hy) != task:
+                    task, sets = (hx, hy), {}
+                own, k = np.frombuffer(raw.as_py(), np.uint64), k.as_py()
+                if side.as_py() == 0:
+                    sets[k] = own
+                    continue
+                ys = np.frombuffer(ys.as_py(), np.int64)
+                for i in range(0, len(ys), SEARCH):
+                    found = ys[i : i + SEARCH][divide_skip(own, [sets[y] for y in ys[i : i + SEARCH].tolist()], percent)]
+                    a += [k] * len(found)
+                    b += found.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return staged(dealt.mapInArrow(search, "a long, b long"))
+
+
 def similar_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, size: int = LIST, search: int = SEARCH,
 ) -> DataFrame:
@@ -391,7 +434,7 @@ def similar_documents(
     nodes = sets.select(F.col("k").alias("id"))
     links = _links(docs, sets, _pivot_pairs(lists, percent), words, percent, search)
     near = staged(components(nodes, links))
-    more = _links(docs, sets, _cross_pairs(lists, near, percent), words, percent, search)
+    more = _cross_links(docs, sets, *_cross_candidates(lists, near, percent, search), words, percent)
     # Whole components are joined by what the second round found.
     label = lambda end: near.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
     bridges = more.join(label("a"), "a").join(label("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
