@@ -73,13 +73,10 @@ def document_pieces(
                 more = encode_pieces(tokenizer, some)
                 for p, word in bare.items():
                     more[p] = (kept[word] if word in kept else more[word]) + more[p[-1]]
-                if len(kept) + len(more) <= CACHE:
-                    kept.update(more)
-                    more = kept
+                kept.update(more)
                 doc, piece, start, length, ids = [], [], [], [], []
                 for i, pieces in enumerate(cut):
-                    known = map(kept.__getitem__, pieces) if more is kept else [kept[p] if p in kept else more[p] for p in pieces]
-                    raw = b"".join(known) + end
+                    raw = b"".join(map(kept.__getitem__, pieces)) + end
                     n, at, k = len(raw) // 4, 0, 0
                     while at < n:
                         to = at + (n % capacity or capacity) if k == 0 else at + capacity
@@ -93,6 +90,10 @@ def document_pieces(
                     [part.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
+                if len(kept) > CACHE:
+                    # A full cache gives up what this slice added.
+                    for p in more:
+                        del kept[p]
 
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return source.mapInArrow(encode, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids binary")
