@@ -214,8 +214,8 @@ def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.col("shared") >= _shared(percent)).select("x", "y")
 
 
-def _cross_candidates(lists: DataFrame, found: DataFrame, percent: int, search: int) -> tuple[DataFrame, DataFrame]:
-    """(x, hx, hy, ys) and (k, home): candidates of other components that share enough list entries with x.
+def _cross_candidates(lists: DataFrame, found: DataFrame, percent: int, search: int) -> DataFrame:
+    """(x, hx, hy, ys): candidates of other components that share enough list entries with x.
 
     Pieces of a list meet in pairs, each in a bounded block that gives every x the packed rest of its list; all lists
     of an x are then merged and counted together, one x at a time. A set's home is a block of about `search` sets
@@ -276,7 +276,7 @@ def _cross_candidates(lists: DataFrame, found: DataFrame, percent: int, search:
 
     met = dealt.mapInArrow(blocks, "x long, n long, hx long, ys binary, ms binary, hs binary")
     merged = met.repartition("x").sortWithinPartitions("x").mapInArrow(merge, "x long, hx long, hy long, ys binary")
-    return staged(merged), homes
+    return staged(merged)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -385,10 +385,17 @@ def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, perce
     return staged(dealt.mapInArrow(search, "a long, b long"))
 
 
-def _cross_links(docs: DataFrame, sets: DataFrame, met: DataFrame, homes: DataFrame, words: int, percent: int) -> DataFrame:
+def _cross_links(docs: DataFrame, sets: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): links among cross candidates. A task holds the sets of one home and the queries of another."""
-    visits = met.select("hx", "hy").distinct()
-    given = homes.join(visits, F.col("home") == F.col("hy")).select("hx", "hy", "k")
+    # The sets that a home is asked for, once for each home that asks: no others travel.
+    def asked_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, ["hx", "hy"]):
+            ys = np.unique(np.frombuffer(b"".join(run.column("ys").to_pylist()), np.int64))
+            hx, hy = (np.full(len(ys), run.column(c)[0].as_py(), np.int64) for c in ("hx", "hy"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hx, hy, ys)], names=["hx", "hy", "k"])
+
+    given = met.select("hx", "hy", "ys").repartition("hx", "hy").sortWithinPartitions("hx", "hy").mapInArrow(asked_for, "hx long, hy long, k long")
+    given = staged(given)
     grams = _grams_of(docs, sets, met.select(F.col("x").alias("k")).unionByName(given.select("k")).distinct(), words)
     held = given.join(grams, "k").select("hx", "hy", F.lit(0).alias("side"), "k", F.lit(None).cast("binary").alias("ys"), "grams")
     asked = met.withColumnRenamed("x", "k").join(grams, "k").select("hx", "hy", F.lit(1).alias("side"), "k", "ys", "grams")
@@ -434,7 +441,7 @@ def similar_documents(
     nodes = sets.select(F.col("k").alias("id"))
     links = _links(docs, sets, _pivot_pairs(lists, percent), words, percent, search)
     near = staged(components(nodes, links))
-    more = _cross_links(docs, sets, *_cross_candidates(lists, near, percent, search), words, percent)
+    more = _cross_links(docs, sets, _cross_candidates(lists, near, percent, search), words, percent)
     # Whole components are joined by what the second round found.
     label = lambda end: near.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
     bridges = more.join(label("a"), "a").join(label("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
