@@ -206,13 +206,15 @@ def same_day_pairs(
 ) -> DataFrame:
     """Documents of two audiences written on one day, with absolute differences of their measures.
 
-    The pairs are the result itself; adaptive skew handling splits a crowded day.
+    The pairs are the result itself. The measures are worked out once for both sides; where the second audience is
+    small enough for every task, nothing is shuffled, else adaptive skew handling splits a crowded day.
     """
     cols = [F.col(m).cast("double") for m in measures]
-    rows = docs.filter(F.col(date).isNotNull())
+    rows = docs.filter(F.col(date).isNotNull() & F.col(group).isin(a, b))
+    rows = pin(rows.select(*dict.fromkeys((doc_id, date, group, *measures))))
     left = rows.filter(F.col(group) == a).select(F.col(doc_id).alias("id_a"), date, *[c.alias(f"_a{i}") for i, c in enumerate(cols)])
     right = rows.filter(F.col(group) == b).select(F.col(doc_id).alias("id_b"), date, *[c.alias(f"_b{i}") for i, c in enumerate(cols)])
-    return left.join(right, date).select(
+    return left.join(bounded_broadcast(right), date).select(
         date, "id_a", "id_b", *[F.abs(F.col(f"_a{i}") - F.col(f"_b{i}")).alias(f"{m}_diff") for i, m in enumerate(measures)]
     )
 

@@ -49,3 +49,30 @@ def test_names_of_large_documents_are_not_looked_up_in_all_of_them(rows, monkeyp
     data = [(d, n, DAY(1990, 1, 1)) for d in range(20) for n in range(6)] + [(50 + n, m, DAY(1990, 1, 1)) for n in range(5) for m in (n, n + 1)]
     out = G.pair_years(rows(data, "doc long, id long, date date"), heavy=3)
     assert sorted(tuple(r) for r in out.collect()) == brute_pairs(data, 2)
+
+
+def test_same_day_pairs_scores_whole_texts(spark, tmp_path):
+    from missiva.operators.scores import aggregate_scores  # noqa: F401
+    from missiva.plans import load_all
+    from missiva.plans.catalog import QUERIES, SQL
+
+    load_all()
+    assert "FROM documents" in SQL["same_day_pairs"]
+    texts = [(0, "La vie est un roman.", "fr"), (1460, "Der Mann und die Frau. Nicht auch.", "de"), (1, "Das und die Sache.", "de"), (2920, None, "fr")]
+    spark.createDataFrame([(i, t, g, "s", 9) for i, t, g in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    got = {(r["date"], r["id_a"], r["id_b"]): r["mean_diff"] for r in QUERIES["same_day_pairs"](spark, str(tmp_path)).collect()}
+    assert ("2020-01", 0, 1460) in got and got["2020-01", 0, 1460] > 0
+    assert all(k[2] != 1 for k in got)
+
+
+def test_pairs_of_a_crowded_spot_come_from_many_tasks(rows):
+    from missiva.operators import spatial
+
+    a = rows([(i, 10.0, 20.0) for i in range(1000)] + [(5000, None, 20.0)], "a long, lat double, lng double")
+    b = rows([(i, 10.0, 20.0 + i / 1000) for i in range(9)] + [(99, 50.0, 20.0), (98, None, None)], "b long, lat double, lng double")
+    out = spatial.proximity_pairs(a, b, "a", "b", 5.0, dp=3)
+    full = [len(p) for p in out.rdd.glom().collect()]
+    assert sum(full) == 9000 and sum(n > 0 for n in full) > 2 and max(full) < 5000
+    assert {r["km"] for r in out.collect()} == {r["km"] for r in out.filter("km = round(km, 3)").collect()}
