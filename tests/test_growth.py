@@ -115,3 +115,10 @@ def test_image_pairs_are_made_once_and_never_shuffled(rows, monkeypatch, broadca
     plan = out._jdf.queryExecution().executedPlan().toString()
     # No pair is dealt again after the sides have met.
     assert "HashAggregate" not in plan
+
+
+def test_both_directions_work_the_edges_out_once(rows):
+    e = rows([(1, 2, 3), (2, 4, 1), (None, 4, 1)], "a int, b int, weight int").groupBy("a", "b").sum("weight").withColumnRenamed("sum(weight)", "weight")
+    out = G.directed(e)
+    assert sorted(map(tuple, out.dropna().collect())) == [(1, 2, 3), (2, 1, 3), (2, 4, 1), (4, 2, 1)] and out.count() == 6
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
