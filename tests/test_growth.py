@@ -122,3 +122,19 @@ def test_both_directions_work_the_edges_out_once(rows):
     out = G.directed(e)
     assert sorted(map(tuple, out.dropna().collect())) == [(1, 2, 3), (2, 1, 3), (2, 4, 1), (4, 2, 1)] and out.count() == 6
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tfidf_moves_texts_once(rows, monkeypatch):
+    import math
+
+    from missiva.operators import lexical
+
+    monkeypatch.setattr(scale, "TASK_ROWS", 1)
+    texts = [(1, "aa bb aa"), (1, "cc"), (2, "bb dd ee ff gg hh ii jj kk ll mm nn oo pp qq rr ss tt uu vv ww xx yy zz" * 2), (3, None), (None, "aa")]
+    out = lexical.tfidf(rows(texts, "id long, text string"), "id", "text")
+    got = {(r["id"], r["token"]): r["weight"] for r in out.collect()}
+    w = {"aa": 2 * (math.log(6 / 3) + 1), "bb": math.log(6 / 3) + 1, "cc": math.log(6 / 2) + 1}
+    norm = math.sqrt(sum(x * x for x in w.values()))
+    assert all(abs(got[1, k] - x / norm) < 1e-12 for k, x in w.items()) and abs(got[None, "aa"] - 1) < 1e-12
+    assert out.rdd.getNumPartitions() > 4
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
