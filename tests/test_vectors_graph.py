@@ -82,6 +82,22 @@ def test_ranks_of_judged_documents_are_counted(cloud, spark, judged, sign):
     assert R.judged_ranks(queries, docs, qrels.limit(0)).collect() == []
 
 
+def test_many_judgements_are_ranked_in_one_pass_over_the_documents(cloud, spark):
+    x, df = cloud
+    docs = df.select(F.col("id").alias("doc_id"), F.col("v").alias("vector"))
+    queries = df.filter("id IN (0, 31, 150)").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    qrels = spark.createDataFrame([(q, d) for q in (0, 31, 150) for d in range(0, len(x), 2)], "query_id long, doc_id long")
+    many = R.judged_ranks(queries, docs, qrels, judged=7)
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    want = sorted(R.judged_ranks(queries, docs, qrels).collect())
+    assert sorted(many.collect()) == want
+    # Blocks of sorted scores and several passes of queries give the same ranks; copies of a row share one.
+    q, d = (f.select(F.col(c), R.unit(F.col("vector")).alias(v)) for f, c, v in ((queries, "query_id", "qv"), (docs, "doc_id", "dv")))
+    assert sorted(R._sorted_ranks(q, d, qrels, 1.0, queries=2, limit=10).collect()) == want
+    twice = sorted(R._sorted_ranks(q, d.union(d), qrels, 1.0, limit=10).collect())
+    assert twice == [r for w in want for r in [(*w[:3], 2 * w[3] - 1)] * 2]
+
+
 def test_search_ranks_and_only_the_tool_clamps(cloud):
     x, df = cloud
     q = df.filter("id IN (0, 60)").select(F.col("id").alias("q"), "v")
