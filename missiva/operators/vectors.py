@@ -21,6 +21,10 @@ from missiva.session import pin
 MATRIX_ROWS = 4096
 #: Vectors of one band of the exact neighbour search.
 BAND_ROWS = 65_536
+#: Distinct terms that are looked for in the sentence itself.
+TERMS_IN_ROW = 64
+#: Distances or similarities that a task of the approximate search holds at once.
+DISTANCES = 500_000
 
 
 def vector_means(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
@@ -342,14 +346,21 @@ def related_approximate(
         codes.__dict__.update(index.value)
         return codes
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A distance to every list is held per row, so rows are taken few at a time.
+        step = max(1, DISTANCES // max(len(index.value["centres"]), 256))
         for pdf in batches:
+            for lo in range(0, len(pdf), step):
+                yield pdf.iloc[lo : lo + step]
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pieces(batches):
             if len(pdf):
                 home, codes = loaded().encode(_stack(pdf["v"]))
-                yield pd.DataFrame({"id": pdf["id"], "list": home.astype(np.int32), "code": [c.tobytes() for c in codes]})
+                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "list": home.astype(np.int32), "code": [c.tobytes() for c in codes]})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches):
             if len(pdf):
                 near = loaded().probes(_stack(pdf["v"]), probes).astype(np.int32)
                 yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), near.shape[1]), "v": [v for v in pdf["v"] for _ in range(near.shape[1])], "list": near.ravel()})
@@ -369,13 +380,14 @@ def related_approximate(
             return pd.DataFrame({"id": [], "other": [], "sim": []})
         x, ids, others = _stack(q["v"]), q["id"].to_numpy(), s["other"].to_numpy()
         codes = np.frombuffer(b"".join(s["code"]), np.uint8).reshape(len(s), -1)
-        out, step = [], max(1, 4_000_000 // len(s))
+        out, step = [], max(1, DISTANCES // max(len(s), 256))
         for a in range(0, len(x), step):
             sims = loaded().products(x[a : a + step], int(q["list"].iloc[0]), codes)
             sims[ids[a : a + step, None] == others[None, :]] = -9.0
-            for i, js in enumerate(_top(sims, others, keep)):
-                out += [(ids[a + i], others[j], sims[i, j]) for j in js if sims[i, j] > -9.0]
-        return pd.DataFrame(out, columns=["id", "other", "sim"])
+            top = [js[sims[i, js] > -9.0] for i, js in enumerate(_top(sims, others, keep))]
+            row, js = np.repeat(np.arange(len(top)), [len(t) for t in top]), np.concatenate(top)
+            out.append(pd.DataFrame({"id": ids[a + row], "other": others[js], "sim": sims[row, js]}))
+        return pd.concat(out, ignore_index=True)
 
     pair_t = f"id {kt}, other {kt}, sim double"
     near = wanted.groupBy("list", "b", "c").cogroup(stored.groupBy("list", "b", "c")).applyInPandas(scan, pair_t)
