@@ -168,6 +168,30 @@ def test_concept_contexts(rows):
     assert near.count() == 2
 
 
+def test_concept_contexts_make_the_hits_once(rows, monkeypatch):
+    s = rows([(i, f"Ordet krig{i} er her, krig og fred") for i in range(50)] * 2, "sid int, sentence string")
+    v = rows([(i, [1.0, float(i)]) for i in range(50)], "sid int, vector array<double>")
+    terms, pinned, real = rows([("Krig",), ("fred",), ("",), (None,)], "term string"), [], V.pin
+    monkeypatch.setattr(V, "pin", lambda df: pinned.append(df.columns) or real(df))
+    got = []
+    for few in (64, 0):
+        monkeypatch.setattr(V, "TERMS_IN_ROW", few)
+        centre, near = V.concept_contexts(terms, s, v, "sid")
+        got.append((sorted((r["term"], *np.round(r["vector"], 9), r["sentence"]) for r in centre.collect()), sorted(near.collect())))
+    assert got[0] == got[1] and [g[0] for g in got[0][0]] == ["Krig", "fred"]
+    # Every second one of 50 rows, 20 of them.
+    assert np.allclose(got[0][0][0][1:3], np.array([1, 19]) / 362**0.5)
+    # The rows that are sorted and sampled hold no sentence.
+    assert pinned[0] == ["term", "sid", "_h"]
+
+
+def test_approximate_neighbours_hold_few_distances(cloud, monkeypatch):
+    x, df = cloud
+    want = sorted(V.related_approximate(df, "id", "v", 5).collect())
+    monkeypatch.setattr(V, "DISTANCES", 2560)
+    assert sorted(V.related_approximate(df, "id", "v", 5).collect()) == want
+
+
 def pairs_by_hand(docs, least):
     w = {}
     for d in docs.values():
