@@ -85,6 +85,25 @@ def ftrl(
     return w, -zb / ((beta + nb**0.5) / alpha + l2)
 
 
+def common_features(lists: list[pa.ListArray], bits: int = BITS, least: int = MIN_DOCS) -> list[np.ndarray]:
+    """The features of each example that at least `least` examples have."""
+    seen = np.zeros(1 << bits, np.int64)
+    for part in lists:
+        # Some at a time: counting makes a wider copy.
+        flat = part.flatten().to_numpy()
+        for lo in range(0, len(flat), 1 << 20):
+            seen += np.bincount(flat[lo : lo + (1 << 20)], minlength=1 << bits)
+    common = seen >= least
+    examples = []
+    for part in lists:
+        flat, ends = part.flatten().to_numpy(), np.cumsum(np.append(0, part.value_lengths().to_numpy(zero_copy_only=False)))
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            # Only the common features of an example are copied.
+            index = flat[lo:hi]
+            examples.append(index[common[index]])
+    return examples
+
+
 def train(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
     max_docs: int = TRAIN_DOCS, bits: int = BITS,
@@ -116,16 +135,10 @@ def train(
     examples = staged(rows.mapInArrow(indexed, f"doc_id {kind}, y int, index array<int>"))
 
     def fit(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
         order = np.lexsort((np.arange(group.num_rows), group.column("doc_id").to_numpy(), group.column("h").to_numpy()))
-        lists = group.column("index").chunk(0) if group.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-        common = np.bincount(flat, minlength=1 << bits) >= MIN_DOCS
-        # Views into one array; only the common features of an example are copied.
-        held = common[flat]
-        flat, ends = flat[held], np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], ends])]
         y = group.column("y").to_numpy()
-        w, bias = ftrl([(flat[ends[i] : ends[i + 1]], int(y[i])) for i in order], 1 << bits)
+        examples = common_features(group.column("index").chunks, bits)
+        w, bias = ftrl([(examples[i], int(y[i])) for i in order], 1 << bits)
         at = np.flatnonzero(w)
         return pa.table({"index": np.append(at, -1), "weight": np.append(w[at], bias)})
 

@@ -1,10 +1,12 @@
 """Packing, toxicity and language identification against plain versions and held-out rows."""
 
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as tokens
+import pyarrow as pa
 import pytest
 
 from missiva.llm import packing, ppm, queries, toxicity
@@ -195,3 +197,20 @@ def test_features_are_words_pairs_and_skips():
     two = set(index[row == 3].tolist())
     # The three words and the pair around the middle are shared, up to order.
     assert len(one & two) == 3
+
+
+def test_the_fit_copies_only_common_features():
+    rng = np.random.default_rng(3)
+    index = [np.unique(rng.integers(0, 1 << 20, 2000)).astype(np.int32) for _ in range(500)]
+    index[7] = index[7][:0]
+    shared = np.arange(5, dtype=np.int32)
+    index[:4] = [np.union1d(i, shared) for i in index[:4]]
+    lists = [pa.array([i.tolist() for i in part], pa.list_(pa.int32())) for part in (index[:200], index[200:])]
+    tracemalloc.start()
+    got = toxicity.common_features(lists, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = np.bincount(np.concatenate(index), minlength=1 << 20)
+    assert all(np.array_equal(g, i[n[i] >= toxicity.MIN_DOCS]) for g, i in zip(got, index, strict=True))
+    # Counts and marks of all features, and room for the copies; the features alone are 4 MB, their sums were 8 MB each.
+    assert peak < 32 << 20
