@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from missiva.llm.common import held_out, learns, slices, worker_cache
 
@@ -189,8 +190,11 @@ def identify_languages(
     alphabetically first language. Whole texts are scored, row by row, without a shuffle.
     """
     names = [doc_id] if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("_ppm_text"))
-    schema = source.drop("_ppm_text").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    # A text that is kept anyway goes to the workers once.
+    read = text if text in names and docs.schema[text].dataType == StringType() else "_ppm_text"
+    more = [] if read == text else [F.col(f"`{text}`").cast("string").alias(read)]
+    source = docs.select(*[F.col(f"`{c}`") for c in names], *more)
+    schema = StructType([source.schema[c] for c in names]).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
     shared = docs.sparkSession.sparkContext.broadcast(tables.parts())
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +202,8 @@ def identify_languages(
         worker_cache("ppm")
         model = ContextTables.of(shared.value)
         for batch in batches:
-            for part in slices(batch, "_ppm_text", SLICE):
-                texts = [t or "" for t in part.column("_ppm_text").to_pylist()]
+            for part in slices(batch, read, SLICE):
+                texts = [t or "" for t in part.column(read).to_pylist()]
                 raw = [t.encode() for t in texts]
                 found, scores, rate = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
                 if model.languages:

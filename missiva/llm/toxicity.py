@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from missiva.llm.common import held_out, learns, slices, staged, worker_cache
 
@@ -156,8 +157,11 @@ def score_texts(
     text. Whole texts are scored, row by row, without a shuffle; the weights are sparse and bounded by the hash space.
     """
     names = [doc_id] if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("_tox_text"))
-    schema = source.drop("_tox_text").schema.add("score", "double")
+    # A text that is kept anyway goes to the workers once.
+    read = text if text in names and docs.schema[text].dataType == StringType() else "_tox_text"
+    more = [] if read == text else [F.col(f"`{text}`").cast("string").alias(read)]
+    source = docs.select(*[F.col(f"`{c}`") for c in names], *more)
+    schema = StructType([source.schema[c] for c in names]).add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +172,8 @@ def score_texts(
                 table[i] = w
         telling = table != 0
         for batch in batches:
-            for part in slices(batch, "_tox_text", SLICE):
-                row, index = features(part.column("_tox_text").to_pylist(), bits)
+            for part in slices(batch, read, SLICE):
+                row, index = features(part.column(read).to_pylist(), bits)
                 hit = telling[index]
                 key = np.unique(row[hit] << bits | index[hit])
                 total = np.bincount(key >> bits, table[key & ((1 << bits) - 1)], part.num_rows) + given.get(-1, 0.0)

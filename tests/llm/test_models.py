@@ -214,3 +214,13 @@ def test_the_fit_copies_only_common_features():
     assert all(np.array_equal(g, i[n[i] >= toxicity.MIN_DOCS]) for g, i in zip(got, index, strict=True))
     # Counts and marks of all features, and room for the copies; the features alone are 4 MB, their sums were 8 MB each.
     assert peak < 32 << 20
+
+
+def test_a_kept_text_goes_to_the_workers_once(awkward):
+    weights = {-1: -1.0, **{int(i): 0.5 for i in toxicity.features(["hello world one two"])[1]}}
+    kept = toxicity.score_texts(awkward, weights, keep=["doc_id", "text"])
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_tox_text") == 0 and kept.columns == ["doc_id", "text", "score"]
+    alone = toxicity.score_texts(awkward, weights)
+    order = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in df.collect())
+    assert order(kept) == order(alone)
