@@ -138,3 +138,30 @@ def test_tfidf_moves_texts_once(rows, monkeypatch):
     assert all(abs(got[1, k] - x / norm) < 1e-12 for k, x in w.items()) and abs(got[None, "aa"] - 1) < 1e-12
     assert out.rdd.getNumPartitions() > 4
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("columns", [1_000_000, 0])
+def test_principal_components_leave_the_weights_where_they_lie(spark, monkeypatch, columns):
+    import numpy as np
+
+    from missiva.operators import vectors as V
+
+    rng = np.random.default_rng(3)
+    x = rng.random((40, 25)) * (rng.random((40, 25)) > 0.5)
+    x[:, 0] *= 6
+    x[:, 1] *= 4
+    long = spark.createDataFrame([(f"r{i}", f"c{j}", float(x[i, j])) for i in range(40) for j in range(25) if x[i, j]], "r string, c string, w double")
+    joined, real = [], V._scores
+    monkeypatch.setattr(V, "_scores", lambda *a: joined.append(1) or real(*a))
+    monkeypatch.setattr(V, "BROADCAST_COLUMNS", columns, raising=False)
+    # Rows go on over many batches.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = np.array([(r["pc1"], r["pc2"]) for r in sorted(V.pca_long(long, "r", "c", "w", 2).collect(), key=lambda r: int(r["r"][1:]))])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    c = x - x.mean(0)
+    u, s, _ = np.linalg.svd(c, full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-3)
+    # With columns that fit a broadcast no round joins and sums the weights by row; only the final scores do.
+    assert (len(joined) == 1) == (columns > 0)
