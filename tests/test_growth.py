@@ -165,3 +165,34 @@ def test_principal_components_leave_the_weights_where_they_lie(spark, monkeypatc
     assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-3)
     # With columns that fit a broadcast no round joins and sums the weights by row; only the final scores do.
     assert (len(joined) == 1) == (columns > 0)
+
+
+def test_markers_split_a_text_once(rows):
+    from missiva.operators import lexical
+
+    out = lexical.marker_rates(rows([(1, "Jeg og vi, jeg"), (2, None), (3, "")], "id int, t string"), "id", "t")
+    got = {r["id"]: (r["tokens"], round(r["first_person_singular_rate"], 3), r["first_person_plural_rate"]) for r in out.collect()}
+    assert got == {1: (4, 50.0, 0.0), 2: (0, 0.0, 0.0), 3: (0, 0.0, 0.0)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_richness_equals_the_plain_count():
+    from missiva.operators.lexical import _factors, _richness
+
+    rnd = random.Random(4)
+    for n in (1, 41, 42, 49, 50, 51, 300):
+        words = [f"w{int(60 * rnd.random() ** 2)}" for _ in range(n)]
+        r = _richness(words, 50, 0.72, 42)
+        shares = [len(set(words[k : k + 50])) / 50 for k in range(n - 49)] or [len(set(words)) / n]
+        factors = []
+        for way in (words, words[::-1]):
+            seen, k, f = set(), 0, 0.0
+            for w in way:
+                seen.add(w)
+                k += 1
+                if len(seen) / k <= 0.72:
+                    seen, k, f = set(), 0, f + 1
+            factors.append(f + ((1 - len(seen) / k) / (1 - 0.72) if k else 0))
+        assert [_factors(w, 0.72) for w in (words, words[::-1])] == factors
+        assert r[:2] == (n, len(set(words))) and abs(r[3] - sum(shares) / len(shares)) < 1e-12 and abs(r[4] - sum(n / (f or 1) for f in factors) / 2) < 1e-9
+        assert r[6] == sum(c == 1 for c in Counter(words).values()) / n
