@@ -19,41 +19,55 @@ CLAUSES = (*SUBORDINATE, "ROOT", "conj")
 CONTENT = ("NOUN", "VERB", "ADJ", "ADV")
 
 
+def _deepest(head: dict) -> int:
+    depth: dict[int, int] = {}
+    for t in head:
+        way, at = [], t
+        while at not in depth and head.get(at, at) != at:
+            way.append(at)
+            at = head[at]
+        d = depth.setdefault(at, 0)
+        for w in reversed(way):
+            d += 1
+            depth[w] = d
+    return max(depth.values(), default=0)
+
+
 @F.pandas_udf(IntegerType())
-def tree_depth(batch: pd.Series) -> pd.Series:
-    """Longest way from a token to its root, for sentences given as arrays of {i, head}."""
-
-    def deepest(arcs):
-        head = {a["i"]: a["head"] for a in arcs}
-        depth: dict[int, int] = {}
-        for t in head:
-            way, at = [], t
-            while at not in depth and head.get(at, at) != at:
-                way.append(at)
-                at = head[at]
-            d = depth.setdefault(at, 0)
-            for w in reversed(way):
-                d += 1
-                depth[w] = d
-        return max(depth.values(), default=0)
-
-    return batch.map(deepest).astype("int32")
+def tree_depth(arcs: pd.Series, rest: pd.Series) -> pd.Series:
+    """Longest way from a token to its root, for sentences given as arrays of numbers, i * 65536 + head, and of {i, head}."""
+
+    def deepest(some, more):
+        head = dict(zip((some >> 16 & 0xFFFF).tolist(), (some & 0xFFFF).tolist(), strict=True))
+        return _deepest(head | {a["i"]: a["head"] for a in more} if len(more) else head)
+
+    return pd.Series([deepest(a, r) for a, r in zip(arcs, rest, strict=True)], dtype="int32")
 
 
 def syntax_metrics(tokens: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Dependency distances, sentence length, clause and tense ratios, content share and tree depth.
 
-    tokens(doc_id, sent_id, i, head_i, dep, pos, tense). Sentences shrink to one row first.
+    tokens(doc_id, sent_id, i, head_i, dep, pos, tense). Sentences shrink to one row first; labels
+    are sorted and shuffled as bits, an arc as one number, or as {i, head} where that has no room.
     """
-    far = F.when(F.col("dep") != "ROOT", F.abs(F.col("i") - F.col("head_i")))
     verb = F.col("pos") == "VERB"
-    sent = tokens.groupBy(doc_id, "sent_id").agg(
+    kinds = {
+        "far": F.col("dep") != "ROOT", "sub": F.col("dep").isin(*SUBORDINATE), "cl": F.col("dep").isin(*CLAUSES),
+        "past": verb & (F.col("tense") == "Past"), "pres": verb & (F.col("tense") == "Pres"), "content": F.col("pos").isin(*CONTENT),
+    }
+    bit = {c: 1 << k for k, c in enumerate(kinds)}
+    bits = reduce(lambda a, b: a + b, [F.when(kinds[c], bit[c]).otherwise(0) for c in kinds])
+    rows = tokens.select(doc_id, "sent_id", "i", "head_i", bits.alias("_bits"))
+    has = lambda c: F.col("_bits").bitwiseAND(F.lit(bit[c])) != 0
+    i, head = F.col("i"), F.col("head_i")
+    far = F.when(has("far"), F.abs(i - head))
+    short = F.coalesce(i.between(0, 0xFFFF) & head.between(0, 0xFFFF), F.lit(False))
+    sent = rows.groupBy(doc_id, "sent_id").agg(
         F.sum(far).alias("ds"), F.count(far).alias("dn"), F.max(far).alias("dx"), F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("dep").isin(*SUBORDINATE)).alias("sub"), F.count_if(F.col("dep").isin(*CLAUSES)).alias("cl"),
-        F.count_if(verb & (F.col("tense") == "Past")).alias("past"), F.count_if(verb & (F.col("tense") == "Pres")).alias("pres"),
-        F.count_if(F.col("pos").isin(*CONTENT)).alias("content"),
-        F.collect_list(F.struct(F.col("i"), F.col("head_i").alias("head"))).alias("arcs"),
-    ).withColumn("depth", tree_depth("arcs"))
+        *[F.count_if(has(c)).alias(c) for c in ("sub", "cl", "past", "pres", "content")],
+        F.collect_list(F.when(short, F.shiftleft(i.cast("int"), 16).bitwiseOR(head.cast("int")))).alias("arcs"),
+        F.collect_list(F.when(~short, F.struct(i.alias("i"), head.alias("head")))).alias("rest"),
+    ).withColumn("depth", tree_depth("arcs", "rest"))
     div = lambda a, b: F.coalesce(F.sum(a) / F.nullif(F.sum(b), F.lit(0)), F.lit(0.0))
     tense = F.col("past") + F.col("pres")
     return sent.groupBy(doc_id).agg(

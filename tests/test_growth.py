@@ -167,6 +167,32 @@ def test_principal_components_leave_the_weights_where_they_lie(spark, monkeypatc
     assert (len(joined) == 1) == (columns > 0)
 
 
+def test_arcs_travel_as_numbers(rows):
+    from missiva.operators import profile as P
+
+    def by_hand(arcs):
+        head = dict(arcs)
+        depth = lambda t: 0 if head.get(t, t) == t else 1 + depth(head[t])
+        return max(map(depth, head))
+
+    rnd = random.Random(2)
+    far = 70_000
+    sents = {(d, s): [(i + far * (d == 3), (rnd.randrange(i) if i else 0) + far * (d == 3)) for i in range(rnd.randrange(1, 40))] for d in range(5) for s in range(9)}
+    sents[4, 0] = [(-3, 5), (5, far), (far, far), (2, None)]
+    data = [(d, s, i, h, rnd.choice(("ROOT", "mark", None, "x")), rnd.choice(("VERB", "NOUN", None)), rnd.choice(("Past", "Pres", None))) for (d, s), arcs in sents.items() for i, h in arcs]
+    for kind in ("int", "long"):
+        t = rows(data, f"doc_id int, sent_id int, i {kind}, head_i {kind}, dep string, pos string, tense string")
+        out = P.syntax_metrics(t)
+        for r in out.collect():
+            mine = [x for x in data if x[0] == r["doc_id"]]
+            gaps = [abs(i - h) for _, _, i, h, dep, _, _ in mine if dep not in (None, "ROOT") and h is not None]
+            assert r["max_dependency_distance"] == max(gaps) and abs(r["mean_dependency_distance"] - sum(gaps) / len(gaps)) < 1e-9
+            assert r["lexical_density"] == sum(x[5] in ("VERB", "NOUN") for x in mine) / len(mine) and r["mean_sentence_length"] == len(mine) / 9
+            if r["doc_id"] < 4:
+                assert r["max_tree_depth"] == max(by_hand(arcs) for (d, _), arcs in sents.items() if d == r["doc_id"])
+    assert "shiftleft" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_markers_split_a_text_once(rows):
     from missiva.operators import lexical
 
