@@ -15,7 +15,6 @@ from missiva.session import ensure_checkpoint_dir
 
 # A space that follows a non-blank sign always starts a new match of the byte-level patterns.
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
-BLANK_BEFORE_SPACE = re.compile(r"\s ")
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -50,14 +49,6 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def safe_pieces(text: str) -> list[str]:
-    """Cut before spaces that follow a non-blank sign; joined, the pieces are the text."""
-    if BLANK_BEFORE_SPACE.search(text) is None:
-        head, *rest = text.split(" ")
-        return [head, *[" " + r for r in rest]] if rest else [head]
-    return BOUNDARY.split(text)
-
-
 def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges of about `size` bytes of text; a longer text stands alone."""
     i, n = 0, batch.num_rows

@@ -14,15 +14,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missiva.llm.common import safe_pieces, slices, staged, worker_cache
+from missiva.llm.common import BOUNDARY, slices, staged, worker_cache
 from missiva.llm.counts import load_tokenizer
 
 BLOCK = 8192
-# Encoded cuts that a worker holds at most.
-CACHE = 600_000
+# Encoded words that a worker holds at most.
+CACHE = 1_000_000
+# Bytes of text whose words are held at once.
+SLICE = 1 << 23
+# A blank of any kind before a space: such texts are not simply cut at each space.
+BLANKS = r"[\s\x0b\x1c-\x1f\x85\p{Z}] "
+# A letter and a comma or full stop behind it are always split.
+MARKED = "[A-Za-zÀ-ÖØ-öø-ɏ][,.]$"
 
 
 def encode_pieces(tokenizer, pieces: list[str], size: int = 4096) -> dict[str, bytes]:
@@ -48,6 +55,52 @@ def encode_pieces(tokenizer, pieces: list[str], size: int = 4096) -> dict[str, b
     return out
 
 
+def word_ids(tokenizer, words: pa.Array, kept: dict) -> pa.Array:
+    """The ids of a blank and each of some distinct words; `kept` holds the words that were encoded before."""
+    none = pa.scalar(b"", pa.binary())
+    known, ids = kept.setdefault("words", (pa.array([], pa.string()), pa.array([], pa.binary())))
+    # One entry serves a word with and without the mark behind it.
+    marked = pc.match_substring_regex(words, MARKED)
+    bare = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+    at = pc.index_in(bare.dictionary, known)
+    new = bare.dictionary.filter(pc.is_null(at))
+    pieces = pc.binary_join_element_wise("", new, " ").to_pylist()
+    more = encode_pieces(tokenizer, [*pieces, ",", "."])
+    both = pa.concat_arrays([ids, pa.array(map(more.__getitem__, pieces), pa.binary())])
+    place = at.fill_null(-1).to_numpy()
+    place = np.where(place < 0, len(known) - 1 + np.cumsum(place < 0), place)
+    found = both.take(pa.array(place[bare.indices.to_numpy()]))
+    if len(both) <= CACHE:
+        kept["words"] = pa.concat_arrays([known, new]), both
+    mark = pc.if_else(marked, pc.if_else(pc.ends_with(words, ","), pa.scalar(more[","], pa.binary()), pa.scalar(more["."], pa.binary())), none)
+    return pc.binary_join_element_wise(found, mark, none)
+
+
+def text_ids(tokenizer, texts: pa.Array, kept: dict) -> Iterator[bytes]:
+    """The ids of each text, from those of its words: texts are cut before blanks, where the tokenizer's own splits lie."""
+    cut = pc.split_pattern(texts, " ")
+    odd = np.flatnonzero(pc.match_substring_regex(texts, BLANKS).to_numpy(zero_copy_only=False))
+    if len(odd):
+        # The blank before each later piece goes, as it does where the text is cut at each space.
+        some = [[head, *[p[1:] for p in rest]] for head, *rest in map(BOUNDARY.split, texts.take(pa.array(odd)).to_pylist())]
+        at = np.arange(len(texts))
+        at[odd] = len(texts) + np.arange(len(odd))
+        cut = pa.concat_arrays([cut, pa.array(some, cut.type)]).take(pa.array(at))
+    flat, sizes = cut.flatten(), cut.value_lengths().to_numpy()
+    first = np.cumsum(sizes) - sizes
+    later = np.ones(len(flat), bool)
+    later[first] = False
+    heads = flat.take(pa.array(first)).to_pylist()
+    head_ids = encode_pieces(tokenizer, list(set(heads)))
+    words = flat.filter(pa.array(later)).dictionary_encode()
+    ids = word_ids(tokenizer, words.dictionary, kept).take(words.indices)
+    _, offsets, data = ids.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[np.append(0, np.cumsum(sizes - 1))].tolist() if len(ids) else [0] * (len(texts) + 1)
+    raw = memoryview(data or b"")
+    for head, lo, hi in zip(heads, bounds[:-1], bounds[1:], strict=True):
+        yield head_ids[head] + raw[lo:hi]
+
+
 def document_pieces(
     docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
@@ -55,7 +108,7 @@ def document_pieces(
 
     `ids` holds little-endian unsigned 32-bit numbers. A longer document is cut into pieces of `capacity` ids; only
     the first may be shorter. A null text counts as empty and gives one piece with the end id; repeated rows repeat.
-    Texts are cut before blanks, where the tokenizer's own splits lie, and equal cuts are encoded once per worker.
+    The words of many texts are encoded at once, and frequent ones once per worker.
     """
     kind = docs.select(F.col(f"`{doc_id}`")).schema[0].dataType
 
@@ -64,19 +117,10 @@ def document_pieces(
         cache, end = worker_cache("packing"), np.uint32(end_id).tobytes()
         tokenizer, kept = load_tokenizer(vocabulary, cache), cache.setdefault(f"ids {vocabulary}", {})
         for batch in batches:
-            for part in slices(batch, "text"):
-                cut = [safe_pieces(t) if t else [] for t in part.column("text").to_pylist()]
-                new = set().union(*cut).difference(kept)
-                # A letter and a comma or full stop behind it are always split: one entry serves the word with and without.
-                bare = {p: p[:-1] for p in new if p[-1:] in (",", ".") and p[-2:-1].isalpha() and p[-2] < "\u0250"}
-                some = list({bare.get(p, p) for p in new}.difference(kept).union(",."))
-                more = encode_pieces(tokenizer, some)
-                for p, word in bare.items():
-                    more[p] = (kept[word] if word in kept else more[word]) + more[p[-1]]
-                kept.update(more)
+            for part in slices(batch, "text", SLICE):
                 doc, piece, start, length, ids = [], [], [], [], []
-                for i, pieces in enumerate(cut):
-                    raw = b"".join(map(kept.__getitem__, pieces)) + end
+                for i, found in enumerate(text_ids(tokenizer, part.column("text").fill_null(""), kept)):
+                    raw = found + end
                     n, at, k = len(raw) // 4, 0, 0
                     while at < n:
                         to = at + (n % capacity or capacity) if k == 0 else at + capacity
@@ -90,10 +134,6 @@ def document_pieces(
                     [part.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
-                if len(kept) > CACHE:
-                    # A full cache gives up what this slice added.
-                    for p in more:
-                        del kept[p]
 
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return source.mapInArrow(encode, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids binary")

@@ -190,3 +190,25 @@ def test_pieces_encoded_as_lines_equal_single_ones():
     want = {p: np.array(tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces}
     for size in (1, 3, 4096):
         assert packing.encode_pieces(tokenizer, pieces, size) == want
+
+
+def test_words_of_many_texts_are_encoded_once():
+    import pyarrow as pa
+
+    tokenizer, kept, asked = counts.load_tokenizer(tokens.path("byte_bpe_50k.json"), {}), {}, []
+
+    class Asked:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+        encode = tokenizer.encode
+
+    texts = ["", " ", "one", " lead, naïve. naïve, naïve", "two  blanks \n and\xa0 more", "end 　 x　 y ", "a\nb, c\n\nd. 漢字, 7, ǅ. ", "don't 'll  '' <|endoftext|> e <|endoftext|>"]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [bytes(b) for b in packing.text_ids(Asked(), pa.array(texts), kept)] == want
+    assert sum(t.split().count("naïve") for t in asked) == 1
+    asked.clear()
+    assert [bytes(b) for b in packing.text_ids(Asked(), pa.array([f"x {t.strip()}" for t in texts[2:]]), kept)][1] == b"".join(bytes(b) for b in packing.text_ids(tokenizer, pa.array(["x lead, naïve. naïve, naïve"]), {}))
+    assert not any("naïve" in t for t in asked)
+    assert list(packing.text_ids(tokenizer, pa.array([], pa.string()), kept)) == []
