@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missiva.session import ensure_checkpoint_dir
@@ -17,15 +19,53 @@ from missiva.session import ensure_checkpoint_dir
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of an action go when it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Write a table below `spark.checkpoint.dir` and read it again: cuts lineage, survives lost executors."""
+    """Write a table below `spark.checkpoint.dir` and read it again: cuts lineage, survives lost executors.
+
+    What was shuffled for it is not kept.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hand memory that Arrow and the C library hold unused back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`work`, which gives back at its end: idle workers live on, and count beside those of later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def worker_cache(name: str) -> dict:
     """A dict that outlives the task, for loaded vocabularies; worker processes are reused.
 

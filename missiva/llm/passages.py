@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from missiva.llm.common import slices, staged, worker_cache
+from missiva.llm.common import freed_shuffles, giving_back, slices, staged, worker_cache
 from missiva.operators.graph import components
 
 SHINGLE = 5
@@ -31,20 +32,20 @@ MIN_WORDS = 8
 # A passage counts from so many words, short sentences inside it included.
 MIN_PASSAGE = 25
 BUCKET = 512
-CACHE = 100_000
+# Bytes of text whose words are hashed at once.
+SLICE = 1 << 21
 END = re.compile(r"[.!?]+(?=\s)|\n")
 WORD = re.compile(r"\S+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
+def word_hashes(words: list[str]) -> np.ndarray:
+    """XXH64 of each word, without its lowest bit; equal words are hashed once."""
+    import xxhash
 
-        h = xxhash.xxh64_intdigest(word) >> 1
-        if len(self) < CACHE:
-            self[word] = h
-        return h
+    found = pa.array(words, pa.string()).dictionary_encode()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
+    return (h >> np.uint64(1))[found.indices.to_numpy()]
 
 
 def pieces(text: str) -> Iterator[tuple[int, int, list[str]]]:
@@ -97,9 +98,10 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes = worker_cache("passages").setdefault("hashes", _Hashes())
+        # Lets go what a former stage left in this worker.
+        worker_cache("passages")
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 doc, order, start, end, place, size, words, joined = [], [], [], [], [], [], [], []
                 for i, t in enumerate(part.column("text").to_pylist()):
                     n = at_word = 0
@@ -118,8 +120,7 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
                 if not doc:
                     continue
                 key = np.frombuffer(b"".join([xxhash.xxh3_128_digest(j) for j in joined]), np.int64).reshape(-1, 2)
-                h = np.array(list(map(hashes.__getitem__, words)), np.int64).view(np.uint64)
-                bands = min_hashes(h, np.array(size)).T.copy().view(np.int64)
+                bands = min_hashes(word_hashes(words), np.array(size)).T.copy().view(np.int64)
                 at = pa.array(doc, pa.int64())
                 offsets = pa.array(np.arange(len(doc) + 1) * BANDS, pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -130,7 +131,7 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
 
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = f"doc_id {kind}, row long, ord int, start int, end int, word int, n_words int, k1 long, k2 long, bands array<long>, words string"
-    return source.mapInArrow(split, schema)
+    return source.mapInArrow(giving_back(split), schema)
 
 
 def _shingles(words: str) -> frozenset:
@@ -164,7 +165,7 @@ def _verified(buckets: DataFrame, similarity: float) -> DataFrame:
             as_key = lambda pairs: pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["k1", "k2"])
             yield pa.RecordBatch.from_arrays([as_key(a), as_key(b)], names=["a", "b"])
 
-    return buckets.select("members").mapInArrow(verify, "a struct<k1:long,k2:long>, b struct<k1:long,k2:long>")
+    return buckets.select("members").mapInArrow(giving_back(verify), "a struct<k1:long,k2:long>, b struct<k1:long,k2:long>")
 
 
 def _buckets(members: DataFrame, size: int) -> DataFrame:
@@ -197,7 +198,9 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     links = _verified(_buckets(meeting.join(texts, "k1"), bucket), similarity).distinct()
     nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     links = staged(links)
-    groups = components(nodes, links).select(F.col("id.k1").alias("k1"), F.col("id.k2").alias("k2"), F.col("component").alias("group"))
+    with freed_shuffles(docs.sparkSession):
+        joined = components(nodes, links)
+    groups = joined.select(F.col("id.k1").alias("k1"), F.col("id.k2").alias("k2"), F.col("component").alias("group"))
     own = F.struct("k1", "k2")
     placed = found.drop("words").dropDuplicates(["doc_id", "row", "ord"]).join(groups, ["k1", "k2"], "left").withColumn("group", F.coalesce("group", own))
     placed = staged(placed.drop("k1", "k2"))
@@ -239,39 +242,52 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     kind = docs.select(F.col(f"`{doc_id}`")).schema[0].dataType.simpleString()
     texts = _texts(docs, doc_id, text)
 
-    def hashed(t: str, hashes: _Hashes) -> np.ndarray:
-        return np.fromiter(map(hashes.__getitem__, t.lower().split()), np.int64).view(np.uint64)
+    def hashed(texts: list[str | None]) -> list[np.ndarray]:
+        """The word hashes of each text."""
+        words, ends = [], []
+        for t in texts:
+            words += t.lower().split() if t else ()
+            ends.append(len(words))
+        return np.split(word_hashes(words), ends[:-1])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_cache("passages").setdefault("hashes", _Hashes())
+        # Lets go what a former stage left in this worker.
+        worker_cache("passages")
         for batch in batches:
-            for part in slices(batch, "text"):
-                unit, gram, twice = [], [], []
-                for u, t in zip(part.column("unit").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    words = hashed(t or "", hashes)
-                    if len(words) >= n:
-                        g, at = picked_grams(words, n)
-                        new = np.concatenate([[True], at[1:] != at[:-1]])
-                        g, count = np.unique(g[new], return_counts=True)
-                        unit.append(np.full(len(g), u, np.int64))
-                        gram.append(g.view(np.int64))
-                        twice.append(count > 1)
-                if unit:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (gram, unit, twice)], names=["gram", "unit", "twice"])
+            for part in slices(batch, "text", SLICE):
+                each = hashed(part.column("text").to_pylist())
+                long = np.flatnonzero([len(words) >= n for words in each])
+                if not len(long):
+                    continue
+                words, ends = np.concatenate([each[i] for i in long]), np.cumsum([len(each[i]) for i in long])
+                # The windows of all texts at once; those that reach into the next text do not count.
+                g, at = picked_grams(words, n)
+                row = np.repeat(np.arange(len(long)), np.diff(ends, prepend=0))[: len(g)]
+                ok = np.arange(len(g)) + n <= ends[row]
+                g, at, row = g[ok], at[ok], row[ok]
+                new = np.concatenate([[True], at[1:] != at[:-1]])
+                g, row = g[new], row[new]
+                order = np.lexsort((g, row))
+                g, row = g[order], row[order]
+                first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (row[1:] != row[:-1])]))
+                count = np.diff(np.append(first, len(g)))
+                units = part.column("unit").to_numpy()[long[row[first]]]
+                yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(units), pa.array(count > 1)], names=["gram", "unit", "twice"])
 
     # Each gram of a text once.
-    picked = texts.select("unit", "text").mapInArrow(pick, "gram long, unit long, twice boolean").repartition("gram")
+    picked = texts.select("unit", "text").mapInArrow(giving_back(pick), "gram long, unit long, twice boolean").repartition("gram")
     same = Window.partitionBy("gram")
     shared = picked.select("gram", "unit", F.max("twice").over(same).alias("_twice"), F.min("unit").over(same).alias("_lo"), F.max("unit").over(same).alias("_hi"))
-    wanted = shared.filter("_twice OR _lo <> _hi").groupBy("unit").agg(F.collect_list("gram").alias("grams"))
+    wanted = staged(shared.filter("_twice OR _lo <> _hi").groupBy("unit").agg(F.collect_list("gram").alias("grams")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_cache("passages").setdefault("hashes", _Hashes())
+        # Lets go what a former stage left in this worker.
+        worker_cache("passages")
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 doc, gram, word, sizes, whole, start, end = [], [], [], [], [], [], []
-                for i, (t, some) in enumerate(zip(part.column("text").to_pylist(), part.column("grams"), strict=True)):
-                    words = hashed(t, hashes)
+                texts = part.column("text").to_pylist()
+                for i, (t, words, some) in enumerate(zip(texts, hashed(texts), part.column("grams"), strict=True)):
                     g, at = picked_grams(words, n)
                     ok = np.flatnonzero(np.isin(g.view(np.int64), some.values.to_numpy()))
                     if not len(ok):
@@ -297,7 +313,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 )
 
     some = texts.join(wanted, "unit").select("doc_id", "row", "text", "grams")
-    rows = some.mapInArrow(compare, f"doc_id {kind}, row long, gram long, word int, windows array<struct<hash:long,start:int,end:int>>").repartition("gram")
+    rows = some.mapInArrow(giving_back(compare), f"doc_id {kind}, row long, gram long, word int, windows array<struct<hash:long,start:int,end:int>>").repartition("gram")
     # What is dealt by gram lies right for (gram, hash) too.
     each = rows.select("doc_id", "row", "gram", "word", F.posexplode("windows").alias("_i", "_w"))
     each = each.select("gram", F.col("_w.hash").alias("hash"), F.struct("doc_id", "row", (F.col("word") + F.col("_i")).alias("word")).alias("place"), "_w.start", "_w.end")
@@ -358,8 +374,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     between them; it and an equal passage have `min_passage` words or more from their first to their last word. What
     overlaps is one passage. `first_doc_ids` are the documents in which its parts come first.
     """
+    # One after the other: the tables of the second are not there yet when the first has its shuffles on disk.
+    windows = staged(repeated_windows(docs, doc_id, text, min_passage))
     units = repeated_paragraphs(docs, doc_id, text, **options)
-    windows = repeated_windows(docs, doc_id, text, min_passage)
     kind = units.schema["first_doc_id"].dataType.simpleString()
     fields = ["doc_id", "row", "ord", "start", "end", "word", "n_words", "first_doc_id", "removed"]
     both = units.select(*fields).unionByName(windows.withColumn("ord", F.lit(None).cast("int")).select(*fields))
@@ -369,21 +386,26 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, found = [], []
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
+            lists = batch.column("spans")
+            # Made by column, not struct by struct.
+            each = lists.flatten()
+            rows = zip(*[c.to_pylist() for c in each.flatten()], strict=True)
+            parts = [[dict(zip(fields[2:], r, strict=True)) for r in islice(rows, k)] for k in lists.value_lengths().to_pylist()]
+            for i, spans in enumerate(parts):
                 got = _merged([s for s in spans if s["ord"] is not None], [s for s in spans if s["ord"] is None], min_passage)
                 doc += [i] * len(got)
                 found += got
             ids = batch.schema.field("doc_id").type
             # Null ids come first.
-            lists = [sorted(f[4], key=lambda x: (x is not None, x)) if None not in f[4] else [None, *sorted(x for x in f[4] if x is not None)] for f in found]
+            firsts = [sorted(f[4], key=lambda x: (x is not None, x)) if None not in f[4] else [None, *sorted(x for x in f[4] if x is not None)] for f in found]
             at = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(at), batch.column("row").take(at), *[pa.array([f[k] for f in found], pa.int32()) for k in range(3)], pa.array([not f[3] for f in found], pa.bool_()),
-                 pa.array([f[4][0] for f in found], ids), pa.array(lists, pa.list_(ids))],
+                 pa.array([f[4][0] for f in found], ids), pa.array(firsts, pa.list_(ids))],
                 names=["doc_id", "row", "start", "end", "n_words", "kept", "first_doc_id", "first_doc_ids"],
             )
 
-    return by_text.mapInArrow(merge, f"doc_id {kind}, row long, start int, end int, n_words int, kept boolean, first_doc_id {kind}, first_doc_ids array<{kind}>")
+    return by_text.mapInArrow(giving_back(merge), f"doc_id {kind}, row long, start int, end int, n_words int, kept boolean, first_doc_id {kind}, first_doc_ids array<{kind}>")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str | None = None, **options) -> DataFrame:
