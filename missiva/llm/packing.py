@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missiva.llm.common import BOUNDARY, slices, staged, worker_cache
+from missiva.llm.common import BOUNDARY, give_back, giving_back, slices, staged, worker_cache
 from missiva.llm.counts import load_tokenizer
 
 BLOCK = 8192
@@ -134,9 +134,10 @@ def document_pieces(
                     [part.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
+                give_back()
 
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return source.mapInArrow(encode, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids binary")
+    return source.mapInArrow(giving_back(encode), f"doc_id {kind.simpleString()}, piece int, start long, length long, ids binary")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from missiva.llm.common import held_out, learns, slices, worker_cache
+from missiva.llm.common import giving_back, held_out, learns, slices, worker_cache
 
 ORDER = 3
 TRAIN_DOCS = 400
@@ -219,7 +219,7 @@ def identify_languages(
                     names=[*names, "lang_pred", "score", "bits_per_byte"],
                 )
 
-    return source.mapInArrow(identify, schema)
+    return source.mapInArrow(giving_back(identify), schema)
 
 
 def predict_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missiva.llm.common import slices, staged
+from missiva.llm.common import giving_back, slices, staged
 from missiva.operators.graph import components
 
 RADIUS = 3
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = N
                 fp = pa.array(np.frombuffer(raw, ">i8").astype(np.int64))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], fp], names=[*names, "fp"])
 
-    return source.mapInArrow(mark, source.drop("_fp_text").schema.add("fp", "long"))
+    return source.mapInArrow(giving_back(mark), source.drop("_fp_text").schema.add("fp", "long"))
 
 
 def _entries(members: DataFrame, fields: list[tuple[int, int]]) -> DataFrame:
@@ -95,7 +95,7 @@ def _links(buckets: DataFrame) -> DataFrame:
                         part[np.isin(part, roots[1:])] = roots[0]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return buckets.select("members").mapInArrow(link, "a long, b long")
+    return buckets.select("members").mapInArrow(giving_back(link), "a long, b long")
 
 
 def near_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:

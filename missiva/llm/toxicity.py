@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from missiva.llm.common import held_out, learns, slices, staged, worker_cache
+from missiva.llm.common import giving_back, held_out, learns, slices, staged, worker_cache
 
 BITS = 20
 TRAIN_DOCS = 15_000
@@ -133,7 +133,7 @@ def train(
     kind = rows.schema["doc_id"].dataType.simpleString()
     # A repeated id is one example, by its smallest text: the rows of the fit are bounded, not only its ids.
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    examples = staged(rows.mapInArrow(indexed, f"doc_id {kind}, y int, index array<int>"))
+    examples = staged(rows.mapInArrow(giving_back(indexed), f"doc_id {kind}, y int, index array<int>"))
 
     def fit(group: pa.Table) -> pa.Table:
         order = np.lexsort((np.arange(group.num_rows), group.column("doc_id").to_numpy(), group.column("h").to_numpy()))
@@ -180,7 +180,7 @@ def score_texts(
                 p = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if given else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(p)], names=[*names, "score"])
 
-    return source.mapInArrow(score, schema)
+    return source.mapInArrow(giving_back(score), schema)
 
 
 def judge_toxicity(

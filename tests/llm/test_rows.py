@@ -212,3 +212,19 @@ def test_words_of_many_texts_are_encoded_once():
     assert [bytes(b) for b in packing.text_ids(Asked(), pa.array([f"x {t.strip()}" for t in texts[2:]]), kept)][1] == b"".join(bytes(b) for b in packing.text_ids(tokenizer, pa.array(["x lead, naïve. naïve, naïve"]), {}))
     assert not any("naïve" in t for t in asked)
     assert list(packing.text_ids(tokenizer, pa.array([], pa.string()), kept)) == []
+
+
+def test_workers_give_back_what_a_task_freed(monkeypatch):
+    from missiva.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    work = common.giving_back(lambda batches: (2 * b for b in batches))
+    assert list(work(iter([1, 2]))) == [2, 4] and len(calls) == 1
+    part = work(iter([1, 2]))
+    assert next(part) == 2 and len(calls) == 1
+    part.close()
+    assert len(calls) == 2
+    with pytest.raises(ZeroDivisionError):
+        list(common.giving_back(lambda batches: (1 // b for b in batches))(iter([0])))
+    assert len(calls) == 3
