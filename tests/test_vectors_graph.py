@@ -287,3 +287,23 @@ def test_sampled_betweenness_stays_within_its_bound(spark):
     assert all(abs(r["betweenness"] - exact[r["id"]]) <= 0.25 * 81 / 80 for r in found)
     every = G.betweenness_sampled(nodes, e, 0.01).collect()
     assert all(r["sources"] == 81 and abs(r["betweenness"] - exact[r["id"]]) < 1e-9 for r in every)
+
+
+def test_betweenness_of_a_held_graph_needs_no_relational_state(rows, monkeypatch):
+    rng = np.random.default_rng(4)
+    # Two parts with equal paths, a node without edges, one named twice and one without a name.
+    edges = {(int(min(a, b)), int(max(a, b))): int(w) for a, b, w in rng.integers(0, (14, 14, 4), (40, 3)) + (0, 0, 1) if a != b}
+    edges |= {(15, 16): 2, (16, 17): 1, (15, 18): 2, (17, 18): 1}
+    nodes = rows([(i,) for i in range(20)], "id long")
+    e = rows([(a, b, w) for (a, b), w in edges.items()] + [(None, 3, 1), (3, None, 1), (4, 5, None)], "a long, b long, weight long")
+    used = []
+    monkeypatch.setattr(G, "_dependencies", lambda *a: used.append(1) or e.limit(0).select(F.col("a").alias("id"), F.lit(0.0).alias("d")))
+    for cost, f in (("1/weight", lambda w: 1 / w), ("weight", float)):
+        got = np.array([r["betweenness"] for r in G.betweenness(nodes, e, cost).orderBy("id").collect()])
+        assert not used and np.allclose(got, brute_betweenness(20, [(*k, w) for k, w in edges.items()], f)) and got.max() > 0
+    odd = {(r["id"], r["betweenness"]) for r in G.betweenness(nodes.unionByName(rows([(3,), (None,)], "id long")), e, "weight").collect()}
+    assert {k: v * 20 * 21 for k, v in odd} == pytest.approx({None: 0.0} | {i: v * 18 * 19 for i, v in enumerate(got)})
+    # A larger graph is worked in batches.
+    monkeypatch.setattr(G, "GRAPH_ARCS", 10)
+    G.betweenness(nodes, e).collect()
+    assert used
