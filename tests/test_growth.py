@@ -1,6 +1,7 @@
 """Joins and counts whose work or memory must not grow faster than their input."""
 
 import datetime
+import math
 import random
 from collections import Counter
 from itertools import combinations
@@ -78,6 +79,36 @@ def test_pairs_of_a_crowded_spot_come_from_many_tasks(rows):
     assert {r["km"] for r in out.collect()} == {r["km"] for r in out.filter("km = round(km, 3)").collect()}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_points_meet_lists_and_no_pair_is_shuffled(rows, monkeypatch, broadcast):
+    from missiva.operators import spatial
+
+    monkeypatch.setattr(spatial, "LIST_ROWS", 3, raising=False)
+    monkeypatch.setattr(spatial, "SPOT_ROWS", 5, raising=False)
+    if not broadcast:
+        monkeypatch.setattr(spatial, "bounded_broadcast", lambda df: df)
+    rnd = random.Random(3)
+    at = lambda: rnd.choice((None, 10.0, 10.01, 10.02, 10.03, 11.0))
+    a = [(rnd.choice((None, i, i, i)), at(), at()) for i in range(80)]
+    b = [(rnd.choice((None, f"b{i}", f"b{i // 2}")), at(), at()) for i in range(60)]
+    out = spatial.proximity_pairs(rows(a, "a long, lat double, lng double"), rows(b, "b string, lat double, lng double"), "a", "b", 3.0)
+
+    def km(x, y):
+        (p, q), (r, s) = (map(math.radians, z) for z in (x, y))
+        h = math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((s - q) / 2) ** 2
+        return 2 * 6371.0 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    want = Counter()
+    for i, *x in a:
+        for j, *y in b:
+            if None not in (*x, *y) and km(x, y) <= 3:
+                want[i, j, round(km(x, y), 6)] += 1
+    got = out.collect()
+    assert Counter((r["a"], r["b"], round(r["km"], 6)) for r in got) == want and len(got) > 300
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")]
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_image_pairs_are_made_once_and_never_shuffled(rows, monkeypatch, broadcast):
     from missiva.operators import entities as N
