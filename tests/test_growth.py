@@ -109,6 +109,43 @@ def test_points_meet_lists_and_no_pair_is_shuffled(rows, monkeypatch, broadcast)
     assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")]
 
 
+def test_gazetteer_pairs_are_reduced_where_they_are_made(rows, monkeypatch):
+    from missiva.operators import spatial
+
+    def listed(*a, **kw):
+        raise AssertionError("all pairs are listed")
+
+    monkeypatch.setattr(spatial, "proximity_pairs", listed)
+    rnd = random.Random(8)
+    at = lambda: rnd.choice((None, 10.0, 10.02, 10.03, 10.06, 10.09, 12.0))
+    name = lambda: rnd.choice((None, "Aa", "AA (by)", "aab", "Zz", "Xyz"))
+    places = [(rnd.choice((None, i, i // 2)), name(), at(), 20.0) for i in range(120)]
+    entries = [(rnd.choice((None, i, i // 2)), name(), at(), rnd.choice((20.0, 20.01, None))) for i in range(14)]
+    pl, gz = rows(places, "place_id long, place string, lat double, lng double"), rows(entries, "gaz_id long, label string, lat double, lng double")
+    over = rows([(4, 77)], "place_id long, gaz_id long")
+    out = spatial.gazetteer_match(pl, gz, over, near=0.5, far=6.0)
+
+    def km(x, y):
+        (p, q), (r, s) = (map(math.radians, z) for z in (x, y))
+        h = math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((s - q) / 2) ** 2
+        return 2 * 6371.0 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    fold = lambda x: (x or "").lower().split(" (")[0].replace("aa", "å")
+    spot = lambda x, y: None not in (*x[2:], *y[2:]) and km(x[2:], y[2:])
+    want = Counter()
+    for k, *_ in places:
+        mine = [p for p in places if k is not None and p[0] == k]
+        near = [(1 if d <= 0.5 else 2, d, e[0]) for p in mine for e in entries if (d := spot(p, e)) is not False and d <= 6]
+        best = [
+            (not (fold(p[1]) in fold(e[1]) or fold(e[1]) in fold(p[1])), d, g)
+            for t, d, g in near if t == min(n[0] for n in near) and g is not None for p in mine for e in entries if e[0] == g
+        ] if near else []
+        method = f"coordinate_{0.5 if min(n[0] for n in near) == 1 else 6}km" if best else "unmatched"
+        want[(k, 77, "manual_override") if k == 4 else (k, min(best)[2] if best else None, method)] += 1
+    got = Counter((r["place_id"], r["gaz_id"], r["match_method"]) for r in out.collect())
+    assert got == want and len({k[2] for k in want}) == 4
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_image_pairs_are_made_once_and_never_shuffled(rows, monkeypatch, broadcast):
     from missiva.operators import entities as N
